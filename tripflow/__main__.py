@@ -1,4 +1,4 @@
-"""Job entry point: `spark-submit ... -m`-style or `python -m tripflow --config job.json`."""
+"""Job entry point: `python -m tripflow --config job.json`, or this file under spark-submit."""
 
 import argparse
 import dataclasses

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tripflow import functions as fn
 
 _NAMED = "bucket: struct<name: string>, object: struct<key: string>"
-EVENT_SCHEMA = f"detail: struct<{_NAMED}>, Records: array<struct<s3: struct<{_NAMED}>>>"
+EVENT_SCHEMA = f"detail struct<{_NAMED}>, Records array<struct<s3: struct<{_NAMED}>>>"
 
 _PARSED = "__event"
 

@@ -1,0 +1,507 @@
+"""The registered queries: every operator, run over whole tables."""
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripflow import functions as fn
+from tripflow import operators as op
+from tripflow.config import PipelineConfig
+from tripflow.plans import landing as land
+from tripflow.plans.ingest import ingest_file, start_stream
+from tripflow.schema import BATCH_ID, DAY_OF_WEEK, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
+from tripflow.session import pin_time_zone, shared_dir
+from tripflow.sinks import JdbcSink, ParquetSink, write_jdbc_append, write_parquet_idempotent
+from tripflow.sources import read_sink_table, read_trips_batch
+from tripflow.sources.files import write_text
+from tripflow.streaming import BatchReport, Sink
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+MOUNT, PREFIX = "/mnt/efs", "incoming"
+
+
+# ---- shaping results ---------------------------------------------------------------------------
+
+
+def _text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit("NULL"))
+
+
+def _time(name: str) -> Column:
+    return F.coalesce(F.date_format(name, land.CSV_TIME), F.lit("NULL"))
+
+
+def _cents(name: str) -> Column:
+    """Whole cents, so that a sum does not depend on the order of its terms."""
+    return F.round(F.col(name).cast("double") * 100).cast("long")
+
+
+def _trip_columns() -> list[Column]:
+    """The 19 input columns in types that compare exactly: floats as doubles, times and flag as text."""
+    shown = {
+        "float": lambda name: F.coalesce(F.col(name).cast("double"), F.lit(-1.0)),
+        "timestamp": _time,
+        "boolean": lambda name: _text(F.col(name)),
+        "int": lambda name: _text(F.col(name)),
+        "string": lambda name: _text(F.col(name)),
+    }
+    return [shown[f.dataType.simpleString()](f.name).alias(f.name) for f in TRIP_SCHEMA]
+
+
+def _derived_columns() -> list[Column]:
+    return [F.coalesce(TRIP_LENGTH, F.lit(-1.0)).alias(TRIP_LENGTH), _text(F.col(DAY_OF_WEEK)).alias(DAY_OF_WEEK)]
+
+
+def _by_day(stored: DataFrame, *keys: str) -> DataFrame:
+    return stored.groupBy(*keys, DAY_OF_WEEK).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(TRIP_LENGTH).alias("minutes"),
+        F.sum(_cents("trip_distance")).alias("distance_cents"),
+    )
+
+
+# ---- running the stream ------------------------------------------------------------------------
+
+
+@dataclass
+class Run:
+    """A landing directory, a sink and a checkpoint, over which the stream is run once or more often."""
+
+    spark: SparkSession
+    input_path: str
+    sink: Sink
+    max_files: int | None = 1
+    output_mode: str = "append"
+    reports: list[BatchReport] = field(default_factory=list)
+    checkpoint: str = ""
+
+    def __post_init__(self) -> None:
+        self.checkpoint = shared_dir(self.spark, "checkpoint")
+
+    def drain(self, sink: Sink | None = None) -> None:
+        """Take everything that is waiting."""
+        config = PipelineConfig(
+            self.input_path, self.checkpoint, output_mode=self.output_mode, max_files_per_trigger=self.max_files
+        )
+        start_stream(self.spark, config, sink or self.sink, self.reports.append).awaitTermination()
+
+
+def _run_over_events(spark: SparkSession, sf_dir: str, sink: Sink | None = None, **settings: object) -> Run:
+    files = land.event_landing(spark, sf_dir)
+    return Run(spark, files.path, sink or _parquet(spark), files.batch_files, **settings)
+
+
+def _parquet(spark: SparkSession) -> ParquetSink:
+    return ParquetSink(shared_dir(spark, "sink"))
+
+
+@dataclass
+class _LostAfterWrite:
+    """A sink whose caller dies once, right after the first write from batch `batch_id` on."""
+
+    sink: Sink
+    batch_id: int
+    replay_safe: bool = True
+
+    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True) -> int:
+        rows = self.sink.write(df, batch_id, replay=replay)
+        if batch_id >= self.batch_id:
+            raise RuntimeError("lost after the write, before the commit")
+        return rows
+
+    def last_batch_id(self, spark: SparkSession) -> int | None:
+        return self.sink.last_batch_id(spark)
+
+    def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
+        return self.sink.has_batch(spark, batch_id)
+
+
+def _crash_and_resume(run: Run) -> None:
+    try:
+        run.drain(_LostAfterWrite(run.sink, 1))
+    except StreamingQueryException:
+        pass
+    else:
+        raise AssertionError("the stream should have stopped")
+    run.drain()
+
+
+# ---- projections -------------------------------------------------------------------------------
+
+
+def trip_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = land.trips_from_events(land.table(spark, sf_dir, "events"))
+    return op.with_trip_length(trips).select("event_id", TRIP_LENGTH)
+
+
+def trip_length_subsecond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = land.table(spark, sf_dir, "events")
+    since = events.select("event_id", "ts", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("start"))
+    return op.with_trip_length(since, "start", "ts", "m").select("event_id", "m")
+
+
+def day_of_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_day_of_week(land.table(spark, sf_dir, "events"), "ts").select("event_id", DAY_OF_WEEK)
+
+
+def batch_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_batch_id(land.table(spark, sf_dir, "events").select("event_id"), 7)
+
+
+def _object_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.col("event_id").cast("string"), F.lit(".csv"))
+    return land.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("bucket"), key.alias("key"))
+
+
+def object_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_object_uri(_object_refs(spark, sf_dir), out="p").select("event_id", "p")
+
+
+def landing_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _object_refs(spark, sf_dir).withColumn("key", F.concat_ws("/", "bucket", "key"))
+    return op.with_landing_path(refs, MOUNT, PREFIX, out="p", partial_out="part").select("event_id", "p", "part")
+
+
+# ---- object events -----------------------------------------------------------------------------
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.normalize_object_events(land.event_json(land.table(spark, sf_dir, "events")), "json")
+
+
+def event_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).select("event_id", "bucket", "key")
+
+
+def event_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.split_valid_events(_normalized(spark, sf_dir))[0].select("event_id")
+
+
+def event_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.split_valid_events(_normalized(spark, sf_dir))[1].select("event_id")
+
+
+def event_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = land.event_json(land.table(spark, sf_dir, "events"))
+    return op.explode_object_records(events, "json").select("event_id", "bucket", "key")
+
+
+def event_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every CSV object that was announced, as the file to read and the file it lands in."""
+    events = land.event_json(land.table(spark, sf_dir, "events"))
+    refs = op.only_csv_objects(op.explode_object_records(events, "json"))
+    return op.with_landing_path(op.with_object_uri(refs), MOUNT, PREFIX).select("event_id", "uri", "path")
+
+
+def csv_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    suffix = F.when(kind == "error", ".CSV").when(kind == "click", ".csv").otherwise(".txt")
+    key = F.concat(F.col("event_id").cast("string"), suffix)
+    return op.only_csv_objects(land.table(spark, sf_dir, "events").select("event_id", key.alias("key")))
+
+
+# ---- CSV scans ---------------------------------------------------------------------------------
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_trips_batch(spark, land.event_landing(spark, sf_dir).path).select(*_trip_columns())
+
+
+def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that do not parse, rows that are too short or too long: NULL there, the rest kept."""
+
+    def make() -> str:
+        trips = land.trips_from_events(land.table(spark, sf_dir, "events"))
+        kind = F.element_at(F.array(*map(F.lit, land.EVENT_TYPES)), F.col("payment_type"))
+        pickup = F.date_format(PICKUP, land.CSV_TIME)
+        rough = {
+            PICKUP: F.when(kind == "signup", "garbage")
+            .when(kind == "view", F.substring(pickup, 1, 10))
+            .when(kind == "purchase", F.concat(F.translate(pickup, " ", "T"), F.lit("Z")))
+            .otherwise(pickup),
+            DROPOFF: F.date_format(DROPOFF, land.CSV_TIME),
+            "passenger_count": F.when(kind == "error", "x")
+            .when(kind == "signup", "1.0")
+            .when(kind == "view", "99999999999")
+            .when(kind == "purchase", "")
+            .otherwise(F.col("passenger_count").cast("string")),
+            "trip_distance": F.when(kind == "error", "abc").otherwise(F.col("trip_distance").cast("string")),
+        }
+        fields = F.array(*(rough.get(name, F.col(name).cast("string")) for name in TRIP_SCHEMA.names))
+        fields = F.when(kind == "view", F.slice(fields, 1, 10)).when(
+            kind == "purchase", F.array_append(fields, F.lit("surplus"))
+        ).otherwise(fields)
+        path = shared_dir(spark, "rough")
+        trips.select(F.concat_ws(",", fields)).write.text(path)
+        return path
+
+    path = land.once(spark, sf_dir, "rough", make)
+    trips = op.enrich_trips(read_trips_batch(spark, path, path_glob=None, header=False))
+    return trips.select(*_trip_columns(), *_derived_columns())
+
+
+def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = land.landed_files(spark, land.event_landing(spark, sf_dir).path)
+    return ingest_file(spark, files).select(*_trip_columns(), *_derived_columns())
+
+
+def lineitem_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger input: scan, derive and summarise."""
+    trips = op.enrich_trips(read_trips_batch(spark, land.lineitem_landing(spark, sf_dir).path))
+    return trips.groupBy("VendorID", DAY_OF_WEEK).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col(TRIP_LENGTH) * 60).cast("long")).alias("seconds"),
+        F.sum(_cents("fare_amount")).alias("fare_cents"),
+        F.count(F.when(F.col("store_and_fwd_flag"), 1)).alias("stored_and_forwarded"),
+    )
+
+
+# ---- streams -----------------------------------------------------------------------------------
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run_over_events(spark, sf_dir)
+    run.drain()
+    return _by_day(run.sink.read(spark))
+
+
+def stream_update_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run_over_events(spark, sf_dir, output_mode="update")
+    run.drain()
+    return _by_day(run.sink.read(spark))
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run_over_events(spark, sf_dir)
+    _crash_and_resume(run)
+    return _by_day(run.sink.read(spark))
+
+
+def batch_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer reported for each batch against what the sink holds for it."""
+    run = _run_over_events(spark, sf_dir)
+    run.drain()
+    reported = spark.createDataFrame(
+        [(r.stored_as, r.rows) for r in run.reports if r.stored_as is not None], f"{BATCH_ID} int, reported long"
+    )
+    stored = run.sink.read(spark).groupBy(BATCH_ID).agg(F.count(F.lit(1)).alias("stored"))
+    both = reported.join(stored, BATCH_ID, "full")
+    return both.agg(
+        F.sum("reported").alias("reported"),
+        F.sum("stored").alias("stored"),
+        F.count(F.when(~F.col("reported").eqNullSafe(F.col("stored")), 1)).alias("batches_off"),
+    )
+
+
+def _numbered_landing(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    def make() -> tuple[str, int]:
+        events = land.table(spark, sf_dir, "events")
+        rows, path = land.rows_per_file(events), shared_dir(spark, "numbered")
+        land.write_csv(land.numbered_trips(events, rows), path, rows, by="f")
+        return path, rows
+
+    return land.once(spark, sf_dir, "numbered", make)
+
+
+def _batches_per_file(stored: DataFrame, rows: int) -> DataFrame:
+    return stored.groupBy(land.file_number(rows)).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(BATCH_ID).alias("batches")
+    )
+
+
+def stream_file_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per micro-batch: no file is split over batches."""
+    path, rows = _numbered_landing(spark, sf_dir)
+    run = Run(spark, path, _parquet(spark), max_files=1)
+    run.drain()
+    return _batches_per_file(run.sink.read(spark), rows)
+
+
+def stream_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch ids count up from 0, one per file."""
+    path, rows = _numbered_landing(spark, sf_dir)
+    run = Run(spark, path, _parquet(spark), max_files=1)
+    run.drain()
+    per_batch = run.sink.read(spark).groupBy(BATCH_ID).agg(F.count_distinct(land.file_number(rows)).alias("files"))
+    return per_batch.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.min(BATCH_ID).alias("first_id"),
+        F.max(BATCH_ID).alias("last_id"),
+        F.max("files").alias("files_per_batch"),
+    )
+
+
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the files, then, after a restart on the same checkpoint, the other half."""
+    events = land.table(spark, sf_dir, "events")
+    rows, path = land.rows_per_file(events), shared_dir(spark, "waves")
+    trips = land.numbered_trips(events, rows)
+    early = F.col("f") < land.LANDING_FILES // 2
+    run = Run(spark, path, _parquet(spark), max_files=1)
+    for name, wave in (("early", trips.where(early)), ("late", trips.where(~early))):
+        land.write_csv(wave, f"{path}/{name}", rows, by="f")
+        run.drain()
+    return _batches_per_file(run.sink.read(spark), rows)
+
+
+HEADER = ",".join(TRIP_SCHEMA.names) + "\n"
+
+
+def _decoy() -> str:
+    """A file with one well-formed trip that must not be read."""
+    trip = dict.fromkeys(TRIP_SCHEMA.names, "1") | {
+        PICKUP: "2015-01-15 19:05:39",
+        DROPOFF: "2015-01-15 19:23:42",
+        "pickup_longitude": "decoy",
+    }
+    return HEADER + ",".join(trip.values()) + "\n"
+
+
+def stream_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished files are read wherever they lie below the landing directory, unfinished or hidden ones never."""
+    events = land.table(spark, sf_dir, "events")
+    path, rows = shared_dir(spark, "visibility"), land.rows_per_file(events)
+    trips = land.trips_from_events(events)
+    first_vendor = F.col("VendorID") == 1
+    land.write_csv(trips.where(first_vendor), f"{path}/flat", rows)
+    land.write_csv(trips.where(~first_vendor), f"{path}/incoming/deeper", rows, extension="CSV")
+    for name in ("unfinished.csv.part", "_hidden.csv", ".hidden.csv", "other.txt"):
+        write_text(spark, f"{path}/{name}", _decoy())
+    run = Run(spark, path, _parquet(spark), max_files=None)
+    run.drain()
+    return run.sink.read(spark).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("pickup_longitude") == "decoy", 1)).alias("decoys")
+    )
+
+
+def stream_empty_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with only a header makes a batch that takes an id but writes nothing."""
+    events = land.table(spark, sf_dir, "events")
+    path = shared_dir(spark, "empty")
+    write_text(spark, f"{path}/empty.csv", HEADER)
+    run = Run(spark, path, _parquet(spark), max_files=None)
+    run.drain()
+    land.write_csv(land.trips_from_events(events), f"{path}/full", land.rows_per_file(events))
+    run.drain()
+    empty = [r.batch_id for r in run.reports if r.stored_as is None]
+    return run.sink.read(spark).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(BATCH_ID).alias("first_id"),
+        F.lit(len(empty)).alias("empty_batches"),
+    )
+
+
+# ---- sinks and read-back -----------------------------------------------------------------------
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.enrich_trips(read_trips_batch(spark, land.event_landing(spark, sf_dir).path))
+
+
+def parquet_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, one of them written twice."""
+    trips, sink = _enriched(spark, sf_dir), _parquet(spark)
+    for batch_id in (0, 1, 0):
+        batch = op.with_batch_id(trips.where(F.col("VendorID") == batch_id + 1), batch_id)
+        write_parquet_idempotent(batch, batch_id, sink.path)
+    return _by_day(sink.read(spark), BATCH_ID)
+
+
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return land.stored_trips(spark, sf_dir).count(spark)
+
+
+def preview10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preview = land.stored_trips(spark, sf_dir).preview(spark, 10, order_by=["pickup_longitude"])
+    return preview.select(land.event_id().alias("event_id"), TRIP_LENGTH, DAY_OF_WEEK, BATCH_ID)
+
+
+def _new_table(spark: SparkSession) -> JdbcSink:
+    name = shared_dir(spark, "trips").rsplit("/", 1)[1].replace("-", "_")
+    return JdbcSink(land.database_table(spark, name))
+
+
+def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first append creates the table, the second adds to it."""
+    pin_time_zone(spark)
+    trips, sink = _enriched(spark, sf_dir), _new_table(spark)
+    for batch_id in (0, 1):
+        write_jdbc_append(op.with_batch_id(trips.where(F.col("VendorID") == batch_id + 1), batch_id), sink.target)
+    return _by_day(sink.read(spark), BATCH_ID)
+
+
+def stream_ingest_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run_over_events(spark, sf_dir, _new_table(spark))
+    run.drain()
+    return _by_day(run.sink.read(spark))
+
+
+def stream_replay_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run_over_events(spark, sf_dir, _new_table(spark))
+    _crash_and_resume(run)
+    return _by_day(run.sink.read(spark))
+
+
+def sink_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink = land.stored_trips_in_database(spark, sf_dir, _once_name(sf_dir))
+    stored = read_sink_table(spark, sink.target, num_partitions=4)
+    return stored.select(*_trip_columns(), *_derived_columns(), F.col(BATCH_ID))
+
+
+def jdbc_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return land.stored_trips_in_database(spark, sf_dir, _once_name(sf_dir)).count(spark)
+
+
+def jdbc_preview10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink = land.stored_trips_in_database(spark, sf_dir, _once_name(sf_dir))
+    preview = sink.preview(spark, 10, order_by=[PICKUP, DROPOFF, "trip_distance"])
+    return preview.select(land.event_id().alias("event_id"), TRIP_LENGTH, DAY_OF_WEEK, BATCH_ID)
+
+
+def _once_name(sf_dir: str) -> str:
+    return "stored_" + "".join(c if c.isalnum() else "_" for c in sf_dir.strip("/"))
+
+
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        trip_length,
+        trip_length_subsecond,
+        day_of_week,
+        batch_stamp,
+        object_uri,
+        landing_path,
+        event_normalize,
+        event_valid,
+        event_rejected,
+        event_explode,
+        event_manifest,
+        csv_key_filter,
+        csv_scan,
+        csv_coercion,
+        batch_ingest,
+        lineitem_ingest,
+        stream_ingest,
+        stream_update_mode,
+        stream_replay,
+        batch_row_counts,
+        stream_file_per_batch,
+        stream_batch_ids,
+        stream_resume,
+        stream_visibility,
+        stream_empty_file,
+        parquet_replace,
+        row_count,
+        preview10,
+        jdbc_append,
+        stream_ingest_jdbc,
+        stream_replay_jdbc,
+        sink_readback,
+        jdbc_row_count,
+        jdbc_preview10,
+    )
+}

@@ -1,6 +1,7 @@
 """A database table over JDBC."""
 
 import logging
+from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -152,5 +153,5 @@ class JdbcSink:
     def count(self, spark: SparkSession) -> DataFrame:
         return sink_count(spark, self.target)
 
-    def preview(self, spark: SparkSession, n: int = 10, order_by: str | None = None) -> DataFrame:
+    def preview(self, spark: SparkSession, n: int = 10, order_by: Sequence[str] = ()) -> DataFrame:
         return sink_preview(spark, self.target, n, order_by)

@@ -1,6 +1,7 @@
 """Parquet, one directory per micro-batch."""
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,6 @@ class ParquetSink:
         """One row, `n`: answered from the parquet footers."""
         return self.read(spark).agg(F.count(F.lit(1)).alias("n"))
 
-    def preview(self, spark: SparkSession, n: int = 10, order_by: str | None = None) -> DataFrame:
+    def preview(self, spark: SparkSession, n: int = 10, order_by: Sequence[str] = ()) -> DataFrame:
         rows = self.read(spark)
-        return (rows.orderBy(order_by) if order_by else rows).limit(n)
+        return (rows.orderBy(*order_by) if order_by else rows).limit(n)

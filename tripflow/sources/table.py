@@ -1,6 +1,8 @@
 """The stored trips table in a database, read back for validation."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +46,27 @@ def _zoned(df: DataFrame) -> DataFrame:
 def read_sink_table(
     spark: SparkSession, target: JdbcTable, *, num_partitions: int = 1, split_by: str = PICKUP
 ) -> DataFrame:
-    """The whole table, read over `num_partitions` connections.
+    """The whole table, read over up to `num_partitions` connections.
 
     The ranges are on the pickup time rather than the batch id: a single batch may hold a large
-    share of the rows, and its trips still spread over time. NULL goes with the first range.
+    share of the rows, and its trips still spread over time.
     """
-    reader = spark.read.format("jdbc").options(**target.properties())
-    reader = reader.options(url=target.url, dbtable=target.table, fetchsize=target.batch_size, preferTimestampNTZ=True)
-    if num_partitions > 1:
-        column = target.quote(spark, split_by)
-        low, high = _query(
-            spark, target, f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {target.table}"
-        ).first()
-        if low is not None and low != high:
-            reader = reader.options(
-                partitionColumn=split_by, lowerBound=str(low), upperBound=str(high), numPartitions=num_partitions
-            )
-    return _zoned(reader.load())
+    options = target.properties() | {"fetchsize": str(target.batch_size), "preferTimestampNTZ": "true"}
+    ranges = _time_ranges(spark, target, split_by, num_partitions) if num_partitions > 1 else []
+    if ranges:
+        return _zoned(spark.read.jdbc(target.url, target.table, predicates=ranges, properties=options))
+    return _zoned(spark.read.jdbc(target.url, target.table, properties=options))
+
+
+def _time_ranges(spark: SparkSession, target: JdbcTable, column: str, parts: int) -> list[str]:
+    """Predicates that cut the table into `parts` equal spans of time; NULL goes with the first."""
+    name = target.quote(spark, column)
+    low, high = _query(spark, target, f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {target.table}").first()
+    if low is None or low == high:
+        return []
+    cuts = [f"{{ts '{low + (high - low) * part / parts}'}}" for part in range(1, parts)]
+    between = [f"{name} >= {start} AND {name} < {end}" for start, end in pairwise(cuts)]
+    return [f"{name} < {cuts[0]} OR {name} IS NULL", *between, f"{name} >= {cuts[-1]}"]
 
 
 def sink_count(spark: SparkSession, target: JdbcTable) -> DataFrame:
@@ -69,7 +75,7 @@ def sink_count(spark: SparkSession, target: JdbcTable) -> DataFrame:
     return counted.select(F.col(counted.columns[0]).cast("long").alias("n"))
 
 
-def sink_preview(spark: SparkSession, target: JdbcTable, n: int = 10, order_by: str | None = None) -> DataFrame:
-    """`n` rows, cut by the database; the first ones by `order_by` when given."""
-    order = f" ORDER BY {target.quote(spark, order_by)}" if order_by else ""
+def sink_preview(spark: SparkSession, target: JdbcTable, n: int = 10, order_by: Sequence[str] = ()) -> DataFrame:
+    """`n` rows, cut by the database; the first ones by the columns `order_by` when given."""
+    order = f" ORDER BY {', '.join(target.quote(spark, name) for name in order_by)}" if order_by else ""
     return _zoned(_query(spark, target, f"SELECT * FROM {target.table}{order} FETCH FIRST {int(n)} ROWS ONLY"))
