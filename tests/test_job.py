@@ -1,0 +1,140 @@
+"""Settings, session and the command line."""
+
+import json
+
+import pytest
+from conftest import land, trip
+
+from tripflow.__main__ import main
+from tripflow.config import PipelineConfig
+from tripflow.plans import sink_for
+from tripflow.session import build_session, shared_dir
+from tripflow.sinks import JdbcSink, ParquetSink
+
+SETTINGS = {
+    "spark.executor.memory": "8g",
+    "spark.sql.shuffle.partitions": 16,
+    "input.csv.path": "/data/incoming",
+    "checkpoint.dir": "/data/checkpoints",
+    "trigger.processing.time": "30 seconds",
+    "output.mode": "append",
+    "db.table": "trips",
+}
+ENV = {"DB_URL": "jdbc:x:y", "DB_DRIVER": "a.B", "DB_USER": "u", "DB_PASSWORD": "secret"}
+
+
+def test_settings():
+    config = PipelineConfig.from_settings(SETTINGS, ENV)
+    assert (config.input_path, config.checkpoint_path) == ("/data/incoming", "/data/checkpoints")
+    assert (config.trigger, config.output_mode, config.max_files_per_trigger) == ("30 seconds", "append", 1)
+    assert config.spark_conf == {"spark.executor.memory": "8g", "spark.sql.shuffle.partitions": "16"}
+    target = config.jdbc_table()
+    assert target.properties() == {"driver": "a.B", "user": "u", "password": "secret"}
+    assert "secret" not in repr(config)
+
+
+def test_defaults():
+    config = PipelineConfig.from_settings({"input.csv.path": "/a", "checkpoint.dir": "/b"}, {})
+    assert config.output_mode == "append" and config.trigger is None and config.first_batch_id == 0
+    with pytest.raises(RuntimeError, match="DB_URL"):
+        sink_for(config)
+
+
+def test_database_access_comes_from_the_environment_only(caplog):
+    config = PipelineConfig.from_settings(SETTINGS | {"db.url": "jdbc:in:file", "db.password": "in file"}, ENV)
+    assert config.db_url == "jdbc:x:y" and config.db_password == "secret"
+    assert "db.password" in caplog.text and "in file" not in caplog.text
+
+
+@pytest.mark.parametrize("missing", ["input.csv.path", "checkpoint.dir"])
+def test_missing_settings(missing):
+    with pytest.raises(RuntimeError, match=missing):
+        PipelineConfig.from_settings({k: v for k, v in SETTINGS.items() if k != missing}, ENV)
+
+
+@pytest.mark.parametrize("checkpoint", ["/in/checkpoint", "/in/", "/in"])
+def test_checkpoint_inside_the_input(checkpoint):
+    with pytest.raises(ValueError, match="inside"):
+        PipelineConfig("/in", checkpoint)
+
+
+def test_checkpoint_beside_the_input():
+    PipelineConfig("/in", "/in-checkpoint")
+
+
+def test_unreadable_file(tmp_path):
+    with pytest.raises(RuntimeError):
+        PipelineConfig.load(str(tmp_path / "absent.json"))
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(RuntimeError):
+        PipelineConfig.load(str(tmp_path / "bad.json"))
+
+
+def test_sink_choice():
+    assert isinstance(sink_for(PipelineConfig.from_settings(SETTINGS, ENV)), JdbcSink)
+    parquet = PipelineConfig.from_settings(SETTINGS | {"parquet.path": "/out"}, {})
+    assert sink_for(parquet) == ParquetSink("/out")
+
+
+def test_session(spark):
+    session = build_session(spark_conf={"spark.sql.files.maxPartitionBytes": "64m"})
+    assert session.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert session.conf.get("spark.sql.files.maxPartitionBytes") == "64m"
+    session.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_shared_dir_is_below_the_configured_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
+    assert first.startswith(f"{root}/tripflow/") and first != second
+
+
+class Cluster:
+    """As much of a session as `shared_dir` asks for."""
+
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class sparkContext:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster, "x")
+
+
+def job_file(tmp_path):
+    (tmp_path / "in").mkdir()
+    settings = {
+        "input.csv.path": str(tmp_path / "in"),
+        "checkpoint.dir": str(tmp_path / "checkpoint"),
+        "trigger.processing.time": "30 seconds",
+        "parquet.path": str(tmp_path / "out"),
+    }
+    (tmp_path / "job.json").write_text(json.dumps(settings))
+    return str(tmp_path / "job.json")
+
+
+def test_command_line_stream(spark, tmp_path):
+    config = job_file(tmp_path)
+    land(tmp_path / "in" / "a.csv", trip(), trip())
+    main(["--config", config, "--available-now"])
+    assert ParquetSink(str(tmp_path / "out")).count(spark).first().n == 2
+
+
+def test_command_line_objects(spark, tmp_path):
+    config = job_file(tmp_path)
+    paths = [land(tmp_path / "objects" / name, trip()) for name in ("a.csv", "b.csv")]
+    args = ["--config", config, *(arg for path in paths for arg in ("--input", path))]
+    with pytest.raises(SystemExit):
+        main(args)
+    main([*args, "--batch-id", "3"])
+    stored = ParquetSink(str(tmp_path / "out"))
+    assert [(r.Id, r.trip_Length) for r in stored.read(spark).collect()] == [(3, 18.05)] * 2
+    with pytest.raises(ValueError):
+        main([*args, "--batch-id", "3"])
+    main([*args, "--batch-id", "3", "--replace"])
+    assert stored.count(spark).first().n == 2

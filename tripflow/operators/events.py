@@ -15,30 +15,29 @@ def normalize_object_events(df: DataFrame, json_col: str) -> DataFrame:
     """Add `bucket` and `key`, one reference per event.
 
     They come from `detail` when it holds both, otherwise both from the first entry of `Records`.
-    Text that is not an event leaves them NULL or empty; `split_valid_events` tells these apart.
+    A part of an unexpected JSON type counts as missing. Text that is not an event leaves them
+    NULL or empty; `split_valid_events` tells these apart.
     """
-    detail, first = F.col(f"{_PARSED}.detail"), F.try_element_at(F.col(f"{_PARSED}.Records"), F.lit(1))["s3"]
+    event = F.col(_PARSED)
+    detail, first = event["detail"], F.try_element_at(event["Records"], F.lit(1))["s3"]
     from_detail = fn.is_object_ref(detail["bucket"]["name"], detail["object"]["key"])
     ref = F.when(from_detail, detail).otherwise(first)
-    return (
-        df.withColumn(_PARSED, F.from_json(json_col, EVENT_SCHEMA))
-        .withColumns({"bucket": ref["bucket"]["name"], "key": ref["object"]["key"]})
-        .drop(_PARSED)
-    )
+    # Exploding a one-element array keeps later filters from pulling the parser into themselves,
+    # which would parse each text twice.
+    parsed = df.withColumn(_PARSED, F.explode(F.array(F.from_json(json_col, EVENT_SCHEMA))))
+    return parsed.withColumns({"bucket": ref["bucket"]["name"], "key": ref["object"]["key"]}).drop(_PARSED)
 
 
 def explode_object_records(df: DataFrame, json_col: str) -> DataFrame:
-    """Add `bucket` and `key`, one row per entry of `Records` that names an object.
+    """`bucket` and `key` in place of the event text, one row per entry of `Records` that names an object.
 
-    Events without records give no rows; an entry without a bucket or key drops out alone.
+    Events without records give no rows; an entry without a bucket or key drops out alone. The
+    text goes, or an event of n records would repeat its n records in n rows.
     """
-    entry = F.col(_PARSED)
-    return (
-        df.withColumn(_PARSED, F.explode(F.from_json(json_col, EVENT_SCHEMA)["Records"]["s3"]))
-        .withColumns({"bucket": entry["bucket"]["name"], "key": entry["object"]["key"]})
-        .drop(_PARSED)
-        .where(F.col("bucket").isNotNull() & F.col("key").isNotNull())
-    )
+    ref = F.col(_PARSED)
+    parsed = df.withColumn(_PARSED, F.explode(F.from_json(json_col, EVENT_SCHEMA)["Records"]["s3"])).drop(json_col)
+    refs = parsed.withColumns({"bucket": ref["bucket"]["name"], "key": ref["object"]["key"]}).drop(_PARSED)
+    return refs.where(F.col("bucket").isNotNull() & F.col("key").isNotNull())
 
 
 def only_csv_objects(df: DataFrame, key: str = "key") -> DataFrame:

@@ -44,7 +44,7 @@ def read_trips_stream(
     schema: StructType = TRIP_SCHEMA,
     *,
     max_files_per_trigger: int | None = 1,
-    max_bytes_per_trigger: str | int | None = None,
+    max_bytes_per_trigger: int | None = None,
     path_glob: str | None = CSV_GLOB,
     recursive: bool = True,
     strict_header: bool = False,
