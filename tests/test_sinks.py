@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 
 from tripflow.operators import with_batch_id
 from tripflow.schema import STORED_SCHEMA
-from tripflow.sinks import JdbcSink, ParquetSink, jdbc, write_jdbc_append, write_jdbc_idempotent
-from tripflow.sinks import write_parquet_idempotent
+from tripflow.sinks import (
+    JdbcSink,
+    ParquetSink,
+    counting,
+    jdbc,
+    write_jdbc_append,
+    write_jdbc_idempotent,
+    write_parquet_idempotent,
+)
 from tripflow.sources import read_sink_table, sink_count, sink_preview
 
 PICKUP = dt.datetime(2015, 1, 15, 19, 5, 39)
@@ -80,6 +87,13 @@ def test_session_overwrite_mode_does_not_matter(spark, tmp_path):
     spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
 
 
+def test_count_that_does_not_arrive_is_taken_again(spark, monkeypatch):
+    monkeypatch.setattr(counting, "WAIT_SECONDS", 0.2)
+    df = batch(spark, range(5), 0)
+    # Writing something else leaves the observation waiting.
+    assert counting.write_counted(df, lambda _: spark.range(3).write.format("noop").mode("append").save()) == 5
+
+
 # ---- database only -----------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.schema import DROPOFF, PICKUP, TRIP_SCHEMA
-from tripflow.session import pin_time_zone, shared_dir
+from tripflow.session import shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink
 from tripflow.sources import JdbcTable
 from tripflow.sources.files import child_names
@@ -50,7 +50,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_time_zone(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def rows_per_file(events: DataFrame) -> int:

@@ -427,7 +427,6 @@ def _new_table(spark: SparkSession) -> JdbcSink:
 
 def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first append creates the table, the second adds to it."""
-    pin_time_zone(spark)
     trips, sink = _enriched(spark, sf_dir), _new_table(spark)
     for batch_id in (0, 1):
         write_jdbc_append(op.with_batch_id(trips.where(F.col("VendorID") == batch_id + 1), batch_id), sink.target)
@@ -466,8 +465,13 @@ def _once_name(sf_dir: str) -> str:
     return "stored_" + "".join(c if c.isalnum() else "_" for c in sf_dir.strip("/"))
 
 
+def _pinned(query: Query) -> Query:
+    """The SQL takes times as UTC, so the session does too."""
+    return lambda spark, sf_dir: query(pin_time_zone(spark), sf_dir)
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query
+    query.__name__: _pinned(query)
     for query in (
         trip_length,
         trip_length_subsecond,

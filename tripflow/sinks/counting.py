@@ -1,10 +1,13 @@
 """Row counts taken while a batch is written, so that counting costs no scan of its own."""
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+WAIT_SECONDS = 60
+
 
 def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     """Run `write` over `df` and return how many rows went through.
@@ -14,4 +17,18 @@ def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     """
     observation = Observation()
     write(df.observe(observation, F.count(F.lit(1)).alias("rows")))
-    return observation.get["rows"]
+    rows = _arrived(observation)
+    return df.count() if rows is None else rows
+
+
+def _arrived(observation: Observation) -> int | None:
+    """The observed count, or None when it does not come.
+
+    It travels over Spark's listener bus, which drops events under heavy load, and waiting for it
+    has no time limit of its own.
+    """
+    got: list[int] = []
+    waiter = threading.Thread(target=lambda: got.append(observation.get["rows"]), daemon=True)
+    waiter.start()
+    waiter.join(WAIT_SECONDS)
+    return got[0] if got else None
