@@ -72,6 +72,8 @@ def test_unreadable_file(tmp_path):
 
 def test_sink_choice():
     assert isinstance(sink_for(PipelineConfig.from_settings(SETTINGS, ENV)), JdbcSink)
+    plain = PipelineConfig.from_settings(SETTINGS | {"db.replay.safe": False}, ENV)
+    assert sink_for(plain).replay_safe is False
     parquet = PipelineConfig.from_settings(SETTINGS | {"parquet.path": "/out"}, {})
     assert sink_for(parquet) == ParquetSink("/out")
 

@@ -1,5 +1,6 @@
 """Database and parquet sinks."""
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -205,9 +206,12 @@ def test_preview_is_cut_by_the_database(spark, table):
     assert "FETCH FIRST 3 ROWS ONLY" in plan
 
 
-def test_password_is_not_shown(table):
-    import dataclasses
+def test_driver_that_does_not_take_the_url(spark, table):
+    with pytest.raises(ValueError, match="does not take"):
+        JdbcSink(dataclasses.replace(table, url="jdbc:elsewhere:x")).last_batch_id(spark)
+
 
+def test_password_is_not_shown(table):
     assert "hunter2" not in repr(dataclasses.replace(table, user="u", password="hunter2"))
 
 

@@ -16,7 +16,9 @@ from tripflow.streaming import BatchReport, Sink, start_ingest
 
 def sink_for(config: PipelineConfig) -> Sink:
     """Parquet when the configuration names a path for it, the database table otherwise."""
-    return ParquetSink(config.parquet_path) if config.parquet_path else JdbcSink(config.jdbc_table())
+    if config.parquet_path:
+        return ParquetSink(config.parquet_path)
+    return JdbcSink(config.jdbc_table(), config.replay_safe)
 
 
 def start_stream(
@@ -30,6 +32,7 @@ def start_stream(
         config.input_path,
         max_files_per_trigger=config.max_files_per_trigger,
         max_bytes_per_trigger=config.max_bytes_per_trigger,
+        max_file_age=config.max_file_age,
         path_glob=config.path_glob,
         recursive=config.recursive,
         strict_header=config.strict_header,

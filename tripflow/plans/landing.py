@@ -166,10 +166,11 @@ def landed_files(spark: SparkSession, path: str) -> list[str]:
 def numbered_trips(events: DataFrame, rows: int) -> DataFrame:
     """Trips with the number `f` of the file they go to, `rows` consecutive event ids each.
 
-    The shuffle puts each file into one task; files are of equal size, so none is hot.
+    The shuffle puts each file into one task, and there are as many tasks as files; files are of
+    equal size, so none is hot.
     """
     trips = trips_from_events(events).withColumn("f", F.floor(F.col("event_id") / rows))
-    return trips.repartition("f")
+    return trips.repartition(-(-events.count() // rows), "f")
 
 
 def file_number(rows: int) -> Column:

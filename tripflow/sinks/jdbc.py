@@ -103,6 +103,8 @@ def _statement(spark: SparkSession, target: JdbcTable):
     for key, value in target.properties().items():
         properties.setProperty(key, value)
     connection = loader.loadClass(target.driver).newInstance().connect(target.url, properties)
+    if connection is None:
+        raise ValueError(f"{target.driver} does not take the database URL")
     try:
         connection.setAutoCommit(False)
         statement = connection.createStatement()

@@ -10,6 +10,10 @@ from tripflow.schema import TRIP_SCHEMA
 # Fixed value: finished files end in .csv in any case, so `x.csv.part` is not input yet.
 CSV_GLOB = "*.[cC][sS][vV]"
 
+# Spark's own limit is a week: a file that arrives with a modification time more than a week older
+# than the newest one seen would be passed over without a word.
+ANY_AGE = "36500d"
+
 
 def _csv_options(strict_header: bool, path_glob: str | None, recursive: bool) -> dict[str, object]:
     options = {"header": True, "enforceSchema": not strict_header, "recursiveFileLookup": recursive}
@@ -45,6 +49,7 @@ def read_trips_stream(
     *,
     max_files_per_trigger: int | None = 1,
     max_bytes_per_trigger: int | None = None,
+    max_file_age: str = ANY_AGE,
     path_glob: str | None = CSV_GLOB,
     recursive: bool = True,
     strict_header: bool = False,
@@ -53,10 +58,12 @@ def read_trips_stream(
     """Watch a directory; each new file becomes rows, oldest modification time first.
 
     Admission is by files or by bytes per micro-batch; the byte limit wins when both are given.
-    With neither, a batch takes everything that is waiting. Further file source options such as
-    `maxFileAge` or `cleanSource` pass through.
+    With neither, a batch takes everything that is waiting. The driver remembers each file for
+    `max_file_age`, so a shorter one saves memory where files never arrive late. Further file
+    source options such as `cleanSource` pass through.
     """
     reader = spark.readStream.schema(schema).options(**_csv_options(strict_header, path_glob, recursive))
+    reader = reader.option("maxFileAge", max_file_age)
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     elif max_files_per_trigger is not None:
