@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("--input needs --batch-id")
 
     logging.basicConfig(level=logging.INFO)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     config = PipelineConfig.load(args.config)
     if args.available_now:
         config = dataclasses.replace(config, trigger=None)

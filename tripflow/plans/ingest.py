@@ -11,6 +11,7 @@ from tripflow.operators import enrich_trips, with_batch_id
 from tripflow.schema import TRIP_SCHEMA
 from tripflow.sinks import JdbcSink, ParquetSink
 from tripflow.sources import read_trips_batch, read_trips_stream
+from tripflow.sources.files import ensure_directory
 from tripflow.streaming import BatchReport, Sink, start_ingest
 
 
@@ -27,6 +28,8 @@ def start_stream(
     sink: Sink | None = None,
     on_batch: Callable[[BatchReport], None] | None = None,
 ) -> StreamingQuery:
+    # The stream may be up before the first file is.
+    ensure_directory(spark, config.input_path)
     trips = read_trips_stream(
         spark,
         config.input_path,

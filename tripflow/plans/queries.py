@@ -21,6 +21,7 @@ from tripflow.streaming import BatchReport, Sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Where objects land.
 MOUNT, PREFIX = "/mnt/efs", "incoming"
 
 
@@ -420,27 +421,27 @@ def preview10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview.select(land.event_id().alias("event_id"), TRIP_LENGTH, DAY_OF_WEEK, BATCH_ID)
 
 
-def _new_table(spark: SparkSession) -> JdbcSink:
+def new_table(spark: SparkSession) -> JdbcSink:
     name = shared_dir(spark, "trips").rsplit("/", 1)[1].replace("-", "_")
     return JdbcSink(land.database_table(spark, name))
 
 
 def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first append creates the table, the second adds to it."""
-    trips, sink = _enriched(spark, sf_dir), _new_table(spark)
+    trips, sink = _enriched(spark, sf_dir), new_table(spark)
     for batch_id in (0, 1):
         write_jdbc_append(op.with_batch_id(trips.where(F.col("VendorID") == batch_id + 1), batch_id), sink.target)
     return _by_day(sink.read(spark), BATCH_ID)
 
 
 def stream_ingest_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run_over_events(spark, sf_dir, _new_table(spark))
+    run = _run_over_events(spark, sf_dir, new_table(spark))
     run.drain()
     return _by_day(run.sink.read(spark))
 
 
 def stream_replay_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run_over_events(spark, sf_dir, _new_table(spark))
+    run = _run_over_events(spark, sf_dir, new_table(spark))
     _crash_and_resume(run)
     return _by_day(run.sink.read(spark))
 

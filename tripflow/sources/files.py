@@ -1,4 +1,4 @@
-"""Directory look-ups through Hadoop's file system API, so that any URI Spark accepts works."""
+"""Directories through Hadoop's file system API, so that any URI Spark accepts works."""
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +16,13 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
 
 
+def ensure_directory(spark: SparkSession, path: str) -> None:
+    """Create `path` unless it exists or is a pattern."""
+    if not any(c in path for c in "*?[{"):
+        fs, hadoop_path = _resolve(spark, path)
+        fs.mkdirs(hadoop_path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small marker or header file."""
     fs, hadoop_path = _resolve(spark, path)
