@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 from tripflow.schema import TRIP_SCHEMA
-from tripflow.session import pin_time_zone
+from tripflow.session import pin_settings
 from tripflow.sources import JdbcTable
 
 HEADER = ",".join(TRIP_SCHEMA.names)
@@ -26,7 +26,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
-    yield pin_time_zone(session)
+    yield pin_settings(session)
     session.stop()
 
 

@@ -143,6 +143,24 @@ def test_landing_path(spark, key, path):
         assert (row.path, row.partial_path) == (path, f"{path}.part")
 
 
+def test_operators_work_on_a_stream_of_events(spark, tmp_path):
+    texts = [event(ref("b1", "k1.csv")), event(None, ref("b2", "k2.CSV"), ref("b2", "k3.txt")), "{}", "notjson"]
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "1.json").write_text("\n".join(texts))
+    stream = spark.readStream.text(str(tmp_path / "events"))
+
+    def run(df, name):
+        query = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-checkpoint"))
+        query.trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination()
+        return sorted(tuple(row) for row in spark.read.parquet(str(tmp_path / name)).collect())
+
+    valid, rejected = op.split_valid_events(op.normalize_object_events(stream, "value"))
+    assert run(op.with_object_uri(valid).select("uri"), "valid") == [("s3a://b1/k1.csv",), ("s3a://b2/k2.CSV",)]
+    assert run(rejected.select("value"), "rejected") == [("notjson",), ("{}",)]
+    csv = op.only_csv_objects(op.explode_object_records(stream, "value"))
+    assert run(csv, "csv") == [("b2", "k2.CSV")]
+
+
 def test_filters_do_not_parse_again(spark):
     events = op.normalize_object_events(frame(spark, "{}"), "json")
     for side in op.split_valid_events(events):

@@ -8,7 +8,7 @@ from conftest import land, trip
 from tripflow.__main__ import main
 from tripflow.config import PipelineConfig
 from tripflow.plans import sink_for
-from tripflow.session import build_session, shared_dir
+from tripflow.session import build_session, pin_settings, shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink
 
 SETTINGS = {
@@ -85,6 +85,14 @@ def test_session(spark):
     session.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_session_follows_the_settings_given(spark):
+    try:
+        session = build_session(spark_conf={"spark.sql.session.timeZone": "Asia/Tokyo"})
+        assert session.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        pin_settings(spark)
+
+
 def test_shared_dir_is_below_the_configured_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")

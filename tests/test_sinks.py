@@ -88,6 +88,18 @@ def test_session_overwrite_mode_does_not_matter(spark, tmp_path):
     spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
 
 
+def test_parquet_times_can_be_filtered_by_statistics(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    write_parquet_idempotent(batch(spark, [1], 0), 0, str(tmp_path))
+    file = pq.ParquetFile(next(tmp_path.glob("Id=0/*.parquet")))
+    column = file.schema.names.index("tpep_pickup_datetime")
+    assert file.metadata.row_group(0).column(column).statistics.has_min_max
+    late = ParquetSink(str(tmp_path)).read(spark).where("tpep_pickup_datetime > '2030-01-01'")
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(tpep_pickup_datetime" in plan and late.count() == 0
+
+
 def test_count_that_does_not_arrive_is_taken_again(spark, monkeypatch):
     monkeypatch.setattr(counting, "WAIT_SECONDS", 0.2)
     df = batch(spark, range(5), 0)

@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     config = PipelineConfig.load(args.config)
     if args.available_now:
         config = dataclasses.replace(config, trigger=None)
-    spark = build_session(spark_conf=dict(config.spark_conf))
+    spark = build_session(spark_conf=config.spark_conf)
     if args.input:
         ingest_file(spark, args.input, sink_for(config), args.batch_id, replace=args.replace)
     else:

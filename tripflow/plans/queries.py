@@ -13,7 +13,7 @@ from tripflow.config import PipelineConfig
 from tripflow.plans import landing as land
 from tripflow.plans.ingest import ingest_file, start_stream
 from tripflow.schema import BATCH_ID, DAY_OF_WEEK, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
-from tripflow.session import pin_time_zone, shared_dir
+from tripflow.session import pin_settings, shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink, write_jdbc_append, write_parquet_idempotent
 from tripflow.sources import read_sink_table, read_trips_batch
 from tripflow.sources.files import write_text
@@ -467,8 +467,8 @@ def _once_name(sf_dir: str) -> str:
 
 
 def _pinned(query: Query) -> Query:
-    """The SQL takes times as UTC, so the session does too."""
-    return lambda spark, sf_dir: query(pin_time_zone(spark), sf_dir)
+    """Run `query` under the library's settings, whichever session it is given."""
+    return lambda spark, sf_dir: query(pin_settings(spark), sf_dir)
 
 
 QUERIES: dict[str, Query] = {
