@@ -8,6 +8,7 @@ from conftest import land, trip
 from tripflow.__main__ import main
 from tripflow.config import PipelineConfig
 from tripflow.plans import sink_for
+from tripflow.plans.landing import database_table
 from tripflow.session import build_session, pin_settings, shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink
 
@@ -116,6 +117,18 @@ def test_cluster_without_a_shared_folder_is_an_error():
         shared_dir(Cluster, "x")
 
 
+def test_cluster_without_a_database_is_an_error(monkeypatch):
+    monkeypatch.delenv("DB_URL", raising=False)
+    with pytest.raises(RuntimeError, match="DB_URL"):
+        database_table(Cluster, "x")
+
+
+def test_queries_use_the_database_of_the_environment(monkeypatch):
+    for key, value in ENV.items():
+        monkeypatch.setenv(key, value)
+    assert database_table(Cluster, "x").properties() == {"driver": "a.B", "user": "u", "password": "secret"}
+
+
 def job_file(tmp_path):
     (tmp_path / "in").mkdir()
     settings = {

@@ -6,7 +6,7 @@ written by Spark tasks into the shared folder, whole tables at a time, and read
 
 import os
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +34,7 @@ _made: dict[tuple, object] = {}
 class Landing:
     path: str
     files: int
+    rows: int  # per file, at most
 
     @property
     def batch_files(self) -> int:
@@ -41,6 +42,14 @@ class Landing:
         return max(1, -(-self.files // LANDING_FILES))
 
 
+def new_landing(spark: SparkSession, source: DataFrame, name: str) -> Landing:
+    """An empty directory for trips made from `source`."""
+    # A bare count is answered from the parquet footers.
+    count = source.count()
+    rows = max(1, min(-(-count // LANDING_FILES), ROWS_PER_FILE))
+    return Landing(shared_dir(spark, name), -(-count // rows), rows)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
     """Make `name` for these tables the first time this application asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -53,11 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_per_file(events: DataFrame) -> int:
-    # A bare count is answered from the parquet footers.
-    return max(1, min(-(-events.count() // LANDING_FILES), ROWS_PER_FILE))
-
-
 def _coordinate(degrees: int, identity: Column) -> Column:
     return F.concat(F.lit(f"{degrees}."), F.lpad(identity.cast("string"), 18, "0"))
 
@@ -140,9 +144,9 @@ def event_landing(spark: SparkSession, sf_dir: str) -> Landing:
 
     def make() -> Landing:
         events = table(spark, sf_dir, "events")
-        path = shared_dir(spark, "landing")
-        write_csv(trips_from_events(events), path, rows_per_file(events))
-        return Landing(path, len(landed_files(spark, path)))
+        landing = new_landing(spark, events, "landing")
+        write_csv(trips_from_events(events), landing.path, landing.rows)
+        return replace(landing, files=len(landed_files(spark, landing.path)))
 
     return once(spark, sf_dir, "event landing", make)
 
@@ -152,9 +156,9 @@ def lineitem_landing(spark: SparkSession, sf_dir: str) -> Landing:
 
     def make() -> Landing:
         lineitem = table(spark, sf_dir, "lineitem")
-        path = shared_dir(spark, "lineitem-landing")
-        write_csv(trips_from_lineitem(lineitem), path, rows_per_file(lineitem))
-        return Landing(path, len(landed_files(spark, path)))
+        landing = new_landing(spark, lineitem, "lineitem-landing")
+        write_csv(trips_from_lineitem(lineitem), landing.path, landing.rows)
+        return replace(landing, files=len(landed_files(spark, landing.path)))
 
     return once(spark, sf_dir, "lineitem landing", make)
 
@@ -163,19 +167,31 @@ def landed_files(spark: SparkSession, path: str) -> list[str]:
     return [f"{path}/{name}" for name in child_names(spark, path) if name.endswith(".csv")]
 
 
-def numbered_trips(events: DataFrame, rows: int) -> DataFrame:
-    """Trips with the number `f` of the file they go to, `rows` consecutive event ids each.
+def numbered_trips(events: DataFrame, landing: Landing) -> DataFrame:
+    """Trips with the number `f` of the file they go to, as many consecutive event ids as a file has rows.
 
     The shuffle puts each file into one task, and there are as many tasks as files; files are of
     equal size, so none is hot.
     """
-    trips = trips_from_events(events).withColumn("f", F.floor(F.col("event_id") / rows))
-    return trips.repartition(-(-events.count() // rows), "f")
+    trips = trips_from_events(events).withColumn("f", F.floor(F.col("event_id") / landing.rows))
+    return trips.repartition(landing.files, "f")
+
+
+def numbered_landing(spark: SparkSession, sf_dir: str) -> Landing:
+    """All trips made from `events`, one directory with one file for each file number."""
+
+    def make() -> Landing:
+        events = table(spark, sf_dir, "events")
+        landing = new_landing(spark, events, "numbered")
+        write_csv(numbered_trips(events, landing), landing.path, landing.rows, by="f")
+        return landing
+
+    return once(spark, sf_dir, "numbered landing", make)
 
 
-def file_number(rows: int) -> Column:
+def file_number(landing: Landing) -> Column:
     """`f` of a stored trip."""
-    return F.floor(event_id() / rows).alias("f")
+    return F.floor(event_id() / landing.rows).alias("f")
 
 
 def event_json(events: DataFrame) -> DataFrame:
@@ -206,7 +222,7 @@ def event_json(events: DataFrame) -> DataFrame:
 
 
 def database_table(spark: SparkSession, name: str) -> JdbcTable:
-    """`name` in the database the environment names.
+    """The table `name` of the database in the environment.
 
     Without one, a local master gets Derby inside its own process, which no other process sees; on
     a cluster that could not work, so there it is an error.
