@@ -71,6 +71,17 @@ def test_bad_dropoff_leaves_the_day(spark, tmp_path):
     assert row.trip_Length is None and row.day_of_week == "Thu"
 
 
+@pytest.mark.parametrize(("zone", "minutes"), [("UTC", 120.0), ("America/New_York", 60.0)])
+def test_times_are_read_in_the_zone_of_the_session(spark, tmp_path, zone, minutes):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = {"tpep_pickup_datetime": "2015-03-08 01:30:00", "tpep_dropoff_datetime": "2015-03-08 03:30:00"}
+        row = one(spark, tmp_path, trip(**times))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (row.trip_Length, row.day_of_week) == (minutes, "Sun")
+
+
 def test_short_and_long_rows(spark, tmp_path):
     land(tmp_path / "t.csv", ",".join(trip().split(",")[:3]), trip() + ",surplus")
     short, long = sorted(read_trips_batch(spark, str(tmp_path)).collect(), key=lambda r: r.passenger_count or 0)

@@ -3,6 +3,7 @@
 import dataclasses
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -89,9 +90,7 @@ def test_session_overwrite_mode_does_not_matter(spark, tmp_path):
 
 
 def test_parquet_times_can_be_filtered_by_statistics(spark, tmp_path):
-    import pyarrow.parquet as pq
-
-    write_parquet_idempotent(batch(spark, [1], 0), 0, str(tmp_path))
+    write_parquet_idempotent(batch(spark, range(9), 0).coalesce(1), 0, str(tmp_path))
     file = pq.ParquetFile(next(tmp_path.glob("Id=0/*.parquet")))
     column = file.schema.names.index("tpep_pickup_datetime")
     assert file.metadata.row_group(0).column(column).statistics.has_min_max
@@ -223,6 +222,22 @@ def test_driver_that_does_not_take_the_url(spark, table):
         JdbcSink(dataclasses.replace(table, url="jdbc:elsewhere:x")).last_batch_id(spark)
 
 
+def test_table_in_a_named_schema(spark, table):
+    named = dataclasses.replace(table, table=f"APP.{table.table}")
+    assert JdbcSink(named).last_batch_id(spark) is None
+    write_jdbc_idempotent(batch(spark, [1], 4), 4, named)
+    assert JdbcSink(named).last_batch_id(spark) == JdbcSink(table).last_batch_id(spark) == 4
+    alike = dataclasses.replace(table, table=table.table.replace("_", "x"))
+    write_jdbc_idempotent(batch(spark, [1], 9), 9, alike)
+    assert JdbcSink(table).last_batch_id(spark) == 4
+
+
+def test_table_like_another(spark, table):
+    alike = dataclasses.replace(table, table=table.table.replace("_", "x"))
+    write_jdbc_idempotent(batch(spark, [1], 0), 0, alike)
+    assert JdbcSink(table).last_batch_id(spark) is None
+
+
 def test_password_is_not_shown(table):
     assert "hunter2" not in repr(dataclasses.replace(table, user="u", password="hunter2"))
 

@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
@@ -117,6 +116,25 @@ def _statement(spark: SparkSession, target: JdbcTable):
         connection.close()
 
 
+def _has_table(connection, table: str) -> bool:
+    """Whether `table`, written as in SQL without quotes, exists."""
+    catalog = connection.getMetaData()
+    if catalog.storesUpperCaseIdentifiers():
+        table = table.upper()
+    elif catalog.storesLowerCaseIdentifiers():
+        table = table.lower()
+    schema, _, name = table.rpartition(".")
+    found = catalog.getTables(None, schema or connection.getSchema(), name, None)
+    try:
+        # The catalog takes the name as a pattern, in which an underscore matches any character.
+        while found.next():
+            if found.getString("TABLE_NAME") == name:
+                return True
+        return False
+    finally:
+        found.close()
+
+
 @dataclass(frozen=True)
 class JdbcSink:
     """Replay-safe by default; `replay_safe=False` is the plain append."""
@@ -139,10 +157,7 @@ class JdbcSink:
     def _scalar(self, spark: SparkSession, sql: str) -> int | None:
         """The number `sql` gives, None for NULL or when there is no such table yet."""
         with _statement(spark, self.target) as (connection, statement):
-            exists = f"SELECT 1 FROM {self.target.table} WHERE 1 = 0"
-            try:
-                statement.executeQuery(exists).close()
-            except Py4JJavaError:
+            if not _has_table(connection, self.target.table):
                 return None
             result = statement.executeQuery(sql)
             result.next()
