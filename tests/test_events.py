@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from tripflow import operators as op
 
@@ -80,6 +82,37 @@ def test_split_is_a_partition_of_the_events(spark):
     assert sorted(r.id for r in rejected.collect()) == list(range(2, 2 + len(REJECTED)))
 
 
+names = st.sampled_from([None, "", "a", "b.csv"])
+part = st.one_of(st.none(), st.fixed_dictionaries({}, optional={"name": names, "key": names}))
+refs = st.one_of(st.none(), st.fixed_dictionaries({}, optional={"bucket": part, "object": part}))
+records = st.lists(st.one_of(st.none(), st.fixed_dictionaries({}, optional={"s3": refs})), max_size=3)
+shapes = st.fixed_dictionaries({}, optional={"detail": refs, "Records": st.one_of(st.none(), records)})
+
+
+def both(named):
+    """The pair a reference names, or None unless it names both parts."""
+    at = lambda field, name: ((named or {}).get(field) or {}).get(name)
+    pair = at("bucket", "name"), at("object", "key")
+    return pair if all(pair) else None
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(shapes, min_size=30, max_size=60))
+def test_against_python(spark, events):
+    df = frame(spark, *map(json.dumps, events))
+    valid, rejected = op.split_valid_events(op.normalize_object_events(df, "json"))
+    found = {r.id: (r.bucket, r.key) for r in valid.collect()}
+    missing = {r.id for r in rejected.collect()}
+    records_of = [[(r or {}).get("s3") for r in e.get("Records") or []] for e in events]
+    expected = [both(e.get("detail")) or both(next(iter(rs), None)) for e, rs in zip(events, records_of, strict=True)]
+    assert found == {i: pair for i, pair in enumerate(expected) if pair}
+    assert missing == {i for i, pair in enumerate(expected) if not pair}
+    csv = op.only_csv_objects(op.explode_object_records(df, "json"))
+    listed = sorted((r.id, r.bucket, r.key) for r in csv.where("bucket != ''").collect())
+    pairs = ((i, both(r)) for i, rs in enumerate(records_of) for r in rs)
+    assert listed == sorted((i, *pair) for i, pair in pairs if pair and pair[1].endswith(".csv"))
+
+
 def test_other_columns_stay(spark):
     assert op.normalize_object_events(frame(spark, "{}"), "json").columns == ["id", "json", "bucket", "key"]
     assert op.explode_object_records(frame(spark, "{}"), "json").columns == ["id", "bucket", "key"]

@@ -1,11 +1,13 @@
 """Every registered query against its SQL, over whole tables."""
 
+import shutil
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tripflow.plans import landing
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +46,11 @@ def test_entry(spark):
     assert sorted(r.day_of_week for r in driver.entry(spark).collect()) == sorted(
         "Mon Tue Wed Thu Fri Sat Sun".split()
     )
+
+
+def test_deleted_landing_is_made_again(spark):
+    first = landing.event_landing(spark, SF_DIR)
+    assert landing.event_landing(spark, SF_DIR) == first
+    shutil.rmtree(first.path)
+    second = landing.event_landing(spark, SF_DIR)
+    assert second.path != first.path and driver.queries()["csv_scan"](spark, SF_DIR).count() > 0

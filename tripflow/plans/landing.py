@@ -51,9 +51,10 @@ def new_landing(spark: SparkSession, source: DataFrame, name: str) -> Landing:
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
-    """Make `name` for these tables the first time this application asks for it."""
+    """Make `name` for these tables the first time this application asks for it, or after it was deleted."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
+    path = getattr(_made.get(key), "path", None)
+    if key not in _made or (path and not child_names(spark, path)):
         _made[key] = make()
     return _made[key]
 

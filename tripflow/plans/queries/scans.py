@@ -8,7 +8,6 @@ from tripflow.plans import landing as land
 from tripflow.plans.ingest import ingest_file
 from tripflow.plans.queries.shapes import cents, derived_columns, trip_columns
 from tripflow.schema import DAY_OF_WEEK, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
-from tripflow.session import shared_dir
 from tripflow.sources import read_trips_batch
 
 
@@ -19,8 +18,9 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that do not parse, rows that are too short or too long: NULL there, the rest kept."""
 
-    def make() -> str:
-        trips = land.trips_from_events(land.table(spark, sf_dir, "events"))
+    def make() -> land.Landing:
+        events = land.table(spark, sf_dir, "events")
+        landing, trips = land.new_landing(spark, events, "rough"), land.trips_from_events(events)
         kind = F.element_at(F.array(*map(F.lit, land.EVENT_TYPES)), F.col("payment_type"))
         pickup = F.date_format(PICKUP, land.CSV_TIME)
         rough = {
@@ -40,12 +40,11 @@ def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
         fields = F.when(kind == "view", F.slice(fields, 1, 10)).when(
             kind == "purchase", F.array_append(fields, F.lit("surplus"))
         ).otherwise(fields)
-        path = shared_dir(spark, "rough")
-        trips.select(F.concat_ws(",", fields)).write.text(path)
-        return path
+        trips.select(F.concat_ws(",", fields)).write.text(landing.path)
+        return landing
 
-    path = land.once(spark, sf_dir, "rough", make)
-    trips = op.enrich_trips(read_trips_batch(spark, path, path_glob=None, header=False))
+    landing = land.once(spark, sf_dir, "rough", make)
+    trips = op.enrich_trips(read_trips_batch(spark, landing.path, path_glob=None, header=False))
     return trips.select(*trip_columns(), *derived_columns())
 
 
