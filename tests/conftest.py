@@ -26,6 +26,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
+    session._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
     yield pin_settings(session)
     session.stop()
 

@@ -233,6 +233,8 @@ def database_table(spark: SparkSession, name: str) -> JdbcTable:
         return JdbcTable(env["DB_URL"], name, env["DB_DRIVER"], env.get("DB_USER"), env.get("DB_PASSWORD"))
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("database queries need DB_URL and DB_DRIVER on a cluster")
+    # Derby would leave a log file in whichever directory the JVM was started from.
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
     return JdbcTable("jdbc:derby:memory:tripflow;create=true", name, "org.apache.derby.jdbc.EmbeddedDriver")
 
 
