@@ -94,6 +94,7 @@ def test_parquet_times_can_be_filtered_by_statistics(spark, tmp_path):
     file = pq.ParquetFile(next(tmp_path.glob("Id=0/*.parquet")))
     column = file.schema.names.index("tpep_pickup_datetime")
     assert file.metadata.row_group(0).column(column).statistics.has_min_max
+    assert file.metadata.row_group(0).column(column).compression == "ZSTD"
     late = ParquetSink(str(tmp_path)).read(spark).where("tpep_pickup_datetime > '2030-01-01'")
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(tpep_pickup_datetime" in plan and late.count() == 0

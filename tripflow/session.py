@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # The default, INT96, carries no statistics, so a filter on the pickup time would read every file.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # A fifth smaller than the default, snappy, on trips, and no slower to write.
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
