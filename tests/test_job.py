@@ -34,6 +34,11 @@ def test_settings():
     assert "secret" not in repr(config)
 
 
+def test_source_options():
+    config = PipelineConfig.from_settings(SETTINGS | {"source.cleanSource": "archive"}, ENV)
+    assert config.source_options == {"cleanSource": "archive"}
+
+
 def test_defaults():
     config = PipelineConfig.from_settings({"input.csv.path": "/a", "checkpoint.dir": "/b"}, {})
     assert config.output_mode == "append" and config.trigger is None and config.first_batch_id == 0
@@ -160,4 +165,5 @@ def test_command_line_objects(spark, tmp_path):
     with pytest.raises(ValueError):
         main([*args, "--batch-id", "3"])
     main([*args, "--batch-id", "3", "--replace"])
-    assert stored.count(spark).first().n == 2
+    main([*args, "--batch-id", "-1"])
+    assert stored.batch_ids(spark) == [-1, 3] and stored.count(spark).first().n == 4

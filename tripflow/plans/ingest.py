@@ -39,6 +39,7 @@ def start_stream(
         path_glob=config.path_glob,
         recursive=config.recursive,
         strict_header=config.strict_header,
+        **config.source_options,
     )
     return start_ingest(
         enrich_trips(trips),
@@ -68,6 +69,7 @@ def ingest_file(
     """Read, derive and, given a sink, store the named objects as batch `batch_id`.
 
     Returns the derived rows. A batch the sink already holds is only overwritten with `replace`.
+    Beside a stream, which counts up from 0, negative ids are free.
     """
     # A named object is taken as it is: no glob, no descent.
     trips = enrich_trips(read_trips_batch(spark, path, schema, path_glob=None, recursive=False))

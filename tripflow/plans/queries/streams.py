@@ -7,6 +7,7 @@ from tripflow.plans import landing as land
 from tripflow.plans.queries.runs import Run, crash_and_resume, new_parquet, new_table, run_over_events
 from tripflow.plans.queries.shapes import by_day
 from tripflow.schema import BATCH_ID, DROPOFF, PICKUP, TRIP_SCHEMA
+from tripflow.sinks import ParquetSink
 from tripflow.sources.files import write_text
 
 
@@ -50,21 +51,27 @@ def _batches_per_file(stored: DataFrame, landing: land.Landing) -> DataFrame:
     )
 
 
+def _one_file_batches(spark: SparkSession, sf_dir: str) -> tuple[land.Landing, ParquetSink]:
+    landing = land.numbered_landing(spark, sf_dir)
+
+    def make() -> ParquetSink:
+        run = Run(spark, landing.path, new_parquet(spark), max_files=1)
+        run.drain()
+        return run.sink
+
+    return landing, land.once(spark, sf_dir, "one file batches", make)
+
+
 def stream_file_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per micro-batch: no file is split over batches."""
-    landing = land.numbered_landing(spark, sf_dir)
-    run = Run(spark, landing.path, new_parquet(spark), max_files=1)
-    run.drain()
-    return _batches_per_file(run.sink.read(spark), landing)
+    landing, sink = _one_file_batches(spark, sf_dir)
+    return _batches_per_file(sink.read(spark), landing)
 
 
 def stream_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch ids count up from 0, one per file."""
-    landing = land.numbered_landing(spark, sf_dir)
-    run = Run(spark, landing.path, new_parquet(spark), max_files=1)
-    run.drain()
-    stored = run.sink.read(spark)
-    per_batch = stored.groupBy(BATCH_ID).agg(F.count_distinct(land.file_number(landing)).alias("files"))
+    landing, sink = _one_file_batches(spark, sf_dir)
+    per_batch = sink.read(spark).groupBy(BATCH_ID).agg(F.count_distinct(land.file_number(landing)).alias("files"))
     return per_batch.agg(
         F.count(F.lit(1)).alias("batches"),
         F.min(BATCH_ID).alias("first_id"),

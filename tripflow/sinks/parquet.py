@@ -12,7 +12,7 @@ from tripflow.schema import BATCH_ID, STORED_SCHEMA
 from tripflow.sinks.counting import write_counted
 from tripflow.sources.files import child_names
 
-_BATCH_DIR = re.compile(rf"{BATCH_ID}=(\d+)")
+_BATCH_DIR = re.compile(rf"{BATCH_ID}=(-?\d+)")
 
 
 def write_parquet_idempotent(df: DataFrame, batch_id: int, path: str) -> int:
