@@ -132,47 +132,96 @@ def test_unknown_column_is_refused(spark, table):
     assert contents(read_sink_table(spark, table)) == [(0, 1)]
 
 
-def test_task_that_committed_twice_is_noticed(spark, table, monkeypatch):
-    """What a lost executor leaves behind: the rows of a task are in the staging table twice."""
-    real, staged = jdbc._write, []
+@pytest.fixture
+def staging(monkeypatch):
+    """A list of the staging tables filled, and a hook that runs after each filling."""
+    real, staged, after = jdbc._write, [], []
 
-    def write_twice(df, target, name, mode):
+    def write(df, target, name, mode):
         real(df, target, name, mode)
         if mode == "overwrite":
             staged.append(name)
-            if len(staged) == 1:
-                real(df.where("VendorID = 2"), target, name, "append")
+            for hook in after:
+                hook(df, target, name)
+
+    monkeypatch.setattr(jdbc, "_write", write)
+    yield staged, after, real
+
 
-    monkeypatch.setattr(jdbc, "_write", write_twice)
+def test_task_that_committed_twice_is_noticed(spark, table, staging):
+    """What a lost executor leaves behind: the rows of a task are in the staging table twice."""
+    staged, after, write = staging
+    after.append(lambda df, target, name: len(staged) > 1 or write(df.where("VendorID = 2"), target, name, "append"))
     assert write_jdbc_idempotent(batch(spark, [1, 2, 3], 0), 0, table) == 3
     assert len(staged) == 2
     assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2), (0, 3)]
 
 
-def test_surplus_that_stays_fails_the_batch_and_keeps_the_table(spark, table, monkeypatch):
+def test_surplus_that_stays_fails_the_batch_and_keeps_the_table(spark, table, staging):
+    _, after, write = staging
     write_jdbc_idempotent(batch(spark, [7, 8], 0), 0, table)
-    real = jdbc._write
+    after.append(lambda df, target, name: write(df, target, name, "append"))
+    for batch_id, replace in ((0, True), (1, False)):
+        with pytest.raises(RuntimeError, match=f"batch {batch_id}"):
+            write_jdbc_idempotent(batch(spark, [1, 2, 3], batch_id), batch_id, table, replace=replace)
+    # Deletes and entries were rolled back with the rest.
+    assert contents(read_sink_table(spark, table)) == [(0, 7), (0, 8)]
+    assert JdbcSink(table).last_batch_id(spark) == 0
 
-    def always_twice(df, target, name, mode):
-        real(df, target, name, mode)
-        if mode == "overwrite":
-            real(df, target, name, "append")
 
-    monkeypatch.setattr(jdbc, "_write", always_twice)
-    with pytest.raises(RuntimeError, match="batch 0"):
-        write_jdbc_idempotent(batch(spark, [1, 2, 3], 0), 0, table)
-    # The delete of the replay was rolled back with the rest.
-    assert contents(read_sink_table(spark, table)) == [(0, 7), (0, 8)]
+def test_replay_of_a_stored_batch_stages_nothing(spark, table, staging):
+    staged, _, _ = staging
+    for _ in range(3):
+        assert write_jdbc_idempotent(batch(spark, [1, 2], 0), 0, table) == 2
+    assert len(staged) == 1
+    assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2)]
+
+
+def test_of_two_drivers_one_gets_the_batch_in(spark, table, staging):
+    """A second driver stores the same batch while the first has staged but not published it."""
+    staged, after, _ = staging
+    sent = batch(spark, [1, 2], 0)
+    after.append(lambda *_: len(staged) > 1 or write_jdbc_idempotent(sent, 0, table))
+    assert write_jdbc_idempotent(sent, 0, table, replay=False) == 2
+    assert len(set(staged)) == 2
+    assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2)]
+
+
+def test_replace(spark, table):
+    write_jdbc_idempotent(batch(spark, [1, 2], 0), 0, table)
+    write_jdbc_idempotent(batch(spark, [5], 1), 1, table)
+    assert write_jdbc_idempotent(batch(spark, [3], 0), 0, table, replace=True) == 1
+    assert contents(read_sink_table(spark, table)) == [(0, 3), (1, 5)]
+    with pytest.raises(ValueError, match="cannot replace"):
+        JdbcSink(table, replay_safe=False).write(batch(spark, [3], 0), 0, replace=True)
+
 
+def test_replay_removes_what_a_plain_append_left(spark, table):
+    write_jdbc_append(batch(spark, [1, 2], 0), table)
+    assert JdbcSink(table).has_batch(spark, 0)
+    assert write_jdbc_idempotent(batch(spark, [1, 2], 0), 0, table) == 2
+    assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2)]
 
-def test_failure_while_staging_leaves_the_table_alone(spark, table):
+
+def test_batches_count_as_stored_when_their_rows_are_gone(spark, table):
+    write_jdbc_idempotent(batch(spark, [1], 5), 5, table)
+    with jdbc._statement(spark, table) as (connection, statement):
+        statement.executeUpdate(f"DELETE FROM {table.table}")
+        connection.commit()
+    assert JdbcSink(table).last_batch_id(spark) == 5 and JdbcSink(table).has_batch(spark, 5)
+
+
+def test_no_staging_table_stays(spark, table, staging):
+    staged, _, _ = staging
     write_jdbc_idempotent(batch(spark, [7], 0), 0, table)
-    broken = batch(spark, [1, 2], 0).withColumn("passenger_count", F.raise_error(F.lit("boom")).cast("int"))
+    broken = batch(spark, [1, 2], 1).withColumn("passenger_count", F.raise_error(F.lit("boom")).cast("int"))
     with pytest.raises(Exception, match="boom"):
-        write_jdbc_idempotent(broken, 0, table)
+        write_jdbc_idempotent(broken, 1, table)
     assert contents(read_sink_table(spark, table)) == [(0, 7)]
-    write_jdbc_idempotent(batch(spark, [1, 2], 0), 0, table)
-    assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2)]
+    write_jdbc_idempotent(batch(spark, [1, 2], 1), 1, table)
+    assert contents(read_sink_table(spark, table)) == [(0, 7), (1, 1), (1, 2)]
+    with jdbc._statement(spark, table) as (connection, _):
+        assert not any(jdbc._has_table(connection, name) for name in staged)
 
 
 def test_times_are_stored_as_the_wall_clock_of_the_session(spark, table):

@@ -78,5 +78,5 @@ def ingest_file(
             raise ValueError("storing needs a batch id")
         if sink.has_batch(spark, batch_id) and not replace:
             raise ValueError(f"the sink already holds batch {batch_id}")
-        sink.write(with_batch_id(trips, batch_id), batch_id, replay=replace)
+        sink.write(with_batch_id(trips, batch_id), batch_id, replay=False, replace=replace)
     return trips

@@ -1,10 +1,12 @@
 """A database table over JDBC."""
 
 import logging
+import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
@@ -52,46 +54,98 @@ def write_jdbc_append(df: DataFrame, target: JdbcTable) -> int:
 
 
 def write_jdbc_idempotent(
-    df: DataFrame, batch_id: int, target: JdbcTable, *, stage: str | None = None, replay: bool = True
+    df: DataFrame, batch_id: int, target: JdbcTable, *, replay: bool = True, replace: bool = False
 ) -> int:
-    """Make the rows of `df` the content of batch `batch_id`; returns their number.
+    """Store the rows of `df` as batch `batch_id` unless that is done already; returns their number.
 
-    Tasks fill a staging table; one database transaction then drops what an earlier attempt of the
-    batch left (looked for only when `replay` is set) and moves the staged rows over. Readers see
-    the batch whole or not at all. A task that committed twice shows as a surplus in the number of
-    rows moved: the transaction is rolled back and the batch staged afresh.
+    Tasks fill a staging table; one database transaction then moves the staged rows over and enters
+    the batch in the table `<table>_batches`, whose key admits it once. So readers see a batch whole
+    or not at all, a replayed batch is found there and left alone, and of two drivers that overlap
+    only one gets its batch in. A task that committed twice shows as a surplus in the number of rows
+    moved: the transaction is rolled back and the batch staged afresh.
+
+    `replay` also removes rows of the batch that a plain append left, `replace` what is stored.
     """
     spark, rows = df.sparkSession, _rows_for(df, target)
-    stage = stage or f"{target.table}_stage"
+    _create_batches(spark, target)
+    if not replace and (stored := _stored_rows(spark, target, batch_id)) is not None:
+        return stored
     # An empty append creates a missing table and rejects a column set that does not fit.
     _write(rows.where(F.lit(False)), target, target.table, "append")
-    for attempt in range(1, STAGE_ATTEMPTS + 1):
-        staged = write_counted(rows, lambda out: _write(out, target, stage, "overwrite"))
-        if _publish(spark, target, stage, rows.columns, batch_id, staged, replay):
-            return staged
-        log.warning("batch %s: staged rows were not %s, attempt %s", batch_id, staged, attempt)
+    stage = f"{target.table}_stage_{uuid.uuid4().hex[:8]}"
+    try:
+        for attempt in range(1, STAGE_ATTEMPTS + 1):
+            staged = write_counted(rows, lambda out: _write(out, target, stage, "overwrite"))
+            if _publish(spark, target, stage, rows.columns, batch_id, staged, replay, replace):
+                return staged
+            log.warning("batch %s: staged rows were not %s, attempt %s", batch_id, staged, attempt)
+    except Py4JJavaError:
+        # The key turned this batch away if another driver got it in meanwhile.
+        if replace or (stored := _stored_rows(spark, target, batch_id)) is None:
+            raise
+        return stored
+    finally:
+        _drop(spark, target, stage)
     raise RuntimeError(f"batch {batch_id}: staging kept differing from the batch")
 
 
 def _publish(
-    spark: SparkSession, target: JdbcTable, stage: str, columns: list[str], batch_id: int, expected: int, replay: bool
+    spark: SparkSession,
+    target: JdbcTable,
+    stage: str,
+    columns: list[str],
+    batch_id: int,
+    expected: int,
+    replay: bool,
+    replace: bool,
 ) -> bool:
-    own = f"{target.quote(spark, BATCH_ID)} = {int(batch_id)}"
+    own = _is_batch(spark, target, batch_id)
     names = ", ".join(target.quote(spark, name) for name in columns)
     with _statement(spark, target) as (connection, statement):
-        if replay:
+        if replace:
+            statement.executeUpdate(f"DELETE FROM {_batches(target)} WHERE {own}")
+        statement.executeUpdate(f"INSERT INTO {_batches(target)} VALUES ({int(batch_id)}, {int(expected)})")
+        if replay or replace:
             statement.executeLargeUpdate(f"DELETE FROM {target.table} WHERE {own}")
         moved = statement.executeLargeUpdate(
             f"INSERT INTO {target.table} ({names}) SELECT {names} FROM {stage} WHERE {own}"
         )
         if moved != expected:
-            connection.rollback()
             return False
-        statement.executeUpdate(f"DROP TABLE {stage}")
         connection.commit()
         return True
 
 
+def _batches(target: JdbcTable) -> str:
+    return f"{target.table}_batches"
+
+
+def _is_batch(spark: SparkSession, target: JdbcTable, batch_id: int) -> str:
+    return f"{target.quote(spark, BATCH_ID)} = {int(batch_id)}"
+
+
+def _create_batches(spark: SparkSession, target: JdbcTable) -> None:
+    with _statement(spark, target) as (connection, statement):
+        if not _has_table(connection, _batches(target)):
+            key, rows = target.quote(spark, BATCH_ID), target.quote(spark, "rows")
+            statement.executeUpdate(
+                f"CREATE TABLE {_batches(target)} ({key} INTEGER NOT NULL PRIMARY KEY, {rows} BIGINT NOT NULL)"
+            )
+            connection.commit()
+
+
+def _stored_rows(spark: SparkSession, target: JdbcTable, batch_id: int) -> int | None:
+    own, rows = _is_batch(spark, target, batch_id), target.quote(spark, "rows")
+    return _scalar(spark, target, _batches(target), f"SELECT MAX({rows}) FROM {_batches(target)} WHERE {own}")
+
+
+def _drop(spark: SparkSession, target: JdbcTable, table: str) -> None:
+    with _statement(spark, target) as (connection, statement):
+        if _has_table(connection, table):
+            statement.executeUpdate(f"DROP TABLE {table}")
+            connection.commit()
+
+
 @contextmanager
 def _statement(spark: SparkSession, target: JdbcTable):
     """A statement in an open transaction, on a driver-side connection; rolled back unless committed."""
@@ -135,6 +189,17 @@ def _has_table(connection, table: str) -> bool:
         found.close()
 
 
+def _scalar(spark: SparkSession, target: JdbcTable, table: str, sql: str) -> int | None:
+    """The number `sql` gives, None for NULL or when there is no `table` yet."""
+    with _statement(spark, target) as (connection, statement):
+        if not _has_table(connection, table):
+            return None
+        result = statement.executeQuery(sql)
+        result.next()
+        value = result.getLong(1)
+        return None if result.wasNull() else value
+
+
 @dataclass(frozen=True)
 class JdbcSink:
     """Replay-safe by default; `replay_safe=False` is the plain append."""
@@ -142,27 +207,24 @@ class JdbcSink:
     target: JdbcTable
     replay_safe: bool = True
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True) -> int:
+    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int:
         if self.replay_safe:
-            return write_jdbc_idempotent(df, batch_id, self.target, replay=replay)
+            return write_jdbc_idempotent(df, batch_id, self.target, replay=replay, replace=replace)
+        if replace:
+            raise ValueError("a plain append cannot replace a batch")
         return write_jdbc_append(df, self.target)
 
     def last_batch_id(self, spark: SparkSession) -> int | None:
-        return self._scalar(spark, f"SELECT MAX({self.target.quote(spark, BATCH_ID)}) FROM {self.target.table}")
+        highest = f"SELECT MAX({self.target.quote(spark, BATCH_ID)}) FROM"
+        tables = (self.target.table, _batches(self.target))
+        found = (_scalar(spark, self.target, table, f"{highest} {table}") for table in tables)
+        return max((value for value in found if value is not None), default=None)
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
-        own = f"{self.target.quote(spark, BATCH_ID)} = {int(batch_id)}"
-        return bool(self._scalar(spark, f"SELECT COUNT(*) FROM {self.target.table} WHERE {own}"))
-
-    def _scalar(self, spark: SparkSession, sql: str) -> int | None:
-        """The number `sql` gives, None for NULL or when there is no such table yet."""
-        with _statement(spark, self.target) as (connection, statement):
-            if not _has_table(connection, self.target.table):
-                return None
-            result = statement.executeQuery(sql)
-            result.next()
-            value = result.getLong(1)
-            return None if result.wasNull() else value
+        if _stored_rows(spark, self.target, batch_id) is not None:
+            return True
+        table, own = self.target.table, _is_batch(spark, self.target, batch_id)
+        return bool(_scalar(spark, self.target, table, f"SELECT COUNT(*) FROM {table} WHERE {own}"))
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_sink_table(spark, self.target, num_partitions=self.target.max_connections)

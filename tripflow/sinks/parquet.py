@@ -32,8 +32,8 @@ class ParquetSink:
 
     replay_safe = True
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True) -> int:
-        # A first write and a replay are the same operation here.
+    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int:
+        # A first write, a replay and a replacement are the same operation here.
         return write_parquet_idempotent(df, batch_id, self.path)
 
     def batch_ids(self, spark: SparkSession) -> list[int]:

@@ -18,7 +18,7 @@ class Sink(Protocol):
 
     replay_safe: bool
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True) -> int: ...
+    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int: ...
 
     def last_batch_id(self, spark: SparkSession) -> int | None: ...
 
