@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripflow.operators import with_batch_id
 from tripflow.schema import STORED_SCHEMA
 from tripflow.sinks import (
+    ForeignBatch,
     JdbcSink,
     ParquetSink,
     counting,
@@ -107,6 +108,28 @@ def test_count_that_does_not_arrive_is_taken_again(spark, monkeypatch):
     assert counting.write_counted(df, lambda _: spark.range(3).write.format("noop").mode("append").save()) == 5
 
 
+def test_batch_of_another_owner(spark, sink):
+    sink.write(batch(spark, [1], 0), 0, owner="one")
+    sink.write(batch(spark, [1], 0), 0, owner="one")
+    for replay in (True, False):
+        with pytest.raises(ForeignBatch, match="by one, not by two"):
+            sink.write(batch(spark, [2], 0), 0, owner="two", replay=replay)
+    assert contents(sink.read(spark)) == [(0, 1)]
+    sink.write(batch(spark, [2], 0), 0, owner="two", replace=True)
+    assert contents(sink.read(spark)) == [(0, 2)]
+    with pytest.raises(ForeignBatch):
+        sink.write(batch(spark, [1], 0), 0, owner="one")
+
+
+def test_parquet_marker_that_was_not_finished(spark, tmp_path):
+    (tmp_path / "_batches").mkdir()
+    (tmp_path / "_batches" / "0").touch()
+    sink = ParquetSink(str(tmp_path))
+    sink.write(batch(spark, [1], 0), 0, owner="one")
+    assert contents(sink.read(spark)) == [(0, 1)]
+    assert (tmp_path / "_batches" / "0").read_text() == "one"
+
+
 # ---- database only -----------------------------------------------------------------------------
 
 

@@ -54,8 +54,8 @@ class _LostAfterWrite:
     batch_id: int
     replay_safe: bool = True
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int:
-        rows = self.sink.write(df, batch_id, replay=replay, replace=replace)
+    def write(self, df: DataFrame, batch_id: int, **how: object) -> int:
+        rows = self.sink.write(df, batch_id, **how)
         if batch_id == self.batch_id:
             raise RuntimeError("lost after the write, before the commit")
         return rows

@@ -1,9 +1,11 @@
 """Writing stamped micro-batches to a database table or to parquet."""
 
 from tripflow.sinks.jdbc import JdbcSink, write_jdbc_append, write_jdbc_idempotent
+from tripflow.sinks.ownership import ForeignBatch
 from tripflow.sinks.parquet import ParquetSink, write_parquet_idempotent
 
 __all__ = [
+    "ForeignBatch",
     "JdbcSink",
     "ParquetSink",
     "write_jdbc_append",

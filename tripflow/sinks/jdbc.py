@@ -13,6 +13,7 @@ from pyspark.sql.types import TimestampType
 
 from tripflow.schema import BATCH_ID
 from tripflow.sinks.counting import write_counted
+from tripflow.sinks.ownership import NO_STREAM, check_owner
 from tripflow.sources.table import JdbcTable, read_sink_table, sink_count, sink_preview
 
 log = logging.getLogger(__name__)
@@ -54,7 +55,7 @@ def write_jdbc_append(df: DataFrame, target: JdbcTable) -> int:
 
 
 def write_jdbc_idempotent(
-    df: DataFrame, batch_id: int, target: JdbcTable, *, replay: bool = True, replace: bool = False
+    df: DataFrame, batch_id: int, target: JdbcTable, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
 ) -> int:
     """Store the rows of `df` as batch `batch_id` unless that is done already; returns their number.
 
@@ -64,11 +65,12 @@ def write_jdbc_idempotent(
     only one gets its batch in. A task that committed twice shows as a surplus in the number of rows
     moved: the transaction is rolled back and the batch staged afresh.
 
-    `replay` also removes rows of the batch that a plain append left, `replace` what is stored.
+    `replay` also removes rows of the batch that a plain append left, `replace` what is stored. A
+    batch of the same id that another `owner` stored is an error.
     """
     spark, rows = df.sparkSession, _rows_for(df, target)
     _create_batches(spark, target)
-    if not replace and (stored := _stored_rows(spark, target, batch_id)) is not None:
+    if not replace and (stored := _stored_rows(spark, target, batch_id, owner)) is not None:
         return stored
     # An empty append creates a missing table and rejects a column set that does not fit.
     _write(rows.where(F.lit(False)), target, target.table, "append")
@@ -76,12 +78,12 @@ def write_jdbc_idempotent(
     try:
         for attempt in range(1, STAGE_ATTEMPTS + 1):
             staged = write_counted(rows, lambda out: _write(out, target, stage, "overwrite"))
-            if _publish(spark, target, stage, rows.columns, batch_id, staged, replay, replace):
+            if _publish(spark, target, stage, rows.columns, batch_id, staged, owner, replay, replace):
                 return staged
             log.warning("batch %s: staged rows were not %s, attempt %s", batch_id, staged, attempt)
     except Py4JJavaError:
         # The key turned this batch away if another driver got it in meanwhile.
-        if replace or (stored := _stored_rows(spark, target, batch_id)) is None:
+        if replace or (stored := _stored_rows(spark, target, batch_id, owner)) is None:
             raise
         return stored
     finally:
@@ -96,6 +98,7 @@ def _publish(
     columns: list[str],
     batch_id: int,
     expected: int,
+    owner: str,
     replay: bool,
     replace: bool,
 ) -> bool:
@@ -104,7 +107,11 @@ def _publish(
     with _statement(spark, target) as (connection, statement):
         if replace:
             statement.executeUpdate(f"DELETE FROM {_batches(target)} WHERE {own}")
-        statement.executeUpdate(f"INSERT INTO {_batches(target)} VALUES ({int(batch_id)}, {int(expected)})")
+        enter = connection.prepareStatement(
+            f"INSERT INTO {_batches(target)} VALUES ({int(batch_id)}, {int(expected)}, ?)"
+        )
+        enter.setString(1, owner)
+        enter.executeUpdate()
         if replay or replace:
             statement.executeLargeUpdate(f"DELETE FROM {target.table} WHERE {own}")
         moved = statement.executeLargeUpdate(
@@ -125,18 +132,27 @@ def _is_batch(spark: SparkSession, target: JdbcTable, batch_id: int) -> str:
 
 
 def _create_batches(spark: SparkSession, target: JdbcTable) -> None:
+    key, rows, owner = (target.quote(spark, name) for name in (BATCH_ID, "rows", "owner"))
     with _statement(spark, target) as (connection, statement):
         if not _has_table(connection, _batches(target)):
-            key, rows = target.quote(spark, BATCH_ID), target.quote(spark, "rows")
             statement.executeUpdate(
-                f"CREATE TABLE {_batches(target)} ({key} INTEGER NOT NULL PRIMARY KEY, {rows} BIGINT NOT NULL)"
+                f"CREATE TABLE {_batches(target)} ({key} INTEGER NOT NULL PRIMARY KEY, "
+                f"{rows} BIGINT NOT NULL, {owner} VARCHAR(100) NOT NULL)"
             )
             connection.commit()
 
 
-def _stored_rows(spark: SparkSession, target: JdbcTable, batch_id: int) -> int | None:
-    own, rows = _is_batch(spark, target, batch_id), target.quote(spark, "rows")
-    return _scalar(spark, target, _batches(target), f"SELECT MAX({rows}) FROM {_batches(target)} WHERE {own}")
+def _stored_rows(spark: SparkSession, target: JdbcTable, batch_id: int, owner: str) -> int | None:
+    """The rows of a batch that `owner` has stored, None for one that is not stored."""
+    rows, holder = target.quote(spark, "rows"), target.quote(spark, "owner")
+    with _statement(spark, target) as (_, statement):
+        found = statement.executeQuery(
+            f"SELECT {rows}, {holder} FROM {_batches(target)} WHERE {_is_batch(spark, target, batch_id)}"
+        )
+        if not found.next():
+            return None
+        check_owner(batch_id, found.getString(2), owner)
+        return found.getLong(1)
 
 
 def _drop(spark: SparkSession, target: JdbcTable, table: str) -> None:
@@ -207,9 +223,11 @@ class JdbcSink:
     target: JdbcTable
     replay_safe: bool = True
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int:
+    def write(
+        self, df: DataFrame, batch_id: int, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
+    ) -> int:
         if self.replay_safe:
-            return write_jdbc_idempotent(df, batch_id, self.target, replay=replay, replace=replace)
+            return write_jdbc_idempotent(df, batch_id, self.target, owner=owner, replay=replay, replace=replace)
         if replace:
             raise ValueError("a plain append cannot replace a batch")
         return write_jdbc_append(df, self.target)
@@ -221,10 +239,9 @@ class JdbcSink:
         return max((value for value in found if value is not None), default=None)
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
-        if _stored_rows(spark, self.target, batch_id) is not None:
-            return True
-        table, own = self.target.table, _is_batch(spark, self.target, batch_id)
-        return bool(_scalar(spark, self.target, table, f"SELECT COUNT(*) FROM {table} WHERE {own}"))
+        own = _is_batch(spark, self.target, batch_id)
+        tables = (_batches(self.target), self.target.table)
+        return any(_scalar(spark, self.target, table, f"SELECT COUNT(*) FROM {table} WHERE {own}") for table in tables)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_sink_table(spark, self.target, num_partitions=self.target.max_connections)

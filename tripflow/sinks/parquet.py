@@ -10,7 +10,8 @@ from pyspark.sql.types import StructType
 
 from tripflow.schema import BATCH_ID, STORED_SCHEMA
 from tripflow.sinks.counting import write_counted
-from tripflow.sources.files import child_names
+from tripflow.sinks.ownership import NO_STREAM, check_owner
+from tripflow.sources.files import child_names, read_text, write_text
 
 _BATCH_DIR = re.compile(rf"{BATCH_ID}=(-?\d+)")
 
@@ -32,17 +33,32 @@ class ParquetSink:
 
     replay_safe = True
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int:
-        # A first write, a replay and a replacement are the same operation here.
+    def write(
+        self, df: DataFrame, batch_id: int, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
+    ) -> int:
+        """Store the batch for `owner`; a first write and a replay are the same operation here."""
+        marker = f"{self._markers}/{batch_id}"
+        holder = read_text(df.sparkSession, marker)
+        # An empty marker is one whose writer died over it.
+        if holder and not replace:
+            check_owner(batch_id, holder, owner)
+        else:
+            write_text(df.sparkSession, marker, owner, overwrite=holder is not None)
         return write_parquet_idempotent(df, batch_id, self.path)
 
+    @property
+    def _markers(self) -> str:
+        # Spark passes over names that begin with an underscore.
+        return f"{self.path}/_batches"
+
     def batch_ids(self, spark: SparkSession) -> list[int]:
         """Ids stored so far, from the directory names alone."""
         names = (_BATCH_DIR.fullmatch(name) for name in child_names(spark, self.path))
         return sorted(int(match[1]) for match in names if match)
 
     def last_batch_id(self, spark: SparkSession) -> int | None:
-        return max(self.batch_ids(spark), default=None)
+        taken = map(int, child_names(spark, self._markers))
+        return max((*taken, *self.batch_ids(spark)), default=None)
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
         return bool(child_names(spark, f"{self.path}/{BATCH_ID}={batch_id}"))

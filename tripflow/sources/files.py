@@ -23,10 +23,22 @@ def ensure_directory(spark: SparkSession, path: str) -> None:
         fs.mkdirs(hadoop_path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None when there is none."""
+    fs, hadoop_path = _resolve(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    source = fs.open(hadoop_path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, *, overwrite: bool = True) -> None:
     """A small marker or header file."""
     fs, hadoop_path = _resolve(spark, path)
-    out = fs.create(hadoop_path, True)
+    out = fs.create(hadoop_path, overwrite)
     try:
         out.write(bytearray(text.encode()))
     finally:

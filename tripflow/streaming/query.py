@@ -40,6 +40,6 @@ def _refuse_reused_ids(spark: SparkSession, sink: Sink, checkpoint_path: str, fi
     last = sink.last_batch_id(spark)
     if last is not None and last >= first_batch_id:
         raise ValueError(
-            f"the checkpoint {checkpoint_path} is new, but the sink holds batches up to {last}: "
-            f"restore the checkpoint, or set first_batch_id to {last + 1} or more"
+            f"the checkpoint {checkpoint_path} is new, but the sink holds batches up to {last}: restore the "
+            f"checkpoint or, if no other stream writes there, set first_batch_id to {last + 1} or more"
         )

@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from tripflow.operators import with_batch_id
+from tripflow.sinks.ownership import NO_STREAM
 
 log = logging.getLogger(__name__)
 
@@ -18,13 +19,19 @@ class Sink(Protocol):
 
     replay_safe: bool
 
-    def write(self, df: DataFrame, batch_id: int, *, replay: bool = True, replace: bool = False) -> int: ...
+    def write(
+        self, df: DataFrame, batch_id: int, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
+    ) -> int: ...
 
     def last_batch_id(self, spark: SparkSession) -> int | None: ...
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool: ...
 
 
+# Spark's name for the id of the running stream, which the checkpoint keeps over restarts.
+_STREAM = "sql.streaming.queryId"
+
+
 @dataclass(frozen=True)
 class BatchReport:
     """One micro-batch that was dealt with; `stored_as` is None when it was empty."""
@@ -55,7 +62,8 @@ def make_batch_writer(
                 stored_as, rows = None, 0
             else:
                 stored_as = first_batch_id + batch_id
-                rows = sink.write(with_batch_id(df, stored_as), stored_as, replay=replay)
+                stream = df.sparkSession.sparkContext.getLocalProperty(_STREAM) or NO_STREAM
+                rows = sink.write(with_batch_id(df, stored_as), stored_as, owner=stream, replay=replay)
         except Exception:
             log.exception("batch %s failed; the stream stops", batch_id)
             raise
