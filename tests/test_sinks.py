@@ -16,6 +16,7 @@ from tripflow.sinks import (
     ParquetSink,
     counting,
     jdbc,
+    parquet,
     write_jdbc_append,
     write_jdbc_idempotent,
     write_parquet_idempotent,
@@ -130,6 +131,29 @@ def test_parquet_marker_that_was_not_finished(spark, tmp_path):
     assert (tmp_path / "_batches" / "0").read_text() == "one"
 
 
+@pytest.mark.parametrize("strays", [1, 5])
+def test_stray_file_in_a_batch_directory(spark, tmp_path, monkeypatch, strays):
+    """A file of another attempt that turns up after the batch was written."""
+    real, writes = counting.write_counted, []
+
+    def write(df, action):
+        rows = real(df, action)
+        writes.append(rows)
+        if len(writes) <= strays:
+            df.write.mode("append").parquet(str(tmp_path / "Id=0"))
+        return rows
+
+    monkeypatch.setattr(parquet, "write_counted", write)
+    sink = ParquetSink(str(tmp_path))
+    if strays > parquet.WRITE_ATTEMPTS:
+        with pytest.raises(RuntimeError, match="batch 0"):
+            sink.write(batch(spark, [1, 2], 0), 0)
+    else:
+        assert sink.write(batch(spark, [1, 2], 0), 0) == 2
+        assert contents(sink.read(spark)) == [(0, 1), (0, 2)]
+        assert len(writes) == 2
+
+
 # ---- database only -----------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Parquet, one directory per micro-batch."""
 
+import logging
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,6 +14,10 @@ from tripflow.sinks.counting import write_counted
 from tripflow.sinks.ownership import NO_STREAM, check_owner
 from tripflow.sources.files import child_names, read_text, write_text
 
+log = logging.getLogger(__name__)
+
+WRITE_ATTEMPTS = 3
+
 _BATCH_DIR = re.compile(rf"{BATCH_ID}=(-?\d+)")
 
 
@@ -20,10 +25,18 @@ def write_parquet_idempotent(df: DataFrame, batch_id: int, path: str) -> int:
     """Replace batch `batch_id` below `path` by the rows of `df`; returns their number.
 
     The batch owns the directory `Id=<batch_id>`, so writing it again leaves one copy, and no
-    other batch is touched.
+    other batch is touched. Files that do not belong there, left by a lost task under a committer
+    that moves files early or by a driver that was still at work, show as a surplus in the row
+    counts of the footers; the batch is then written afresh.
     """
-    rows = df.drop(BATCH_ID)
-    return write_counted(rows, lambda out: out.write.mode("overwrite").parquet(f"{path}/{BATCH_ID}={batch_id}"))
+    rows, directory = df.drop(BATCH_ID), f"{path}/{BATCH_ID}={batch_id}"
+    for attempt in range(1, WRITE_ATTEMPTS + 1):
+        written = write_counted(rows, lambda out: out.write.mode("overwrite").parquet(directory))
+        found = df.sparkSession.read.schema(rows.schema).parquet(directory).count()
+        if found == written:
+            return written
+        log.warning("batch %s: %s rows written, %s found, attempt %s", batch_id, written, found, attempt)
+    raise RuntimeError(f"batch {batch_id}: the rows found keep differing from those written")
 
 
 @dataclass(frozen=True)
