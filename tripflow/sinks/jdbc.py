@@ -55,7 +55,13 @@ def write_jdbc_append(df: DataFrame, target: JdbcTable) -> int:
 
 
 def write_jdbc_idempotent(
-    df: DataFrame, batch_id: int, target: JdbcTable, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
+    df: DataFrame,
+    batch_id: int,
+    target: JdbcTable,
+    *,
+    owner: str = NO_STREAM,
+    replay: bool = True,
+    replace: bool = False,
 ) -> int:
     """Store the rows of `df` as batch `batch_id` unless that is done already; returns their number.
 
