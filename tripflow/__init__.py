@@ -3,7 +3,7 @@
 from tripflow.config import PipelineConfig
 from tripflow.plans import ingest_file, run_stream, start_stream
 from tripflow.schema import ENRICHED_SCHEMA, STORED_SCHEMA, TRIP_SCHEMA
-from tripflow.session import build_session
+from tripflow.session import build_session, pin_settings
 
 __all__ = [
     "ENRICHED_SCHEMA",
@@ -12,6 +12,7 @@ __all__ = [
     "TRIP_SCHEMA",
     "build_session",
     "ingest_file",
+    "pin_settings",
     "run_stream",
     "start_stream",
 ]

@@ -175,7 +175,7 @@ def _statement(spark: SparkSession, target: JdbcTable):
     # By class loader rather than DriverManager, which does not see jars added with --jars.
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
     properties = jvm.java.util.Properties()
-    for key, value in target.properties().items():
+    for key, value in target.login().items():
         properties.setProperty(key, value)
     connection = loader.loadClass(target.driver).newInstance().connect(target.url, properties)
     if connection is None:

@@ -23,9 +23,13 @@ class JdbcTable:
     max_connections: int = 32
     batch_size: int = 10_000
 
+    def login(self) -> dict[str, str]:
+        given = {"user": self.user, "password": self.password}
+        return {key: value for key, value in given.items() if value is not None}
+
     def properties(self) -> dict[str, str]:
-        login = {"driver": self.driver, "user": self.user, "password": self.password}
-        return {key: value for key, value in login.items() if value is not None}
+        """What Spark's reader and writer take."""
+        return {"driver": self.driver} | self.login()
 
     def quote(self, spark: SparkSession, column: str) -> str:
         """`column` the way Spark's writer quotes it for this database."""
