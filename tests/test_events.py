@@ -167,6 +167,9 @@ def test_object_uri(spark):
         ("x/././y.csv", "/mnt/efs/incoming/x/y.csv"),
         ("x/.hidden/y.csv", "/mnt/efs/incoming/x/.hidden/y.csv"),
         ("a%20b+c.csv", "/mnt/efs/incoming/a%20b+c.csv"),
+        ("/x.csv", "/mnt/efs/incoming/x.csv"),
+        ("./x.csv", "/mnt/efs/incoming/x.csv"),
+        (".x./y.csv", "/mnt/efs/incoming/.x./y.csv"),
     ],
 )
 def test_landing_path(spark, key, path):
@@ -194,6 +197,12 @@ def test_operators_work_on_a_stream_of_events(spark, tmp_path):
     assert run(csv, "csv") == [("b2", "k2.CSV")]
 
 
+def test_landing_path_below_a_uri(spark):
+    df = spark.createDataFrame([("x//y.csv",)], "key string")
+    assert op.with_landing_path(df, "s3a://bucket", "incoming/").first().path == "s3a://bucket/incoming/x/y.csv"
+    assert op.with_landing_path(df, "s3a://bucket/", "").first().path == "s3a://bucket/x/y.csv"
+
+
 def test_filters_do_not_parse_again(spark):
     events = op.normalize_object_events(frame(spark, "{}"), "json")
     for side in op.split_valid_events(events):

@@ -15,9 +15,9 @@ def object_uri(bucket: Column, key: Column) -> Column:
 
 def landing_path(key: Column, mount: str, prefix: str) -> Column:
     """Where `key` lands below `mount`/`prefix`. Keys are used as given, not URL-decoded; repeated
-    slashes and `/./` collapse as they do in a file path."""
-    path = F.concat(F.lit(f"{mount}/{prefix}/"), key)
-    return F.regexp_replace(path, r"/(\.?/)+", "/")
+    slashes and `./` steps in them collapse as they do in a file path."""
+    base = "/".join(filter(None, (mount.rstrip("/"), prefix.strip("/"))))
+    return F.concat(F.lit(f"{base}/"), F.regexp_replace(key, r"(^|/)(\.?/)+", "$1"))
 
 
 def is_csv_key(key: Column) -> Column:
