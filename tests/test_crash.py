@@ -93,4 +93,5 @@ def test_killed_job_loses_and_repeats_nothing(spark, job):
     wait_for(lambda: committed(root) >= FILES or last.poll() is not None)
     assert gone(last, children(last)) == 0, (root / "log").read_text()[-2000:]
     stored = sorted((r.Id, r.pickup_longitude) for r in sink.read(spark).collect())
+    assert len(stored) == FILES * ROWS, (root / "log").read_text()[-4000:]
     assert stored == sorted((file, f"{file}-{row}") for file in range(FILES) for row in range(ROWS))
