@@ -5,10 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripflow.llm.common import table
+from tripflow.llm.decontam import contaminated
 from tripflow.llm.quality import quality
+from tripflow.llm.simhash import simhash
 from tripflow.llm.toxicity import toxicity
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +28,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
 }
