@@ -8,6 +8,7 @@ from tripflow.llm.common import table
 from tripflow.llm.decontam import contaminated
 from tripflow.llm.quality import quality
 from tripflow.llm.simhash import simhash
+from tripflow.llm.substrings import substrings
 from tripflow.llm.toxicity import toxicity
 
 
@@ -23,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op6_substrings": op6_substrings,
     "op9_quality": op9_quality,
 }
 
