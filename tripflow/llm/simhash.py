@@ -15,7 +15,7 @@ without any id has a null component_id. Repeated rows come back repeated; an emp
 the table's columns only id and text are looked at. Texts are read whole, in pieces of bounded memory.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,27 +33,54 @@ MAX_BITS = 4
 BYTES = 8
 # Of 8 bytes, at most MAX_BITS can differ.
 MIN_SHARED = BYTES - MAX_BITS
+# For near copies: texts alike in 0.8 of their shingles of so many words, see near_copies.
+WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 64
+WIDE_BITS, WIDE_FIRST_BITS = 45, 20
 # Shingles hashed at a time.
 PIECE = 1 << 15
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash over the 4-word shingles of the text, lower-cased where ASCII; zero without words."""
+def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles of `size` words, lower-cased where ASCII, in pieces; fewer words are one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
+    n = max(1, len(words) - size + 1)
     starts, ends = starts[:n].tolist(), ends[len(words) - n :].tolist()
-    votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, n, PIECE):
         pairs = zip(starts[i : i + PIECE], ends[i : i + PIECE], strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<i8")[0])
+        yield np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype="<u8")
+
+
+def _majority(hashes: Iterable[np.ndarray], longs: int) -> bytes:
+    """The fingerprint's bytes: each bit is set if it is in over half of the hashes. Beyond 64 bits hashes are rehashed."""
+    votes, n = np.zeros(64 * longs, np.int64), 0
+    for piece in hashes:
+        n += len(piece)
+        for k in range(longs):
+            bits = np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.int64)
+            piece = (piece ^ (piece >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            piece ^= piece >> np.uint64(29)
+    return np.packbits(votes * 2 > n, bitorder="little").tobytes()
+
+
+def _distinct(text: bytes) -> Iterator[np.ndarray]:
+    """The text's shingle hashes without repeats, in pieces."""
+    hashes = list(shingle_hashes(text, WIDE_SHINGLE_WORDS))
+    if hashes:
+        unique = np.unique(np.concatenate(hashes))
+        for i in range(0, len(unique), PIECE):
+            yield unique[i : i + PIECE]
+
+
+def fingerprint(text: bytes) -> int:
+    """SimHash over the 4-word shingles of the text; zero without words."""
+    return int.from_bytes(_majority(shingle_hashes(text, SHINGLE_WORDS), 1), "little", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,11 +181,113 @@ def simhash(docs: DataFrame) -> DataFrame:
     )
 
 
+def _wide(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `fp` of WIDE_LONGS longs, and `node`, a hash that names the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_majority(_distinct(t), WIDE_LONGS) for _, t in id_texts(b)]
+            nodes = np.array([xxhash.xxh3_64_intdigest(f) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(found, pa.binary()), pa.array(nodes)], names=["doc_id", "fp", "node"]
+            )
+
+    return texts(docs).mapInArrow(run, "doc_id long, fp binary, node long")
+
+
+def _wide_lists(fps: DataFrame) -> DataFrame:
+    """The index: for each fingerprint the WIDE_LISTS lists that it is in, and its first long; other columns stay."""
+    draw = np.random.default_rng(SEED)
+    places = np.stack([draw.choice(8 * WIDE_LONGS, 3, replace=False) for _ in range(WIDE_LISTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
+            picked = raw[:, places].astype(np.int64)
+            keys = np.arange(WIDE_LISTS) << 20 | picked[:, :, 0] << 12 | picked[:, :, 1] << 4 | picked[:, :, 2] & 15
+            rows = pa.array(np.repeat(np.arange(len(b)), WIDE_LISTS))
+            first = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel()), b.column(0).take(rows), pa.array(first).take(rows), b.column(2).take(rows)],
+                names=["list", "node", "first", "part"],
+            )
+
+    return fps.select("node", "fp", "part").mapInArrow(run, "list long, node long, first long, part long")
+
+
+def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """Pairs `a`, `b` of nodes whose whole fingerprints differ in at most WIDE_BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(len(b), -1) for i in (2, 3))
+            near = np.bitwise_count(x ^ y).sum(1) <= WIDE_BITS
+            yield b.select([0, 1]).filter(pa.array(near))
+
+    ends = [fps.select(F.col("node").alias(n), F.col("fp").alias(f"{n}_fp")) for n in ("a", "b")]
+    rows = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_fp", "b_fp")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """`doc_id` and `component_id` for each row, linking texts that are alike in 0.8 of their 5-word shingles.
+
+    That similarity is far from 4 of 64 bits, so the fingerprints here have 256: two texts at 0.8 differ in some 39
+    bits, give or take 6, unrelated ones in 128, and WIDE_BITS parts them. No positional bytes are then sure to agree; the
+    index has WIDE_LISTS lists, keyed by two positional bytes and half of a third, and two texts at 0.85 meet in one with
+    a probability of 0.98. Pairs that meet are kept if their first 64 bits differ in at most WIDE_FIRST_BITS, then verified.
+    Groups are contracted by linking each member of a list to its least first.
+    """
+    rows = checkpointed(_wide(docs))
+    fps = checkpointed(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
+    index = _wide_lists(fps.withColumn("part", F.col("node"))).drop("part")
+    least = index.groupBy("list").agg(F.min(F.struct("node", "first")).alias("least"), F.count("*").alias("n"))
+    stars = (
+        index.join(least.where("n > 1"), "list")
+        .where(f"node <> least.node and bit_count(first ^ least.first) <= {WIDE_FIRST_BITS}")
+        .select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+        .distinct()
+    )
+    near = connected_components(_verified(stars, fps))
+    parts = checkpointed(
+        fps.join(near, "node", "left").select("node", "fp", "least_id", F.coalesce("root", "node").alias("part"))
+    )
+    left, right = _wide_lists(parts).alias("l"), _wide_lists(parts).alias("r")
+    meeting = (
+        left.join(
+            right,
+            F.expr(
+                "l.list = r.list and l.node < r.node and l.part <> r.part"
+                f" and bit_count(l.first ^ r.first) <= {WIDE_FIRST_BITS}"
+            ),
+        )
+        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        .distinct()
+    )
+    links = _verified(meeting, fps)
+    part_of = parts.select("node", "part")
+    edges = (
+        links.join(part_of.select(F.col("node").alias("a"), F.col("part").alias("c")), "a")
+        .join(part_of.select(F.col("node").alias("b"), F.col("part").alias("d")), "b")
+        .select(F.col("c").alias("a"), F.col("d").alias("b"))
+    )
+    joined = connected_components(edges)
+    whole = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select(
+        "node", "least_id", F.coalesce("root", "part").alias("component")
+    )
+    named = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return rows.join(whole.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns as they are, with one row of each component: that with its smallest id.
+    """`docs`, all columns as they are, with one row of each group of near copies: that with its smallest id.
 
     Rows without an id can't be named, so they all stay. Of rows that share the smallest id, one stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     numbered = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return numbered.unionByName(docs.where("doc_id is null"))
