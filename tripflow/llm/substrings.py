@@ -207,14 +207,16 @@ def remove_repeated(
     )
     # Copies of a whole text need no windows: all their words go, and one of them stands for the others' windows.
     copies = found.groupBy("copy_of").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
-    copied = found.select("doc", "copy_of").distinct().join(copies, "copy_of").select("doc", (F.col("doc") == F.col("first")).alias("first"))
-    copied = checkpointed(copied)
-    repeated = found.select(F.explode("seed").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    copied = found.select("doc", "copy_of").distinct().join(copies, "copy_of")
+    copied = checkpointed(copied.select("doc", (F.col("doc") == F.col("first")).alias("first")))
+    # Written down, so that the join below has plain shuffles on both sides, of which Spark splits large partitions.
+    seen = found.select(F.explode("seed").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    repeated = checkpointed(seen.where("n > 1").select("seed"))
     factors = (
         found.join(copied.where("not first"), "doc", "left_anti")
         .select("doc", F.explode(F.arrays_zip("at", "seed")).alias("x"))
         .select("doc", "x.at", "x.seed")
-        .join(repeated.select("seed"), "seed")
+        .join(repeated, "seed")
         .groupBy("doc")
         .agg(F.collect_set("at").alias("at"))
     )
@@ -226,7 +228,7 @@ def remove_repeated(
         .mapInArrow(lambda b: _find_windows(b, window, seed), "doc long, start int, p long, q int"),
         "windows",
     )
-    twice = windows.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1").select("p", "q")
+    twice = checkpointed(windows.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1").select("p", "q"))
     spans = windows.join(twice, ["p", "q"]).groupBy("doc").agg(F.collect_set("start").alias("starts"))
     return (
         packed.join(spans, "doc", "left")
