@@ -1,0 +1,82 @@
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tripflow.llm.mixing import deviation, mix, mixed, period, target_weights
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdefgh", max_size=3), st.integers(1, 40), min_size=1, max_size=7))
+def test_less_than_one_block_off(weights):
+    slots = period(weights)
+    assert deviation(slots, weights) < 1
+    total = sum(weights.values())
+    assert all(Fraction(slots.count(s), len(slots)) == Fraction(w, total) for s, w in weights.items())
+
+
+def test_deadlines_are_met():
+    weights = {"a": 5, "b": 3, "c": 1}
+    done = dict.fromkeys(weights, 0)
+    for slot, s in enumerate(period(weights)):
+        j = done[s]
+        assert j * 9 // weights[s] <= slot < -(-(j + 1) * 9 // weights[s])
+        done[s] += 1
+
+
+def simulated(counts, weights, block_rows):
+    """slot -> (source, block), by earliest deadline first over all blocks; sources that ran out leave slots empty."""
+    total, done, slots, slot = sum(weights.values()), dict.fromkeys(weights, 0), {}, 0
+    left = {s: -(-n // block_rows) for s, n in counts.items() if s in weights}
+    while any(done[s] < b for s, b in left.items()):
+        due = [(-(-(done[s] + 1) * total // w), -w, s) for s, w in weights.items() if done[s] * total // w <= slot]
+        s = min(due)[2]
+        if done[s] < left.get(s, 0):
+            slots[slot] = s, done[s]
+        done[s] += 1
+        slot += 1
+    return slots
+
+
+@pytest.mark.parametrize("weights", [{"src0": 3, "src1": 2, "src2": 2}, {"src0": 1, "src1": 1}, {"src0": 1, "zz": 1}])
+def test_against_simulation(docs, weights):
+    table = docs([f"text {k}" for k in range(500)] + ["text 3", None, ""])
+    rows = mixed(table, weights, block_rows=7).collect()
+    assert len(rows) == 503
+    counts = {s: sum(r.source == s for r in rows) for s in ("src0", "src1", "src2")}
+    slots = simulated(counts, weights, 7)
+    for r in rows:
+        if r.source in weights:
+            assert slots[r.mix_slot] == (r.source, r.mix_block)
+        else:
+            assert r.mix_slot is None and not r.in_mix
+    placed = [(r.mix_slot, r.mix_row) for r in rows if r.mix_slot is not None]
+    assert len(placed) == len(set(placed))
+    for slot, (s, block) in slots.items():
+        n = sum(p == slot for p, _ in placed)
+        assert n == min(7, counts[s] - 7 * block)
+    horizon = next(k for k in range(10_000) if k not in slots)
+    assert {r.mix_slot for r in rows if r.in_mix} == set(range(horizon))
+
+
+def test_one_weight_for_each_source(docs):
+    table = docs([f"t {k}" for k in range(90)])
+    assert target_weights(table) == {"src0": 333, "src1": 333, "src2": 333}
+    rows = mix(table).collect()
+    assert len(rows) == 90 and all(r.in_mix for r in rows)
+
+
+def test_nulls_repeats_and_clashing_names(docs, spark):
+    table = docs([(1, "a"), (1, "a"), (None, None), (2, ""), (3, "x" * 100_000)])
+    table = table.withColumn("source", F.when(F.col("doc_id") == 2, F.lit(None)).otherwise(F.col("source")))
+    table = table.withColumns({"mix_slot": F.lit("old"), "lang": F.lit(None).cast("string"), "n": F.lit(1)})
+    rows = mixed(table).collect()
+    assert len(rows) == 5 and all(r.mix_slot is not None for r in rows)
+    assert set(mixed(table).columns) == {*table.columns, "mix_block", "mix_row", "in_mix"}
+
+
+def test_empty_table(docs):
+    assert mix(docs([])).collect() == []
+    assert mixed(docs([]), {"a": 1}).collect() == []

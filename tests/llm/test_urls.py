@@ -1,0 +1,112 @@
+import math
+
+from pyspark.sql import functions as F
+
+from tripflow.llm import urls
+from tripflow.llm.urls import url_verdicts
+
+PAGES = "page_id long, url string, html string"
+
+
+def parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    path = rest[end:]
+    path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    return "".join(c.lower() if c.isascii() else c for c in rest[:end]), path
+
+
+def rule(host, path):
+    fits = [
+        (len(h + p), h + p, v)
+        for h, p, v in urls.RULES
+        if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    return max(fits)[1:] if fits else (None, None)
+
+
+URLS = [
+    "http://a.net", "http://a.net/", "https://A.NET/x?y", "ftp://net/#z", "http://example.net/en/1", "http://m.example.net/en/2.html",
+    "http://badexample.net/en/3", "http://example.com/de/4", "http://x.example.com/de", "http://example.com/fr/5", "http://b.org/fr/6/",
+    "http://b.org/frx", "org/fr/7", None, "", "http://", "http://?a://net/", "x://y://net/8", "http://É.org:80/a b/9", "http://net?en/",
+    "HTTP://EXAMPLE.net/en/?q#f", "http://b.org/12/34.html", "http://b.org/12/x", "//net/", "http://spam.example.org/77",
+]
+
+
+def test_hosts_paths_and_rules(spark, labels):
+    table = spark.createDataFrame([(k, u, "x") for k, u in enumerate(URLS)] + [(None, URLS[1], None), (1, URLS[1], "")], PAGES)
+    table = table.withColumns({"host": F.lit(1), "rule": F.lit(2), "doc_id": F.lit(3)})
+    got = url_verdicts(table, labels([])).collect()
+    assert len(got) == len(URLS) + 2
+    for r in got:
+        url = URLS[1 if r.page_id is None else r.page_id]
+        assert (r.host, r.path) == parts(url), url
+        name, verdict = rule(r.host, r.path)
+        assert (r.rule, r.verdict) == (name, verdict or "allow"), url
+
+
+def expected(pages, known):
+    """Posterior mean and upper bound of every host, step by step."""
+    seen = {}
+    for page, url in pages:
+        host, path = parts(url)
+        number = path.rstrip("/").removesuffix(".html").rsplit("/", 1)[-1]
+        if number.isdigit() and int(number) in known:
+            seen.setdefault(host, set()).add((page, known[int(number)]))
+    hosts = {h: (len(s), sum(g for _, g in s)) for h, s in seen.items()}
+    domain_of, suffix_of = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+
+    def add(counts, name):
+        out = {}
+        for k, (n, g) in counts.items():
+            a, b = out.get(name(k), (0, 0))
+            out[name(k)] = a + n, b + g
+        return out
+
+    domains = add(hosts, domain_of)
+    suffixes = add(domains, suffix_of)
+    n, g = (sum(x) for x in zip(*suffixes.values(), strict=True))
+    top = (g + 2 * urls.PRIOR_GOOD) / (n + 2), n + 2
+
+    def shrink(counts, prior):
+        total = sum(n for n, _ in counts.values())
+        room = max(prior(k) * (1 - prior(k)) for k in counts)
+        spread = sum(n * (g / n - prior(k)) ** 2 for k, (n, g) in counts.items()) / total
+        weight = min(max(room / max(spread - len(counts) * room / total, 1e-9) - 1, urls.WEAKEST), urls.STRONGEST)
+        return {k: ((g + weight * prior(k)) / (n + weight), n + weight) for k, (n, g) in counts.items()}
+
+    s = shrink(suffixes, lambda k: top[0])
+    d = shrink(domains, lambda k: s[suffix_of(k)][0])
+    h = shrink(hosts, lambda k: d[domain_of(k)][0])
+    return lambda host: h.get(host) or d.get(domain_of(host)) or s.get(suffix_of(host)) or top
+
+
+def test_reputation(spark, labels):
+    pages, known = [], []
+    for k in range(900):
+        host = ["good.site.org", "bad.site.org", "www.other.com", "bad.worse.info", "one.more.info"][k % 5]
+        pages.append((k, f"http://{host}/en/{k}{['', '/', '.html'][k % 3]}"))
+        if k % 2:
+            known.append((k, int(k % 97 > 5 if "bad" not in host else k // 10 % 10 < 3), 0))
+    pages += [(1_000, "http://new.site.org/"), (1_001, "http://x.y.info/"), (1_002, "http://x.y.zz/"), (1_003, None), (5, pages[5][1])]
+    table = spark.createDataFrame([(i, u, "") for i, u in pages], PAGES)
+    got = url_verdicts(table, labels(known + [(None, 1, 1), (1, None, 0), known[0], (3, 7, 0)])).collect()
+    assert len(got) == len(pages)
+    of = expected(pages, {i: q for i, q, _ in known})
+    for r in got:
+        mean, weight = of(r.host)
+        upper = mean + math.sqrt(mean * (1 - mean) / (weight + 1))
+        assert abs(r.good_mean - mean) < 2e-6 and abs(r.good_upper - upper) < 2e-6
+        if r.rule is None:
+            assert r.verdict == ("block" if upper < urls.LEAST_GOOD else "allow")
+    verdicts = {r.host: r.verdict for r in got if r.rule is None}
+    assert verdicts["bad.site.org"] == verdicts["bad.worse.info"] == "block"
+    assert verdicts["good.site.org"] == verdicts["www.other.com"] == "allow"
+
+
+def test_empty_tables(spark, labels):
+    none = spark.createDataFrame([], PAGES)
+    assert url_verdicts(none, labels([(1, 1, 1)])).collect() == []
+    assert url_verdicts(none, labels([])).collect() == []

@@ -1,0 +1,136 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tripflow.llm import warc
+from tripflow.llm.warc import NOT_MODIFIED, canonical_url, crawl, parsed, resolved_revisits, revisits
+
+SCHEMA = "record_id string, warc_type string, uri string, date timestamp, profile string, status int, headers map<string,string>, body string"
+
+
+def at(hours):
+    return None if hours is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hours)
+
+
+def response(i, uri, hours, body="b", status=200, **headers):
+    return i, "response", uri, at(hours), None, status, {k.replace("_", "-"): v for k, v in headers.items()}, body
+
+
+def revisit(i, uri, hours, profile=NOT_MODIFIED, **headers):
+    return i, "revisit", uri, at(hours), profile, 304, {k.replace("_", "-"): v for k, v in headers.items()}, None
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("http://a.org/x/", "https://www.A.org/x#top", True),
+        ("http://a.org:80/x?b=2&a=1", "http://a.org/x?a=1&b=2&utm_source=q", True),
+        ("https://a.org:443", "http://a.org/", True),
+        ("http://a.org/x?a=1", "http://a.org/x?a=2", False),
+        ("http://a.org/x", "http://a.org/y", False),
+        ("http://a.org:8080/", "http://a.org/", False),
+    ],
+)
+def test_canonical(spark, a, b, same):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(canonical_url(F.col("a")), canonical_url(F.col("b"))).first()
+    assert (row[0] == row[1]) == same
+
+
+def plain(rows):
+    """Outcome and reference of every revisit, by a loop."""
+    full = [r for r in rows if r[1] == "response" and r[5] == 200 and r[0] and r[2] is not None and r[3]]
+    found = []
+    for i, kind, uri, date, _, _, own, _ in rows:
+        if kind != "revisit":
+            continue
+        key = lambda u: u.lower().split("#")[0].rstrip("/")
+        earlier = [r for r in full if uri is not None and date and i and key(r[2]) == key(uri) and r[3] <= date]
+        own = own or {}
+        if not earlier:
+            found.append((str(i), "missing", "None"))
+            continue
+        best = max(earlier, key=lambda r: (r[3], r[0]))
+        weak = lambda e: e and e.removeprefix("W/").removeprefix("w/")
+        stored = best[6] or {}
+        if "etag" in own:
+            outcome = "resolved" if weak(own["etag"]) == weak(stored.get("etag")) else "mismatch"
+        elif "last-modified" in own:
+            outcome = "resolved" if own["last-modified"] == stored.get("last-modified") else "mismatch"
+        else:
+            outcome = "unvalidated"
+        found.append((str(i), outcome, best[0]))
+    return sorted(found)
+
+
+def records():
+    u = "http://a.org/p"
+    rows = [
+        response("r1", u, 1, etag='"1"', content_type="t", x="old", last_modified="m1"),
+        response("r2", u, 100, etag='W/"2"'),
+        response("r3", u, 100, etag='"3"'),
+        response("r4", u, 50, status=404, etag='"4"'),
+        response("r5", "http://b.org/", 5),
+        response("r6", None, 5),
+        response("r7", u, None),
+        response(None, u, 60),
+    ]
+    rows += [revisit(f"v{h}", u, h, etag='"1"', content_type="z", x="new", connection="close") for h in (0, 1, 2, 30, 99, 100, 300)]
+    rows += [revisit(f"w{h}", u + "#x", h, etag='W/"3"') for h in (0.5, 99.5, 100, 2_000)]
+    rows += [revisit(f"m{h}", u, h, last_modified=m) for h, m in ((3, "m1"), (4, "m2"), (500, "m1"))]
+    rows += [revisit("n1", u, 7), revisit("n2", u, None, etag='"1"'), revisit("n3", None, 7), revisit(None, u, 7)]
+    rows += [revisit("o1", "http://B.org", 6), revisit("o2", "http://c.org", 6), revisit("p1", u, 8, profile=None, etag='"1"')]
+    rows += [(*revisit("q1", u, 9)[:6], None, None)]
+    return rows + [rows[8], rows[9]]
+
+
+def test_against_loop(spark):
+    rows = records() + [(*revisit("s1", "http://a.org/p", 9)[:4], "other profile", 304, {}, None)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumns({"url": F.lit(1), "outcome": F.lit("x")})
+    got = resolved_revisits(table).collect()
+    assert sorted((str(r.record_id), r.outcome, str(r.refers_to)) for r in got) == plain(records())
+    for r in got:
+        assert (r.headers is None) == (r.body is None) == (r.outcome in ("missing", "mismatch"))
+    (merged,) = {tuple(sorted(r.headers.items())) for r in got if r.record_id == "v30"}
+    assert dict(merged) == {"etag": '"1"', "content-type": "t", "x": "new", "last-modified": "m1"}
+
+
+def test_frequent_url(spark):
+    rows = [response(f"r{k:04d}", "http://a.org/", 10 * k, etag=f'"{k}"') for k in range(200)]
+    rows += [revisit(f"v{k:04d}", "http://a.org", 3 * k, etag=f'"{3 * k // 10}"') for k in range(900)]
+    got = resolved_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.record_id, r.outcome, str(r.refers_to)) for r in got) == plain(rows)
+
+
+def test_parsed(spark):
+    raw = [
+        "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Target-URI: http://a.org/?x=a:b\r\n"
+        "WARC-Date: 2024-01-02T03:04:05Z\r\n\r\nHTTP/1.1 200 OK\r\nETag: \"q:1\"\r\nA: 1\r\na: 2\r\n\r\nbody\r\n\r\nmore",
+        "WARC/1.1\nWARC-Type: revisit\nWARC-Date: never\n\nHTTP/1.1 x\n\n",
+        "",
+        None,
+        "no record",
+    ]
+    got = parsed(spark.createDataFrame([(r,) for r in raw], "raw string")).collect()
+    assert len(got) == 5
+    assert (got[0].record_id, got[0].uri, got[0].status, got[0].body) == ("7", "http://a.org/?x=a:b", 200, "body\r\n\r\nmore")
+    assert got[0].headers == {"etag": '"q:1"', "a": "2"} and got[0].date == datetime.datetime(2024, 1, 2, 3, 4, 5)
+    assert (got[1].warc_type, got[1].date, got[1].status) == ("revisit", None, None)
+
+
+def test_pages(spark):
+    pages = [(k, f"http://a.org/{k % 40}", f"<p>{k}") for k in range(80)] + [(None, "http://x", ""), (90, None, "x"), (91, "", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = parsed(crawl(table)).collect()
+    assert len(rows) == 5 * 81
+    got = revisits(table).collect()
+    assert len(got) == 4 * 81
+    plain_rows = [tuple(r) for r in rows]
+    assert {r.outcome for r in got} == {"missing", "mismatch", "resolved", "unvalidated"}
+    assert sorted((f"{r.page_id}-{r.visit}", r.outcome, str(r.refers_to)) for r in got) == plain(plain_rows)
+    assert revisits(table.limit(0)).collect() == []
+    assert resolved_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_fixed_fields():
+    assert "content-length" in warc.FIXED_FIELDS and "etag" not in warc.FIXED_FIELDS

@@ -18,10 +18,10 @@ empty table stays empty, and other columns are kept as they are.
 
 from collections.abc import Mapping
 from fractions import Fraction
-from math import gcd
 from functools import reduce
+from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.llm.common import checkpointed
@@ -77,6 +77,12 @@ def target_weights(docs: DataFrame, source_col: str = "source") -> dict[str, int
     return {s: max(1, round(RESOLUTION * n**TEMPERATURE / scaled)) for s, n in largest.items()}
 
 
+def _slot(block: Column, length: int) -> Column:
+    """The slot of a source's block, given the source's slots in a period of that length as `_places`."""
+    n = F.size("_places")
+    return F.floor(block / n) * length + F.element_at("_places", (block % n + 1).cast("int"))
+
+
 def mixed(
     docs: DataFrame,
     weights: Mapping[str, int] | None = None,
@@ -99,8 +105,8 @@ def mixed(
     places: dict[str, list[int]] = {}
     for slot, s in enumerate(slots):
         places.setdefault(s, []).append(slot)
-    # As long as the weights' sum, whatever the data.
-    layout = F.broadcast(spark.createDataFrame(list(places.items()), "_s string, _places array<long>"))
+    # As long as the weights' sum, whatever the data, so the broadcast is bounded.
+    layout = spark.createDataFrame(list(places.items()), "_s string, _places array<long>")
 
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     if REST in weights:
@@ -119,23 +125,19 @@ def mixed(
         .withColumn("_block", F.floor(F.col("_k") / block_rows))
     )
     # Up to the first empty slot every source has its share.
-    totals = firsts.groupBy("_s").agg(F.sum("_n").alias("_n")).join(layout, "_s", "inner")
-    blocks = F.ceil(F.col("_n") / block_rows)
-    run_out = blocks.cast("long")
-    next_slot = F.floor(run_out / F.size("_places")) * length + F.element_at("_places", (run_out % F.size("_places") + 1).cast("int"))
-    horizon = totals.agg(F.min(next_slot).alias("_horizon"), F.count("*").alias("_sources"))
-    present = F.when(F.col("_sources") == len(places), F.col("_horizon")).otherwise(F.lit(0))
-    n_places = F.size("_places")
-    slot = F.floor(F.col("_block") / n_places) * length + F.element_at("_places", (F.col("_block") % n_places + 1).cast("int"))
+    totals = layout.join(firsts.groupBy("_s").agg(F.sum("_n").alias("_n")), "_s", "left")
+    next_block = F.ceil(F.coalesce(F.col("_n"), F.lit(0)) / block_rows).cast("long")
+    horizon = totals.agg(F.min(_slot(next_block, length)).alias("_horizon"))
+    slot = _slot(F.col("_block"), length)
     return (
-        numbered.join(layout, "_s", "left")
+        numbered.join(F.broadcast(layout), "_s", "left")
         .join(F.broadcast(horizon))
         .select(
             *docs.columns,
             F.col("_block").cast("long").alias("mix_block"),
             slot.cast("long").alias("mix_slot"),
             (F.col("_k") % block_rows).cast("long").alias("mix_row"),
-            F.coalesce(slot < present, F.lit(False)).alias("in_mix"),
+            F.coalesce(slot < F.col("_horizon"), F.lit(False)).alias("in_mix"),
         )
     )
 

@@ -27,7 +27,7 @@ RULES = [
 ]
 LEAST_GOOD = 0.85
 BOUND_SD = 1.0
-PRIOR_GOOD = 0.5
+PRIOR_GOOD = 0.9
 # Bounds of a prior's weight in pages.
 WEAKEST, STRONGEST = 2.0, 200.0
 

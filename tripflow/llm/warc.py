@@ -23,6 +23,8 @@ records come back repeated. An empty table gives an empty result; columns other
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.llm.common import written
+
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 # Fields of a 304 that don't update a stored response: about the body, or about the connection.
 FIXED_FIELDS = (
@@ -34,19 +36,13 @@ DATE = "yyyy-MM-dd'T'HH:mm:ssX"
 
 def _fields(lines: Column) -> Column:
     """A map of the lower-cased field names to their values; of a name given twice the last counts."""
-    pairs = F.transform(
-        F.filter(lines, lambda x: x.contains(":")),
-        lambda x: F.struct(
-            F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"),
-            F.trim(F.substr(x, F.instr(x, ":") + F.lit(1))).alias("value"),
-        ),
-    )
-    last = F.aggregate(
-        pairs,
-        F.array().cast("array<struct<name:string,value:string>>"),
-        lambda seen, p: F.concat(F.filter(seen, lambda s: s["name"] != p["name"]), F.array(p)),
-    )
-    return F.map_from_entries(last)
+    lines = F.filter(lines, lambda x: x.contains(":"))
+    names = F.transform(lines, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
+    values = F.transform(lines, lambda x: F.trim(F.substr(x, F.instr(x, ":") + F.lit(1))))
+    backwards = F.arrays_zip(F.reverse(names).alias("name"), F.reverse(values).alias("value"))
+    last = F.filter(backwards, lambda p, i: F.array_position(F.transform(F.slice(backwards, 1, i), lambda q: q["name"]), p["name"]) == 0)
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(unique, F.map_from_arrays(names, values)).otherwise(F.map_from_entries(last))
 
 
 def parsed(records: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -95,19 +91,26 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
     `record_id`, `uri`, `date`, `outcome`, `refers_to` and `refers_to_date` of the response found (also where it does
     not agree), `headers` merged and `body` of the response where it is resolved.
     """
-    columns = ("record_id", "warc_type", "uri", "date", "profile", "status", "headers", "body")
-    records = records.select(*columns)
     is_response = (F.col("warc_type") == "response") & (F.col("status") == 200)
     is_revisit = (F.col("warc_type") == "revisit") & (
         (F.col("profile") == NOT_MODIFIED) | (F.col("profile").isNull() & (F.col("status") == 304))
     )
+    # Written down, so that records are parsed once and bodies are read only where they are handed on.
+    records = written(
+        records.select(
+            "record_id",
+            "uri",
+            canonical_url(F.col("uri")).alias("url"),
+            "date",
+            F.when(is_response, "full").when(is_revisit, "revisit").alias("kind"),
+            "headers",
+            F.when(is_response, F.col("body")).alias("body"),
+        ).where("kind is not null"),
+        "warc-records",
+    )
     placed = F.col("uri").isNotNull() & F.col("date").isNotNull() & F.col("record_id").isNotNull()
-    narrow = records.where(F.coalesce(is_response | is_revisit, F.lit(False)) & placed).select(
-        "record_id",
-        canonical_url(F.col("uri")).alias("url"),
-        "date",
-        F.to_date("date").alias("day"),
-        F.coalesce(is_response, F.lit(False)).alias("full"),
+    narrow = records.where(placed).select(
+        "record_id", "url", "date", F.to_date("date").alias("day"), (F.col("kind") == "full").alias("full")
     )
     # At equal dates responses come before the revisits they can answer.
     order = ["date", F.desc("full"), "record_id"]
@@ -126,16 +129,19 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
         .select("record_id", F.col("found.record_id").alias("refers_to"))
         .dropDuplicates(["record_id"])
     )
-    revisits = records.where(is_revisit).select("record_id", "uri", "date", F.col("headers").alias("own"))
+    revisits = records.where("kind = 'revisit'").select("record_id", "uri", "date", F.col("headers").alias("own"))
+    # Numbered in the order that the join needs anyway.
+    copies = Window.partitionBy("refers_to").orderBy("refers_to")
     responses = (
-        records.where(is_response & placed)
-        .dropDuplicates(["record_id"])
+        records.where(placed & (F.col("kind") == "full"))
         .select(
             F.col("record_id").alias("refers_to"),
             F.col("date").alias("refers_to_date"),
             F.col("headers").alias("stored"),
             F.col("body").alias("_body"),
         )
+        .withColumn("_copy", F.row_number().over(copies))
+        .where("_copy = 1")
     )
     both = revisits.join(found, "record_id", "left").join(responses, "refers_to", "left")
     etag, modified = F.try_element_at("own", F.lit("etag")), F.try_element_at("own", F.lit("last-modified"))
