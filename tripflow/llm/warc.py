@@ -47,12 +47,16 @@ def _fields(lines: Column) -> Column:
 
 def parsed(records: DataFrame, raw_col: str = "raw") -> DataFrame:
     """The columns that `resolved_revisits` needs, from WARC records as texts."""
-    # Three parts at most, so the body is not searched.
-    rows = records.select(F.split(F.col(raw_col).cast("string"), "\r?\n\r?\n", 3).alias("b"))
+    # Positions and cuts only, so that bodies are not decoded.
+    rows = records.select(F.col(raw_col).cast("string").alias("r"))
+    rows = rows.withColumn("e", F.when(F.instr("r", "\r\n\r\n") > 0, F.lit("\r\n\r\n")).otherwise(F.lit("\n\n")))
+    rows = rows.withColumn("a", F.expr("substring_index(r, e, 1)"))
+    rows = rows.withColumn("r", F.expr("substr(r, length(a) + length(e) + 1)"))
+    rows = rows.withColumn("h", F.expr("substring_index(r, e, 1)"))
     rows = rows.select(
-        _fields(F.split(F.get("b", F.lit(0)), "\r?\n")).alias("w"),
-        F.split(F.coalesce(F.get("b", F.lit(1)), F.lit("")), "\r?\n").alias("h"),
-        F.get("b", F.lit(2)).alias("body"),
+        _fields(F.split("a", "\r?\n")).alias("w"),
+        F.split("h", "\r?\n").alias("h"),
+        F.expr("if(instr(r, e) > 0, substr(r, length(h) + length(e) + 1), null)").alias("body"),
     )
 
     def field(name: str) -> Column:
