@@ -1,6 +1,7 @@
 """What the training-data operators share: reading texts, writing down intermediate tables, logistic fits."""
 
 import tempfile
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -82,6 +83,14 @@ def labelled_sample(
     return docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
 
 
+FOLDS = 3
+
+
+def fold_of(doc_id: int) -> int:
+    """The fold of a labelled text: what a model built from the other folds says of it calibrates the final model."""
+    return (zlib.crc32(str(doc_id).encode()) >> 8) % FOLDS
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression, the intercept first, by Newton's method. Without both classes: the base rate."""
     x = np.column_stack([np.ones(len(y)), x])

@@ -78,9 +78,9 @@ def target_weights(docs: DataFrame, source_col: str = "source") -> dict[str, int
 
 
 def _slot(block: Column, length: int) -> Column:
-    """The slot of a source's block, given the source's slots in a period of that length as `_places`."""
-    n = F.size("_places")
-    return F.floor(block / n) * length + F.element_at("_places", (block % n + 1).cast("int"))
+    """The slot of a source's block, given the source's slots in a period of that length as `places`."""
+    n = F.size("places")
+    return F.floor(block / n) * length + F.element_at("places", (block % n + 1).cast("int"))
 
 
 def mixed(
@@ -101,43 +101,49 @@ def mixed(
     if not weights:
         weights = {REST: 1}
     slots = period(weights)
-    length = len(slots)
     places: dict[str, list[int]] = {}
     for slot, s in enumerate(slots):
         places.setdefault(s, []).append(slot)
     # As long as the weights' sum, whatever the data, so the broadcast is bounded.
-    layout = spark.createDataFrame(list(places.items()), "_s string, _places array<long>")
+    layout = spark.createDataFrame(list(places.items()), "s string, places array<long>")
 
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     if REST in weights:
         name = F.when(name.isin([s for s in weights if s != REST]), name).otherwise(F.lit(REST))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
+    # The row travels as one column, so that its names can't clash with those used here.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        name.alias("s"),
+        order.alias("o"),
+        F.pmod(order, F.lit(BUCKETS)).alias("b"),
+        F.col(id_col).alias("id"),
+    )
     # A hash bucket of a source is numbered by one task; its first number follows from the sizes of those before it.
-    keyed = docs.withColumns({"_s": name, "_o": order, "_b": F.pmod(order, F.lit(BUCKETS))})
-    sizes = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = checkpointed(sizes.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), "_n"))
-    within = Window.partitionBy("_s", "_b").orderBy("_o", F.col(id_col).asc_nulls_first())
+    sizes = docs.select(name.alias("s"), F.pmod(order, F.lit(BUCKETS)).alias("b")).groupBy("s", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = checkpointed(sizes.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n"))
+    within = Window.partitionBy("s", "b").orderBy("o", F.col("id").asc_nulls_first())
     numbered = (
-        keyed.withColumn("_k", F.row_number().over(within) - 1)
-        .join(firsts.drop("_n"), ["_s", "_b"])
-        .withColumn("_k", F.col("_k") + F.col("_first"))
-        .withColumn("_block", F.floor(F.col("_k") / block_rows))
+        keyed.withColumn("k", F.row_number().over(within) - 1)
+        .join(firsts.drop("n"), ["s", "b"])
+        .withColumn("k", F.col("k") + F.col("first"))
+        .withColumn("block", F.floor(F.col("k") / block_rows))
     )
     # Up to the first empty slot every source has its share.
-    totals = layout.join(firsts.groupBy("_s").agg(F.sum("_n").alias("_n")), "_s", "left")
-    next_block = F.ceil(F.coalesce(F.col("_n"), F.lit(0)) / block_rows).cast("long")
-    horizon = totals.agg(F.min(_slot(next_block, length)).alias("_horizon"))
-    slot = _slot(F.col("_block"), length)
+    totals = layout.join(firsts.groupBy("s").agg(F.sum("n").alias("n")), "s", "left")
+    next_block = F.ceil(F.coalesce(F.col("n"), F.lit(0)) / block_rows).cast("long")
+    horizon = totals.agg(F.min(_slot(next_block, len(slots))).alias("horizon"))
+    slot = _slot(F.col("block"), len(slots))
     return (
-        numbered.join(F.broadcast(layout), "_s", "left")
+        numbered.join(F.broadcast(layout), "s", "left")
         .join(F.broadcast(horizon))
         .select(
-            *docs.columns,
-            F.col("_block").cast("long").alias("mix_block"),
+            *[F.col("row").getField(c).alias(c) for c in docs.columns],
+            F.col("block").cast("long").alias("mix_block"),
             slot.cast("long").alias("mix_slot"),
-            (F.col("_k") % block_rows).cast("long").alias("mix_row"),
-            F.coalesce(slot < F.col("_horizon"), F.lit(False)).alias("in_mix"),
+            (F.col("k") % block_rows).cast("long").alias("mix_row"),
+            F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("in_mix"),
         )
     )
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import fit_logistic, held_out, id_texts, labelled_sample, logistic, texts
+from tripflow.llm.common import FOLDS, fit_logistic, fold_of, held_out, id_texts, labelled_sample, logistic, texts
 
 CHUNK_BYTES = 1_500
 LEVEL = 3
@@ -88,15 +88,26 @@ def _dictionary(samples: list[bytes]) -> bytes:
     return b" " + b"".join(samples)[-DICT_BYTES:]
 
 
-def fit(examples: list[tuple[int, list[bytes], int]]) -> QualityModel:
-    """A model from (id, chunks, label): two thirds build the dictionaries, the rest calibrates."""
+def _built(examples: list[tuple[int, list[bytes], int]]) -> QualityModel:
+    """The two dictionaries, without weights."""
     parts: dict[int, list[bytes]] = {0: [], 1: []}
-    for doc_id, pieces, label in examples:
-        if doc_id % 3:
-            parts[label] += [p for p in pieces if p]
-    model = QualityModel(_dictionary(parts[0]), _dictionary(parts[1]), np.zeros(3))
-    rows = [(*model.features(pieces), label) for doc_id, pieces, label in examples if not doc_id % 3]
-    data = np.array(rows or [(0.0, 0.0, 0)], dtype=float)
+    for _, pieces, label in examples:
+        parts[label] += [p for p in pieces if p]
+    return QualityModel(_dictionary(parts[0]), _dictionary(parts[1]), np.zeros(3))
+
+
+def fit(examples: list[tuple[int, list[bytes], int]]) -> QualityModel:
+    """A model from (id, chunks, label) of labelled texts.
+
+    Each fold is looked at with dictionaries built from the others, which calibrates the weights; the final
+    dictionaries are built from all.
+    """
+    rows = [(0.0, 0.0, 0)][: not examples]
+    for f in range(FOLDS):
+        model = _built([x for x in examples if fold_of(x[0]) != f])
+        rows += [(*model.features(pieces), label) for i, pieces, label in examples if fold_of(i) == f]
+    data = np.array(rows, dtype=float)
+    model = _built(examples)
     model.weights = fit_logistic(data[:, :2], data[:, 2], ridge=1e-3)
     return model
 

@@ -288,6 +288,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id can't be named, so they all stay. Of rows that share the smallest id, one stays.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    numbered = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    numbered = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return numbered.unionByName(docs.where("doc_id is null"))

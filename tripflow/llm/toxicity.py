@@ -2,7 +2,7 @@
 
 A window is a word between spaces. Under the dictionary of its own class it is one match and a few bytes; under
 the other it falls into pieces. The pair (length under the ordinary dictionary, length under the toxic one) is
-looked up in a table of log-likelihood ratios calibrated on labelled texts that built neither dictionary: pairs at
+looked up in a table of log-likelihood ratios, calibrated on labelled texts by dictionaries built from others: pairs at
 or above a threshold are toxic evidence. A logistic fit over the evidence of a text and its size gives the score.
 
 Null and empty texts hold no window and score what the fit says for no evidence at all. Repeated rows score alike,
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import fit_logistic, held_out, id_texts, labelled_sample, logistic, texts
+from tripflow.llm.common import FOLDS, fit_logistic, fold_of, held_out, id_texts, labelled_sample, logistic, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 # Two bytes a character make a literal dearer than a match, so that lengths count matches.
@@ -121,37 +122,54 @@ def _dictionary(own: Counter, n_own: int, other: Counter, n_other: int, contrast
     return f" {' '.join(kept)} ".encode(ENCODING, "replace")[-size:]
 
 
-def fit(examples: list[tuple[int, set[str], int]]) -> ToxicityModel:
-    """A model from (id, distinct words, label) of labelled texts: two thirds build the dictionaries, the rest calibrates."""
-    build = [x for x in examples if x[0] % 3]
-    calibrate = [x for x in examples if not x[0] % 3]
-    counts, n = {0: Counter(), 1: Counter()}, Counter()
-    for _, words, label in build:
-        counts[label].update(words)
-        n[label] += 1
+def _built(examples: list[tuple[int, set[str], int]]) -> ToxicityModel:
+    """The two dictionaries, without evidence or weights."""
+    counts, n, seen = {0: Counter(), 1: Counter()}, Counter(), set()
+    for _, words, label in examples:
+        # Copies would make each other's words look typical. Texts with the same longest words count once.
+        key = label, *nsmallest(2, words, key=lambda w: (-len(w), w))
+        if key not in seen:
+            seen.add(key)
+            counts[label].update(words)
+            n[label] += 1
     toxic = _dictionary(counts[1], n[1], counts[0], n[0], CONTRAST, DICT_BYTES["toxic"])
     # Ordinary text gives all its words but those the toxic dictionary has.
     taken = set(toxic.decode(ENCODING, "replace").split())
     ordinary = Counter({w: k for w, k in counts[0].items() if w not in taken})
-    model = ToxicityModel(
+    return ToxicityModel(
         _dictionary(ordinary, n[0], Counter(), n[1], 0.0, DICT_BYTES["ordinary"]), toxic, {}, np.zeros(3)
     )
+
+
+def fit(examples: list[tuple[int, set[str], int]]) -> ToxicityModel:
+    """A model from (id, distinct words, label) of labelled texts.
+
+    Each fold is looked at with dictionaries built from the others, which calibrates the table and the weights; the
+    final dictionaries are built from all.
+    """
+    folds = [[x for x in examples if fold_of(x[0]) == f] for f in range(FOLDS)]
+    models = [_built([x for x in examples if fold_of(x[0]) != f]) for f in range(FOLDS)]
     seen, m = {0: Counter(), 1: Counter()}, Counter()
-    for _, words, label in calibrate:
-        seen[label].update({model.lengths(w) for w in words})
-        m[label] += 1
+    for model, fold in zip(models, folds, strict=True):
+        known: dict[str, tuple[int, int]] = {}
+        for _, words, label in fold:
+            for w in words.difference(known):
+                known[w] = model.lengths(w)
+            seen[label].update({known[w] for w in words})
+            m[label] += 1
+    # A count is taken for one standard deviation less, so that few texts don't make evidence.
     ratio = {
-        pair: float(np.log((k + 0.2) / (m[1] + 1)) - np.log((seen[0][pair] + 1) / (m[0] + 1)))
+        pair: float(np.log((k - np.sqrt(k) + 0.2) / (m[1] + 1)) - np.log((seen[0][pair] + 1) / (m[0] + 1)))
         for pair, k in seen[1].items()
-        if k >= 2
     }
-    model = ToxicityModel(
-        model.ordinary, toxic, {pair: r for pair, r in ratio.items() if r >= EVIDENCE}, np.zeros(3)
-    )
-    rows = [(*model.features(words)[:2], label) for _, words, label in calibrate] or [(0.0, 0.0, 0)]
+    evidence = {pair: r for pair, r in ratio.items() if r >= EVIDENCE}
+    rows = [(0.0, 0.0, 0)][: not examples]
+    for model, fold in zip(models, folds, strict=True):
+        model = ToxicityModel(model.ordinary, model.toxic, evidence, np.zeros(3))
+        rows += [(*model.features(words)[:2], label) for _, words, label in fold]
     data = np.array(rows, dtype=float)
-    model.weights = fit_logistic(data[:, :2], data[:, 2])
-    return model
+    final = _built(examples)
+    return ToxicityModel(final.ordinary, final.toxic, evidence, fit_logistic(data[:, :2], data[:, 2]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", keep: Column | None = None) -> ToxicityModel:

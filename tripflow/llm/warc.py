@@ -131,6 +131,7 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
         .join(days, ["url", "day"])
         .select("record_id", F.coalesce("same_day", "earlier").alias("found"))
         .select("record_id", F.col("found.record_id").alias("refers_to"))
+        .where("refers_to is not null")
         .dropDuplicates(["record_id"])
     )
     revisits = records.where("kind = 'revisit'").select("record_id", "uri", "date", F.col("headers").alias("own"))
@@ -147,7 +148,13 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
         .withColumn("_copy", F.row_number().over(copies))
         .where("_copy = 1")
     )
-    both = revisits.join(found, "record_id", "left").join(responses, "refers_to", "left")
+    # A revisit without a response joins by a key of its own, so that these don't meet in one task.
+    alone = F.concat(F.lit("\x00"), F.coalesce("record_id", F.lit("")))
+    both = (
+        revisits.join(found, "record_id", "left")
+        .withColumn("refers_to", F.coalesce("refers_to", alone))
+        .join(responses, "refers_to", "left")
+    )
     etag, modified = F.try_element_at("own", F.lit("etag")), F.try_element_at("own", F.lit("last-modified"))
     agree = F.when(
         etag.isNotNull(), F.coalesce(_weak(etag) == _weak(F.try_element_at("stored", F.lit("etag"))), F.lit(False))
