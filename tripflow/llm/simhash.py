@@ -240,17 +240,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     bits, give or take 6, unrelated ones in 128, and WIDE_BITS parts them. No positional bytes are then sure to agree; the
     index has WIDE_LISTS lists, keyed by two positional bytes and half of a third, and two texts at 0.85 meet in one with
     a probability of 0.98. Pairs that meet are kept if their first 64 bits differ in at most WIDE_FIRST_BITS, then verified.
-    Groups are contracted by linking each member of a list to its least first.
+    Groups are contracted first, by linking members of lists to the least ones.
     """
     rows = checkpointed(_wide(docs))
     fps = checkpointed(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
     index = _wide_lists(fps.withColumn("part", F.col("node"))).drop("part")
     least = index.groupBy("list").agg(F.min(F.struct("node", "first")).alias("least"), F.count("*").alias("n"))
+    # Of the least members of its lists each fingerprint is held against the nearest one, so this makes no more pairs
+    # than there are fingerprints.
     stars = (
         index.join(least.where("n > 1"), "list")
-        .where(f"node <> least.node and bit_count(first ^ least.first) <= {WIDE_FIRST_BITS}")
-        .select(F.col("node").alias("a"), F.col("least.node").alias("b"))
-        .distinct()
+        .select(F.col("node").alias("a"), F.expr("struct(bit_count(first ^ least.first) AS bits, least.node AS b)").alias("x"))
+        .where(f"a <> x.b and x.bits <= {WIDE_FIRST_BITS}")
+        .groupBy("a")
+        .agg(F.min("x").alias("x"))
+        .select("a", F.col("x.b").alias("b"))
     )
     near = connected_components(_verified(stars, fps))
     parts = checkpointed(
