@@ -34,7 +34,7 @@ BYTES = 8
 # Of 8 bytes, at most MAX_BITS can differ.
 MIN_SHARED = BYTES - MAX_BITS
 # For near copies: texts alike in 0.8 of their shingles of so many words, see near_copies.
-WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 64
+WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 96
 WIDE_BITS, WIDE_FIRST_BITS = 45, 20
 # Shingles hashed at a time.
 PIECE = 1 << 15
