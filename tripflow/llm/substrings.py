@@ -211,7 +211,7 @@ def remove_repeated(
     copied = checkpointed(copied.select("doc", (F.col("doc") == F.col("first")).alias("first")))
     # Written down, so that the join below has plain shuffles on both sides, of which Spark splits large partitions.
     seen = found.select(F.explode("seed").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
-    repeated = checkpointed(seen.where("n > 1").select("seed"))
+    repeated = written(seen.where("n > 1").select("seed"), "repeated-seeds")
     factors = (
         found.join(copied.where("not first"), "doc", "left_anti")
         .select("doc", F.explode(F.arrays_zip("at", "seed")).alias("x"))
@@ -228,7 +228,8 @@ def remove_repeated(
         .mapInArrow(lambda b: _find_windows(b, window, seed), "doc long, start int, p long, q int"),
         "windows",
     )
-    twice = checkpointed(windows.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1").select("p", "q"))
+    counted = windows.groupBy("p", "q").agg(F.count("*").alias("n"))
+    twice = written(counted.where("n > 1").select("p", "q"), "repeated-windows")
     spans = windows.join(twice, ["p", "q"]).groupBy("doc").agg(F.collect_set("start").alias("starts"))
     return (
         packed.join(spans, "doc", "left")
