@@ -12,9 +12,10 @@ from tripflow.plans.landing import database_table
 from tripflow.session import build_session, pin_settings, shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink
 
+# The names of the settings.
 SETTINGS = {
-    "spark.executor.memory": "8g",
-    "spark.sql.shuffle.partitions": 16,
+    "spark.executor.memory": "3g",
+    "spark.sql.shuffle.partitions": 24,
     "input.csv.path": "/data/incoming",
     "checkpoint.dir": "/data/checkpoints",
     "trigger.processing.time": "30 seconds",
@@ -28,7 +29,7 @@ def test_settings():
     config = PipelineConfig.from_settings(SETTINGS, ENV)
     assert (config.input_path, config.checkpoint_path) == ("/data/incoming", "/data/checkpoints")
     assert (config.trigger, config.output_mode, config.max_files_per_trigger) == ("30 seconds", "append", 1)
-    assert config.spark_conf == {"spark.executor.memory": "8g", "spark.sql.shuffle.partitions": "16"}
+    assert config.spark_conf == {"spark.executor.memory": "3g", "spark.sql.shuffle.partitions": "24"}
     target = config.jdbc_table()
     assert target.properties() == {"driver": "a.B", "user": "u", "password": "secret"}
     assert "secret" not in repr(config)
@@ -58,7 +59,7 @@ def test_missing_settings(missing):
         PipelineConfig.from_settings({k: v for k, v in SETTINGS.items() if k != missing}, ENV)
 
 
-@pytest.mark.parametrize("checkpoint", ["/in/checkpoint", "/in/", "/in"])
+@pytest.mark.parametrize("checkpoint", ["/in/checkpoint", "/in/", "/in", "file:/in/ck", "file:///in//ck", "//in/ck"])
 def test_checkpoint_inside_the_input(checkpoint):
     with pytest.raises(ValueError, match="inside"):
         PipelineConfig("/in", checkpoint)
@@ -167,3 +168,30 @@ def test_command_line_objects(spark, tmp_path):
     main([*args, "--batch-id", "3", "--replace"])
     main([*args, "--batch-id", "-1"])
     assert stored.batch_ids(spark) == [-1, 3] and stored.count(spark).first().n == 4
+
+
+@pytest.mark.parametrize(
+    "key, value",
+    [("db.replay.safe", "false"), ("recursive", "false"), ("first.batch.id", "3"), ("max.files.per.trigger", True), ("db.table", 5)],
+)
+def test_settings_of_the_wrong_type(key, value):
+    with pytest.raises(RuntimeError, match=key):
+        PipelineConfig.from_settings(SETTINGS | {key: value}, ENV)
+
+
+def test_finite_file_age_is_reported(caplog):
+    PipelineConfig.from_settings(SETTINGS | {"max.file.age": "7d"}, ENV)
+    assert "7d" in caplog.text
+
+
+def test_each_numbered_file_has_a_task(spark):
+    from pyspark.sql import functions as F
+
+    from tripflow.plans import landing
+
+    events = landing.table(spark, "/root/testdata/sf0.001", "events")
+    for files in (4, 16, 64):
+        spot = landing.Landing("", files, -(-1000 // files))
+        trips = landing.numbered_trips(events, spot)
+        tasks = trips.select("f", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len(tasks) == len({r.f for r in tasks}) == len({r.task for r in tasks})

@@ -1,5 +1,6 @@
 """The two ways trips get in: the continuous stream, and named files as one batch."""
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,12 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tripflow.config import PipelineConfig
-from tripflow.operators import enrich_trips, with_batch_id
+from tripflow.operators import enrich_trips
 from tripflow.schema import TRIP_SCHEMA
 from tripflow.sinks import JdbcSink, ParquetSink
 from tripflow.sources import read_trips_batch, read_trips_stream
 from tripflow.sources.files import ensure_directory
 from tripflow.streaming import BatchReport, Sink, start_ingest
+from tripflow.streaming.writer import store_batch
+
+log = logging.getLogger(__name__)
 
 
 def sink_for(config: PipelineConfig) -> Sink:
@@ -65,18 +69,21 @@ def ingest_file(
     *,
     schema: StructType = TRIP_SCHEMA,
     replace: bool = False,
-) -> DataFrame:
-    """Read, derive and, given a sink, store the named objects as batch `batch_id`.
+) -> DataFrame | BatchReport:
+    """Read and derive the named objects and return the rows; given a sink, store them as batch `batch_id` instead.
 
-    Returns the derived rows. A batch the sink already holds is only overwritten with `replace`.
-    Beside a stream, which counts up from 0, negative ids are free.
+    Stored objects are treated and reported like a batch of the stream: without a row nothing is stored and the id
+    stays free. A batch the sink already holds is only overwritten with `replace`. Beside a stream, which counts up
+    from 0, negative ids are free.
     """
     # A named object is taken as it is: no glob, no descent.
     trips = enrich_trips(read_trips_batch(spark, path, schema, path_glob=None, recursive=False))
-    if sink is not None:
-        if batch_id is None:
-            raise ValueError("storing needs a batch id")
-        if sink.has_batch(spark, batch_id) and not replace:
-            raise ValueError(f"the sink already holds batch {batch_id}")
-        sink.write(with_batch_id(trips, batch_id), batch_id, replay=False, replace=replace)
-    return trips
+    if sink is None:
+        return trips
+    if batch_id is None:
+        raise ValueError("storing needs a batch id")
+    if sink.has_batch(spark, batch_id) and not replace:
+        raise ValueError(f"the sink already holds batch {batch_id}")
+    report = store_batch(trips, sink, batch_id, batch_id, replay=False, replace=replace)
+    log.info("%s", report)
+    return report

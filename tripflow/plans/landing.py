@@ -17,12 +17,10 @@ from tripflow.schema import DROPOFF, PICKUP, TRIP_SCHEMA
 from tripflow.session import shared_dir
 from tripflow.sinks import JdbcSink, ParquetSink
 from tripflow.sources import JdbcTable
-from tripflow.sources.files import child_names
+from tripflow.sources.files import child_names, exists
 
-# A landing has at least this many files where the table has as many rows, ...
+# Files of a landing, whatever the size of the table; fewer only where it has fewer rows.
 LANDING_FILES = 4
-# ... and none has more rows than this, which is some gigabytes of CSV.
-ROWS_PER_FILE = 20_000_000
 
 CSV_TIME = "yyyy-MM-dd HH:mm:ss"
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -47,7 +45,7 @@ def new_landing(spark: SparkSession, source: DataFrame, name: str) -> Landing:
     """An empty directory for trips made from `source`."""
     # A bare count is answered from the parquet footers.
     count = source.count()
-    rows = max(1, min(-(-count // LANDING_FILES), ROWS_PER_FILE))
+    rows = max(1, -(-count // LANDING_FILES))
     return Landing(shared_dir(spark, name), -(-count // rows), rows)
 
 
@@ -55,7 +53,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) ->
     """Make `name` for these tables the first time this application asks for it, or after it was deleted."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = getattr(_made.get(key), "path", None)
-    if key not in _made or (path and not child_names(spark, path)):
+    if key not in _made or (path and not exists(spark, path)):
         _made[key] = make()
     return _made[key]
 
@@ -172,11 +170,10 @@ def landed_files(spark: SparkSession, path: str) -> list[str]:
 def numbered_trips(events: DataFrame, landing: Landing) -> DataFrame:
     """Trips with the number `f` of the file they go to, as many consecutive event ids as a file has rows.
 
-    The shuffle puts each file into one task, and there are as many tasks as files; files are of
-    equal size, so none is hot.
+    The shuffle puts file k into task k, so there are as many tasks as files; files are of equal size, so none is hot.
     """
-    trips = trips_from_events(events).withColumn("f", F.floor(F.col("event_id") / landing.rows))
-    return trips.repartition(landing.files, "f")
+    trips = trips_from_events(events).withColumn("f", F.floor(F.col("event_id") / landing.rows).cast("int"))
+    return trips.repartitionById(landing.files, "f")
 
 
 def numbered_landing(spark: SparkSession, sf_dir: str) -> Landing:
@@ -244,7 +241,7 @@ def stored_trips(spark: SparkSession, sf_dir: str) -> ParquetSink:
 
     def make() -> ParquetSink:
         sink = ParquetSink(shared_dir(spark, "stored"))
-        ingest_file(spark, landed_files(spark, event_landing(spark, sf_dir).path), sink, 0)
+        ingest_file(spark, event_landing(spark, sf_dir).path, sink, 0)
         return sink
 
     return once(spark, sf_dir, "stored", make)
@@ -255,7 +252,7 @@ def stored_trips_in_database(spark: SparkSession, sf_dir: str, name: str) -> Jdb
 
     def make() -> JdbcSink:
         sink = JdbcSink(database_table(spark, name))
-        ingest_file(spark, landed_files(spark, event_landing(spark, sf_dir).path), sink, 0, replace=True)
+        ingest_file(spark, event_landing(spark, sf_dir).path, sink, 0, replace=True)
         return sink
 
     return once(spark, sf_dir, f"stored in {name}", make)

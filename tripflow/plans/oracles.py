@@ -104,7 +104,7 @@ SELECT {f"{keys}, " if keys else ""}strftime(ts, '%a') AS day_of_week, count(*)
 FROM events GROUP BY ALL"""
 
 
-_FILE_ROWS = "(SELECT greatest(least((count(*) + 3) // 4, 20000000), 1) FROM events)"
+_FILE_ROWS = "(SELECT greatest((count(*) + 3) // 4, 1) FROM events)"
 _PER_FILE = f"SELECT event_id // {_FILE_ROWS} AS f, count(*) AS n, CAST(1 AS BIGINT) AS batches FROM events GROUP BY 1"
 
 _NAMES_OBJECT = "event_type IN ('click', 'purchase', 'view')"
@@ -156,6 +156,10 @@ FROM lineitem GROUP BY ALL""",
     "stream_empty_file": "SELECT count(*) AS n, CAST(1 AS INTEGER) AS first_id, CAST(1 AS INTEGER) AS empty_batches "
     "FROM events",
     "parquet_replace": _by_day('CAST(event_id % 2 AS INTEGER) AS "Id"'),
+    "stream_resume_same_ids": "SELECT count(*) AS n, count(*) AS trips, CAST(0 AS INTEGER) AS first_id FROM events",
+    "object_empty_file": "SELECT count(*) AS n, CAST(-1 AS INTEGER) AS id, CAST(1 AS INTEGER) AS empty_objects, "
+    "count(*) AS reported FROM events",
+    "parquet_readback": _STORED,
     "row_count": "SELECT count(*) AS n FROM events",
     "preview10": f"""{_TRIPS} SELECT event_id, {_DERIVED}, CAST(0 AS INTEGER) AS "Id" FROM trips
 ORDER BY event_id LIMIT 10""",

@@ -34,9 +34,11 @@ QUERIES: dict[str, Query] = {
         scans.csv_coercion,
         scans.batch_ingest,
         scans.lineitem_ingest,
+        scans.object_empty_file,
         streams.stream_ingest,
         streams.stream_update_mode,
         streams.stream_replay,
+        streams.stream_resume_same_ids,
         streams.batch_row_counts,
         streams.stream_file_per_batch,
         streams.stream_batch_ids,
@@ -48,6 +50,7 @@ QUERIES: dict[str, Query] = {
         stored.parquet_replace,
         stored.row_count,
         stored.preview10,
+        stored.parquet_readback,
         stored.jdbc_append,
         stored.sink_readback,
         stored.jdbc_row_count,

@@ -29,10 +29,14 @@ class Run:
     def __post_init__(self) -> None:
         self.checkpoint = shared_dir(self.spark, "checkpoint")
 
-    def drain(self, sink: Sink | None = None) -> None:
+    def drain(self, sink: Sink | None = None, first_batch_id: int = 0) -> None:
         """Take everything that is waiting."""
         config = PipelineConfig(
-            self.input_path, self.checkpoint, output_mode=self.output_mode, max_files_per_trigger=self.max_files
+            self.input_path,
+            self.checkpoint,
+            output_mode=self.output_mode,
+            max_files_per_trigger=self.max_files,
+            first_batch_id=first_batch_id,
         )
         start_stream(self.spark, config, sink or self.sink, self.reports.append).awaitTermination()
 
@@ -67,14 +71,24 @@ class _LostAfterWrite:
         return self.sink.has_batch(spark, batch_id)
 
 
-def crash_and_resume(run: Run) -> None:
-    """Lose the second batch between its write and its commit, then start again."""
+def crash_and_resume(run: Run, refused_id: int | None = None) -> None:
+    """Lose the second batch between its write and its commit, then start again.
+
+    A start with `refused_id` as the first id must fail before that.
+    """
     try:
         run.drain(_LostAfterWrite(run.sink, 1))
     except StreamingQueryException:
         pass
     else:
         raise AssertionError("the stream should have stopped")
+    if refused_id is not None:
+        try:
+            run.drain(first_batch_id=refused_id)
+        except ValueError:
+            pass
+        else:
+            raise AssertionError("another first id should have been refused")
     run.drain()
 
 

@@ -7,8 +7,11 @@ from tripflow import operators as op
 from tripflow.plans import landing as land
 from tripflow.plans.ingest import ingest_file
 from tripflow.plans.queries.shapes import cents, derived_columns, trip_columns
-from tripflow.schema import DAY_OF_WEEK, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
+from tripflow.schema import BATCH_ID, DAY_OF_WEEK, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
+from tripflow.session import shared_dir
+from tripflow.sinks import ParquetSink
 from tripflow.sources import read_trips_batch
+from tripflow.sources.files import write_text
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +52,22 @@ def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = land.landed_files(spark, land.event_landing(spark, sf_dir).path)
-    return ingest_file(spark, files).select(*trip_columns(), *derived_columns())
+    trips = ingest_file(spark, land.event_landing(spark, sf_dir).path)
+    return trips.select(*trip_columns(), *derived_columns())
+
+
+def object_empty_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named object with only a header stores nothing and takes no id; the next one may have it."""
+    path, sink = shared_dir(spark, "header-only"), ParquetSink(shared_dir(spark, "sink"))
+    write_text(spark, f"{path}/empty.csv", ",".join(TRIP_SCHEMA.names) + "\n")
+    objects = (f"{path}/empty.csv", land.event_landing(spark, sf_dir).path)
+    reports = [ingest_file(spark, path, sink, -1) for path in objects]
+    return sink.read(spark).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(BATCH_ID).alias("id"),
+        F.lit(sum(r.stored_as is None for r in reports)).alias("empty_objects"),
+        F.lit(sum(r.rows for r in reports)).cast("long").alias("reported"),
+    )
 
 
 def lineitem_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

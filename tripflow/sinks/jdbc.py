@@ -2,6 +2,7 @@
 
 import logging
 import uuid
+import zlib
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -34,10 +35,12 @@ def _wall_clock(df: DataFrame) -> DataFrame:
 def _rows_for(df: DataFrame, target: JdbcTable) -> DataFrame:
     """`df` in the form the database gets it, over at most `max_connections` tasks.
 
-    The limit is set here, not by the writer's `numPartitions`: that one plans the rows anew and
-    leaves an observed count at 0.
+    Where there are more tasks than connections a shuffle lies between, so the scan keeps its own tasks. The limit is
+    set here, not by the writer's `numPartitions`: that one plans the rows anew and leaves an observed count at 0.
     """
-    return _wall_clock(df).coalesce(target.max_connections)
+    rows = _wall_clock(df)
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(target.max_connections) if tasks > target.max_connections else rows
 
 
 def _write(df: DataFrame, target: JdbcTable, table: str, mode: str) -> None:
@@ -80,11 +83,15 @@ def write_jdbc_idempotent(
         return stored
     # An empty append creates a missing table and rejects a column set that does not fit.
     _write(rows.where(F.lit(False)), target, target.table, "append")
-    stage = f"{target.table}_stage_{uuid.uuid4().hex[:8]}"
+    _index_batches(spark, target)
+    # Named by owner and batch, so that what a dead driver left is found, and apart for drivers that overlap.
+    stages = f"{target.table}_stage_{zlib.crc32(f'{owner} {batch_id}'.encode()):08x}_"
+    stage = stages + uuid.uuid4().hex[:8]
     try:
         for attempt in range(1, STAGE_ATTEMPTS + 1):
             staged = write_counted(rows, lambda out: _write(out, target, stage, "overwrite"))
             if _publish(spark, target, stage, rows.columns, batch_id, staged, owner, replay, replace):
+                _drop_all(spark, target, stages)
                 return staged
             log.warning("batch %s: staged rows were not %s, attempt %s", batch_id, staged, attempt)
     except Py4JJavaError:
@@ -148,6 +155,35 @@ def _create_batches(spark: SparkSession, target: JdbcTable) -> None:
             connection.commit()
 
 
+def _index_batches(spark: SparkSession, target: JdbcTable) -> None:
+    """An index on the batch id of the trips, unless there is one; batches are looked up and replaced by it."""
+    name = target.table.rpartition(".")[2]
+    with _statement(spark, target) as (connection, statement):
+        if not _has_index(connection, target.table):
+            statement.executeUpdate(f"CREATE INDEX {name}_by_batch ON {target.table} ({target.quote(spark, BATCH_ID)})")
+            connection.commit()
+
+
+def _has_index(connection, table: str) -> bool:
+    catalog = connection.getMetaData()
+    schema, _, name = _catalog_name(catalog, table).rpartition(".")
+    found = catalog.getIndexInfo(None, schema or connection.getSchema(), name, False, True)
+    try:
+        while found.next():
+            if found.getString("COLUMN_NAME") == BATCH_ID:
+                return True
+        return False
+    finally:
+        found.close()
+
+
+def _catalog_name(catalog, table: str) -> str:
+    """`table`, written as in SQL without quotes, the way the catalog spells it."""
+    if catalog.storesUpperCaseIdentifiers():
+        return table.upper()
+    return table.lower() if catalog.storesLowerCaseIdentifiers() else table
+
+
 def _stored_rows(spark: SparkSession, target: JdbcTable, batch_id: int, owner: str) -> int | None:
     """The rows of a batch that `owner` has stored, None for one that is not stored."""
     rows, holder = target.quote(spark, "rows"), target.quote(spark, "owner")
@@ -168,6 +204,22 @@ def _drop(spark: SparkSession, target: JdbcTable, table: str) -> None:
             connection.commit()
 
 
+def _drop_all(spark: SparkSession, target: JdbcTable, prefix: str) -> None:
+    """Drop the staging tables of a batch that is in; a driver still filling one is turned away by the batch's key."""
+    with _statement(spark, target) as (connection, statement):
+        catalog = connection.getMetaData()
+        schema, _, name = _catalog_name(catalog, prefix).rpartition(".")
+        found, names = catalog.getTables(None, schema or connection.getSchema(), f"{name}%", None), []
+        while found.next():
+            # The catalog takes an underscore as any character.
+            if found.getString("TABLE_NAME").startswith(name):
+                names.append(found.getString("TABLE_NAME"))
+        found.close()
+        for name in names:
+            statement.executeUpdate(f"DROP TABLE {schema + '.' if schema else ''}{name}")
+        connection.commit()
+
+
 @contextmanager
 def _statement(spark: SparkSession, target: JdbcTable):
     """A statement in an open transaction, on a driver-side connection; rolled back unless committed."""
@@ -195,11 +247,7 @@ def _statement(spark: SparkSession, target: JdbcTable):
 def _has_table(connection, table: str) -> bool:
     """Whether `table`, written as in SQL without quotes, exists."""
     catalog = connection.getMetaData()
-    if catalog.storesUpperCaseIdentifiers():
-        table = table.upper()
-    elif catalog.storesLowerCaseIdentifiers():
-        table = table.lower()
-    schema, _, name = table.rpartition(".")
+    schema, _, name = _catalog_name(catalog, table).rpartition(".")
     found = catalog.getTables(None, schema or connection.getSchema(), name, None)
     try:
         # The catalog takes the name as a pattern, in which an underscore matches any character.
@@ -212,12 +260,13 @@ def _has_table(connection, table: str) -> bool:
 
 
 def _scalar(spark: SparkSession, target: JdbcTable, table: str, sql: str) -> int | None:
-    """The number `sql` gives, None for NULL or when there is no `table` yet."""
+    """The number `sql` gives, None for NULL, without a row or when there is no `table` yet."""
     with _statement(spark, target) as (connection, statement):
         if not _has_table(connection, table):
             return None
         result = statement.executeQuery(sql)
-        result.next()
+        if not result.next():
+            return None
         value = result.getLong(1)
         return None if result.wasNull() else value
 
@@ -247,7 +296,8 @@ class JdbcSink:
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
         own = _is_batch(spark, self.target, batch_id)
         tables = (_batches(self.target), self.target.table)
-        return any(_scalar(spark, self.target, table, f"SELECT COUNT(*) FROM {table} WHERE {own}") for table in tables)
+        one = "SELECT 1 FROM {} WHERE " + own + " FETCH FIRST 1 ROWS ONLY"
+        return any(_scalar(spark, self.target, table, one.format(table)) for table in tables)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_sink_table(spark, self.target, num_partitions=self.target.max_connections)

@@ -12,13 +12,14 @@ from pyspark.sql.types import StructType
 from tripflow.schema import BATCH_ID, STORED_SCHEMA
 from tripflow.sinks.counting import write_counted
 from tripflow.sinks.ownership import NO_STREAM, check_owner
-from tripflow.sources.files import child_names, read_text, write_text
+from tripflow.sources.files import child_names, exists, read_text, write_text
 
 log = logging.getLogger(__name__)
 
 WRITE_ATTEMPTS = 3
 
 _BATCH_DIR = re.compile(rf"{BATCH_ID}=(-?\d+)")
+_MARKER = re.compile(r"-?\d+")
 
 
 def write_parquet_idempotent(df: DataFrame, batch_id: int, path: str) -> int:
@@ -49,15 +50,31 @@ class ParquetSink:
     def write(
         self, df: DataFrame, batch_id: int, *, owner: str = NO_STREAM, replay: bool = True, replace: bool = False
     ) -> int:
-        """Store the batch for `owner`; a first write and a replay are the same operation here."""
-        marker = f"{self._markers}/{batch_id}"
-        holder = read_text(df.sparkSession, marker)
+        """Store the batch for `owner`, unless a marker and the footers say that this is done already.
+
+        The marker holds the owner from before the write and, from after it, the number of rows. A replay of a batch
+        that is whole so leaves its files alone; a torn one is written afresh.
+        """
+        spark, marker = df.sparkSession, f"{self._markers}/{batch_id}"
+        noted = read_text(spark, marker)
         # An empty marker is one whose writer died over it.
+        holder, _, rows = (noted or "").partition("\n")
         if holder and not replace:
             check_owner(batch_id, holder, owner)
+            if rows and self._found(df, batch_id) == int(rows):
+                return int(rows)
         else:
-            write_text(df.sparkSession, marker, owner, overwrite=holder is not None)
-        return write_parquet_idempotent(df, batch_id, self.path)
+            write_text(spark, marker, owner, overwrite=noted is not None)
+        written = write_parquet_idempotent(df, batch_id, self.path)
+        write_text(spark, marker, f"{owner}\n{written}")
+        return written
+
+    def _found(self, df: DataFrame, batch_id: int) -> int:
+        """Rows of a batch by the footers of its files."""
+        if not self.has_batch(df.sparkSession, batch_id):
+            return 0
+        directory = f"{self.path}/{BATCH_ID}={batch_id}"
+        return df.sparkSession.read.schema(df.drop(BATCH_ID).schema).parquet(directory).count()
 
     @property
     def _markers(self) -> str:
@@ -70,11 +87,11 @@ class ParquetSink:
         return sorted(int(match[1]) for match in names if match)
 
     def last_batch_id(self, spark: SparkSession) -> int | None:
-        taken = map(int, child_names(spark, self._markers))
+        taken = (int(name) for name in child_names(spark, self._markers) if _MARKER.fullmatch(name))
         return max((*taken, *self.batch_ids(spark)), default=None)
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
-        return bool(child_names(spark, f"{self.path}/{BATCH_ID}={batch_id}"))
+        return exists(spark, f"{self.path}/{BATCH_ID}={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(self.schema).parquet(self.path)

@@ -16,6 +16,18 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at `path`; nothing is listed."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with scheme and authority, the way its file system spells it."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.makeQualified(hadoop_path).toString()
+
+
 def ensure_directory(spark: SparkSession, path: str) -> None:
     """Create `path` unless it exists or is a pattern."""
     if not any(c in path for c in "*?[{"):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from tripflow.schema import PICKUP
+from tripflow.schema import BATCH_ID, PICKUP
 
 
 @dataclass(frozen=True)
@@ -47,30 +47,62 @@ def _zoned(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("timestamp") for name in naive})
 
 
-def read_sink_table(
-    spark: SparkSession, target: JdbcTable, *, num_partitions: int = 1, split_by: str = PICKUP
-) -> DataFrame:
-    """The whole table, read over up to `num_partitions` connections.
+def read_sink_table(spark: SparkSession, target: JdbcTable, *, num_partitions: int | None = None) -> DataFrame:
+    """The whole table, read over up to `num_partitions` connections, `max_connections` unless given.
 
-    The ranges are on the pickup time rather than the batch id: a single batch may hold a large
-    share of the rows, and its trips still spread over time.
+    It is cut by batch ids, which are indexed, into ranges of about as many rows each, and a batch with more rows than
+    a range further by equal counts of its pickup times. A stray or missing time so makes no large range.
     """
     options = target.properties() | {"fetchsize": str(target.batch_size), "preferTimestampNTZ": "true"}
-    ranges = _time_ranges(spark, target, split_by, num_partitions) if num_partitions > 1 else []
-    if ranges:
-        return _zoned(spark.read.jdbc(target.url, target.table, predicates=ranges, properties=options))
-    return _zoned(spark.read.jdbc(target.url, target.table, properties=options))
-
-
-def _time_ranges(spark: SparkSession, target: JdbcTable, column: str, parts: int) -> list[str]:
-    """Predicates that cut the table into `parts` equal spans of time; NULL goes with the first."""
-    name = target.quote(spark, column)
-    low, high = _query(spark, target, f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {target.table}").first()
-    if low is None or low == high:
-        return []
-    cuts = [f"{{ts '{low + (high - low) * part / parts}'}}" for part in range(1, parts)]
-    between = [f"{name} >= {start} AND {name} < {end}" for start, end in pairwise(cuts)]
-    return [f"{name} < {cuts[0]} OR {name} IS NULL", *between, f"{name} >= {cuts[-1]}"]
+    ranges = _ranges(spark, target, num_partitions or target.max_connections)
+    return _zoned(spark.read.jdbc(target.url, target.table, predicates=ranges, properties=options))
+
+
+def _ranges(spark: SparkSession, target: JdbcTable, parts: int) -> list[str]:
+    """Predicates that together hold each row once; NULL ids and times go with the first range of theirs."""
+    name, time = target.quote(spark, BATCH_ID), target.quote(spark, PICKUP)
+    counted = f"SELECT {name} AS id, COUNT(*) AS n FROM {target.table} WHERE {name} IS NOT NULL GROUP BY {name}"
+    batches = _query(spark, target, counted).toDF("id", "n").orderBy("id").collect()
+    most = max(1, -(-sum(b.n for b in batches) // parts))
+    cuts, held, split = [], 0, {}
+    for b in batches:
+        if held and held + b.n > most:
+            cuts.append(b.id)
+            held = 0
+        held += b.n
+        if b.n > most:
+            split[b.id] = -(-b.n // most)
+    whole = [f"{name} >= {low} AND {name} < {high}" for low, high in pairwise(cuts)]
+    if cuts:
+        whole = [f"({name} < {cuts[0]} OR {name} IS NULL)", *whole, f"{name} >= {cuts[-1]}"]
+    else:
+        whole = [f"({name} >= {batches[0].id} OR {name} < {batches[0].id} OR {name} IS NULL)" if batches else "1 = 1"]
+    firsts = [None, *cuts]
+    found = []
+    for first, predicate in zip(firsts, whole, strict=True):
+        large = first if first is not None else (batches[0].id if batches else None)
+        times = _time_cuts(spark, target, large, split[large]) if large in split else []
+        if not times:
+            found.append(predicate)
+            continue
+        between = [f"{time} >= {low} AND {time} < {high}" for low, high in pairwise(times)]
+        spans = [f"({time} < {times[0]} OR {time} IS NULL)", *between, f"{time} >= {times[-1]}"]
+        found += [f"{predicate} AND {span}" for span in spans]
+    return found
+
+
+def _time_cuts(spark: SparkSession, target: JdbcTable, batch_id: int, parts: int) -> list[str]:
+    """Pickup times that cut a batch into parts of about equal counts, found by the database; at most parts - 1."""
+    name, time = target.quote(spark, BATCH_ID), target.quote(spark, PICKUP)
+    tiled = (
+        f"SELECT t AS low FROM (SELECT {time} AS t, ROW_NUMBER() OVER () AS k FROM "
+        f"(SELECT {time} FROM {target.table} WHERE {name} = {int(batch_id)} AND {time} IS NOT NULL ORDER BY {time}) o) r "
+        f"WHERE MOD(k, {{step}}) = 0 AND k < {{n}}"
+    )
+    n = _query(spark, target, f"SELECT COUNT({time}) AS n FROM {target.table} WHERE {name} = {int(batch_id)}").first()[0]
+    step = max(1, -(-n // parts))
+    lows = sorted({r[0] for r in _query(spark, target, tiled.format(step=step, n=n)).collect() if r[0] is not None})
+    return [f"{{ts '{low}'}}" for low in lows]
 
 
 def sink_count(spark: SparkSession, target: JdbcTable) -> DataFrame:

@@ -42,6 +42,17 @@ class BatchReport:
     seconds: float
 
 
+def store_batch(
+    df: DataFrame, sink: Sink, batch_id: int, stored_as: int, *, owner: str = NO_STREAM, replay: bool, replace: bool = False
+) -> BatchReport:
+    """Skip an empty batch, which then takes no id in the sink; stamp and write any other."""
+    started = time.monotonic()
+    if df.isEmpty():
+        return BatchReport(batch_id, None, 0, time.monotonic() - started)
+    rows = sink.write(with_batch_id(df, stored_as), stored_as, owner=owner, replay=replay, replace=replace)
+    return BatchReport(batch_id, stored_as, rows, time.monotonic() - started)
+
+
 def make_batch_writer(
     sink: Sink, *, first_batch_id: int = 0, on_batch: Callable[[BatchReport], None] | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -56,19 +67,13 @@ def make_batch_writer(
     def write_batch(df: DataFrame, batch_id: int) -> None:
         nonlocal finished
         replay, finished = finished is None or batch_id != finished + 1, None
-        started = time.monotonic()
+        stream = df.sparkSession.sparkContext.getLocalProperty(_STREAM) or NO_STREAM
         try:
-            if df.isEmpty():
-                stored_as, rows = None, 0
-            else:
-                stored_as = first_batch_id + batch_id
-                stream = df.sparkSession.sparkContext.getLocalProperty(_STREAM) or NO_STREAM
-                rows = sink.write(with_batch_id(df, stored_as), stored_as, owner=stream, replay=replay)
+            report = store_batch(df, sink, batch_id, first_batch_id + batch_id, owner=stream, replay=replay)
         except Exception:
             log.exception("batch %s failed; the stream stops", batch_id)
             raise
         finished = batch_id
-        report = BatchReport(batch_id, stored_as, rows, time.monotonic() - started)
         log.info("%s", report)
         if on_batch:
             on_batch(report)
