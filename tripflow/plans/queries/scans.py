@@ -18,8 +18,8 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_trips_batch(spark, land.event_landing(spark, sf_dir).path).select(*trip_columns())
 
 
-def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that do not parse, rows that are too short or too long: NULL there, the rest kept."""
+def rough_landing(spark: SparkSession, sf_dir: str) -> land.Landing:
+    """Lines with fields that do not parse, too few fields or too many."""
 
     def make() -> land.Landing:
         events = land.table(spark, sf_dir, "events")
@@ -46,7 +46,12 @@ def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
         trips.select(F.concat_ws(",", fields)).write.text(landing.path)
         return landing
 
-    landing = land.once(spark, sf_dir, "rough", make)
+    return land.once(spark, sf_dir, "rough", make)
+
+
+def csv_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that do not parse, rows that are too short or too long: NULL there, the rest kept."""
+    landing = rough_landing(spark, sf_dir)
     trips = op.enrich_trips(read_trips_batch(spark, landing.path, path_glob=None, header=False))
     return trips.select(*trip_columns(), *derived_columns())
 
