@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
-from texts import prose
+from llm.texts import prose
 
 from tripflow.llm.quality import quality
 from tripflow.llm.toxicity import drop_toxic, toxicity

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
-from texts import prose
+from llm.texts import prose
 
 from tripflow.llm import decontam
 from tripflow.llm.decontam import ItemIndex, allowed_edits, contaminated, drop_contaminated, edits, words_of

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from texts import prose
+from llm.texts import prose
 
 from tripflow.llm.queries import QUERIES
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from texts import prose
+from llm.texts import prose
 
 from tripflow.llm.components import connected_components
 from tripflow.llm.simhash import fingerprint, near_copies, one_of_each, simhash

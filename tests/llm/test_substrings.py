@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from texts import prose
+from llm.texts import prose
 
 from tripflow.llm import substrings as module
 from tripflow.llm.substrings import remove_repeated, substrings
