@@ -36,6 +36,7 @@ MIN_SHARED = BYTES - MAX_BITS
 # For near copies: texts alike in 0.8 of their shingles of so many words, see near_copies.
 WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 96
 WIDE_BITS, WIDE_FIRST_BITS = 45, 20
+LEADERS = 8
 # Shingles hashed at a time.
 PIECE = 1 << 15
 
@@ -246,14 +247,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     fps = checkpointed(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
     index = _wide_lists(fps.withColumn("part", F.col("node"))).drop("part")
     least = index.groupBy("list").agg(F.min(F.struct("node", "first")).alias("least"), F.count("*").alias("n"))
-    # Of the least members of its lists each fingerprint is held against the nearest one, so this makes no more pairs
-    # than there are fingerprints.
+    # Of the least members of its lists each fingerprint is held against the LEADERS nearest ones, by their first 64 bits.
+    # This contracts; pairs that it passes over meet below.
     stars = (
         index.join(least.where("n > 1"), "list")
         .select(F.col("node").alias("a"), F.expr("struct(bit_count(first ^ least.first) AS bits, least.node AS b)").alias("x"))
         .where(f"a <> x.b and x.bits <= {WIDE_FIRST_BITS}")
         .groupBy("a")
-        .agg(F.min("x").alias("x"))
+        .agg(F.slice(F.sort_array(F.collect_set("x")), 1, LEADERS).alias("x"))
+        .select("a", F.explode("x").alias("x"))
         .select("a", F.col("x.b").alias("b"))
     )
     near = connected_components(_verified(stars, fps))
