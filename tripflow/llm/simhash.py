@@ -35,7 +35,7 @@ BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
 # For near copies: texts alike in 0.8 of their shingles of so many words, see near_copies.
 WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 96
-WIDE_BITS, WIDE_FIRST_BITS = 45, 20
+WIDE_BITS, WIDE_HEAD_BITS = 45, 32
 LEADERS = 8
 # Shingles hashed at a time.
 PIECE = 1 << 15
@@ -197,7 +197,7 @@ def _wide(docs: DataFrame) -> DataFrame:
 
 
 def _wide_lists(fps: DataFrame) -> DataFrame:
-    """The index: for each fingerprint the WIDE_LISTS lists that it is in, and its first long; other columns stay."""
+    """The index: for each fingerprint the WIDE_LISTS lists that it is in, and its first two longs."""
     draw = np.random.default_rng(SEED)
     places = np.stack([draw.choice(8 * WIDE_LONGS, 3, replace=False) for _ in range(WIDE_LISTS)])
 
@@ -209,13 +209,19 @@ def _wide_lists(fps: DataFrame) -> DataFrame:
             picked = raw[:, places].astype(np.int64)
             keys = np.arange(WIDE_LISTS) << 20 | picked[:, :, 0] << 12 | picked[:, :, 1] << 4 | picked[:, :, 2] & 15
             rows = pa.array(np.repeat(np.arange(len(b)), WIDE_LISTS))
-            first = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
+            head = np.ascontiguousarray(raw[:, :16]).view("<i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), b.column(0).take(rows), pa.array(first).take(rows), b.column(2).take(rows)],
-                names=["list", "node", "first", "part"],
+                [
+                    pa.array(keys.ravel()),
+                    b.column(0).take(rows),
+                    pa.array(np.ascontiguousarray(head[:, 0])).take(rows),
+                    pa.array(np.ascontiguousarray(head[:, 1])).take(rows),
+                    b.column(2).take(rows),
+                ],
+                names=["list", "node", "first", "second", "part"],
             )
 
-    return fps.select("node", "fp", "part").mapInArrow(run, "list long, node long, first long, part long")
+    return fps.select("node", "fp", "part").mapInArrow(run, "list long, node long, first long, second long, part long")
 
 
 def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
@@ -240,19 +246,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     That similarity is far from 4 of 64 bits, so the fingerprints here have 256: two texts at 0.8 differ in some 39
     bits, give or take 6, unrelated ones in 128, and WIDE_BITS parts them. No positional bytes are then sure to agree; the
     index has WIDE_LISTS lists, keyed by two positional bytes and half of a third, and two texts at 0.85 meet in one with
-    a probability of 0.98. Pairs that meet are kept if their first 64 bits differ in at most WIDE_FIRST_BITS, then verified.
+    a probability of 0.98. Pairs that meet are kept if their first 128 bits differ in at most WIDE_HEAD_BITS, then verified.
     Groups are contracted first, by linking members of lists to the least ones.
     """
     rows = checkpointed(_wide(docs))
     fps = checkpointed(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
     index = _wide_lists(fps.withColumn("part", F.col("node"))).drop("part")
-    least = index.groupBy("list").agg(F.min(F.struct("node", "first")).alias("least"), F.count("*").alias("n"))
-    # Of the least members of its lists each fingerprint is held against the LEADERS nearest ones, by their first 64 bits.
+    least = index.groupBy("list").agg(F.min(F.struct("node", "first", "second")).alias("least"), F.count("*").alias("n"))
+    nearest = "struct(bit_count(first ^ least.first) + bit_count(second ^ least.second) AS bits, least.node AS b)"
+    # Of the least members of its lists each fingerprint is held against the LEADERS nearest ones, by their first 128 bits.
     # This contracts; pairs that it passes over meet below.
     stars = (
         index.join(least.where("n > 1"), "list")
-        .select(F.col("node").alias("a"), F.expr("struct(bit_count(first ^ least.first) AS bits, least.node AS b)").alias("x"))
-        .where(f"a <> x.b and x.bits <= {WIDE_FIRST_BITS}")
+        .select(F.col("node").alias("a"), F.expr(nearest).alias("x"))
+        .where(f"a <> x.b and x.bits <= {WIDE_HEAD_BITS}")
         .groupBy("a")
         .agg(F.slice(F.sort_array(F.collect_set("x")), 1, LEADERS).alias("x"))
         .select("a", F.explode("x").alias("x"))
@@ -268,7 +275,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             right,
             F.expr(
                 "l.list = r.list and l.node < r.node and l.part <> r.part"
-                f" and bit_count(l.first ^ r.first) <= {WIDE_FIRST_BITS}"
+                f" and bit_count(l.first ^ r.first) + bit_count(l.second ^ r.second) <= {WIDE_HEAD_BITS}"
             ),
         )
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
