@@ -137,3 +137,22 @@ def test_permutes(spark, kind, size, radix):
 def test_no_python_in_the_plan(docs):
     plan = pii(docs(["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def rewritten(docs, texts):
+    """The pseudonymised texts, in order."""
+    return [r.text for r in sorted(pii(docs(texts)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_values_between_separators(docs):
+    card, ssn, day, ip, us, dot = "4111111111111111", "123-45-6789", "1980-02-03", "10.0.0.1", "02/03/1980", "03.02.1980"
+    values = [card, ssn, day, ip, us, dot]
+    shapes = [
+        "{1},{2},{3}", "1,{0},{0},2", "{0},{1},{2},{3},{4},{5},9", "{2}T10:00:00Z {2}t10:00", "{3}/24", "{2}/{2}", "{3}-{3}",
+        "{4}-{4}", "{5}-{5}", "7/{2},{0}/{0}", "{2}.5", "{5}/{5},1",
+    ]
+    got = rewritten(docs, [s.format(*values) for s in shapes])
+    assert got == [s.format(*[one(v) for v in values]) for s in shapes]
+    # Parts of longer values of their own kind stay.
+    whole = [f"{ip}.5", f"5.{ip}", f"{ssn}-1", f"1-{ssn}", f"{day}-1", f"{us}/1", f"{dot}.1", f"{card}.5", f"0.{card}", f"{day}x"]
+    assert rewritten(docs, whole) == whole

@@ -31,11 +31,16 @@ ISO_DATE, US_DATE, DOT_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}/[0-9]{2}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-# A match must not be part of a longer run of digits, or of a longer number with points.
-CANDIDATE = (
-    rf"{EMAIL}|(?<![0-9A-Za-z]){PHONE}(?![0-9])"
-    rf"|(?<![0-9A-Za-z])(?<![0-9][.,/-])(?:{ISO_DATE}|{US_DATE}|{DOT_DATE}|{SSN}|{IPV4}|{CARD})(?![0-9A-Za-z])(?![.,/-][0-9])"
-)
+# A value must not be part of a longer one of its own kind: numbers with points end before no further `.digit`, hyphenated ones
+# before no further `-digit`, dates with slashes before no further `/digit`. Anything else may stand beside them, such as the
+# commas of CSV, the prefix length of an IPv4 network, the slash of a range, or the time after an ISO date.
+_WORD, _END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
+_TIME = r"(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z]))"
+POINTED = rf"{_WORD}(?<![0-9]\.)(?:{DOT_DATE}|{IPV4}){_END}(?!\.[0-9])"
+SLASHED = rf"{_WORD}(?<![0-9]/){US_DATE}{_END}(?!/[0-9])"
+HYPHENATED = rf"{_WORD}(?<![0-9]-)(?:{ISO_DATE}{_TIME}|{SSN}{_END})(?!-[0-9])"
+NUMBER = rf"{_WORD}(?<![0-9][.-]){CARD}{_END}(?!\.[0-9])(?!-[0-9])"
+CANDIDATE = rf"{EMAIL}|{_WORD}{PHONE}(?![0-9])|{SLASHED}|{POINTED}|{HYPHENATED}|{NUMBER}"
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
 FIRST_DAY = "1800-01-01"
 DAYS = (189, 773)
