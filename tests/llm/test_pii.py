@@ -144,6 +144,26 @@ def rewritten(docs, texts):
     return [r.text for r in sorted(pii(docs(texts)).collect(), key=lambda r: r.doc_id)]
 
 
+def test_cards_beside_numbers(docs):
+    a, b, ssn, day = "4111 1111 1111 1111", "5500000000000004", "123-45-6789", "2024-01-05"
+    new = {v: one(v) for v in (a, b, ssn, day, "4111111111111111", "4111-1111-1111-1111", "10.0.0.1", "01/05/2024", "x@y.org")}
+    shapes = [
+        "{0} 123", "{0} 12 34", "7 {0}", "12 35 {0} 567", "2 {1} 3", "{0} {1}", "{1} {0} {1} 9", "{0}-77", "5 {5}-123",
+        "{0} {2}", "55 {3} {2}", "{2} {0} {3}", "{3} {2} {3}", "{0} 6.5", "{0} {6} {1}", "{0} {7}", "{1} {8}", "{1} 12ab",
+        "12 {1} {3}T10:00:00Z",
+    ]
+    values = [a, b, ssn, day, "4111111111111111", "4111-1111-1111-1111", "10.0.0.1", "01/05/2024", "x@y.org"]
+    got = rewritten(docs, [s.format(*values) for s in shapes])
+    assert got == [s.format(*[new[v] for v in values]) for s in shapes]
+    assert not any(a in t or b in t for t in got)
+
+
+def test_long_rows_of_numbers(docs):
+    text = " ".join(["0001"] * 3_000 + ["4111111111111111"] + ["x"])
+    got = rewritten(docs, [text, "1-" * 3_000 + "1"])
+    assert "4111111111111111" not in got[0] and len(got[0]) == len(text)
+
+
 def test_values_between_separators(docs):
     card, ssn, day, ip, us, dot = "4111111111111111", "123-45-6789", "1980-02-03", "10.0.0.1", "02/03/1980", "03.02.1980"
     values = [card, ssn, day, ip, us, dot]

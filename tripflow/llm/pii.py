@@ -3,7 +3,9 @@
 Found and validated: payment card numbers of 13 to 19 digits with a correct Luhn digit, US social security numbers
 with an area, group and serial that are issued, phone numbers +1 (aaa) eee-nnnn and alike, IPv4 addresses, calendar
 dates (yyyy-mm-dd, mm/dd/yyyy, dd.mm.yyyy, years 1800 to 2199) and e-mail addresses. What looks alike but fails its
-check is left alone.
+check is left alone. In a row of numbers parted by single blanks or hyphens, a card may begin and end at any of them: the
+leftmost valid one is taken, of several that begin there the longest, so one row of numbers in ten or more that are none
+passes for a card.
 
 Each value is an element of a finite set of two digits in mixed radix (high, low). A Feistel network of ROUNDS
 rounds, whose round function is SHA-256 over key, kind, size, round and the other half, adds to one half modulo its
@@ -41,6 +43,13 @@ SLASHED = rf"{_WORD}(?<![0-9]/){US_DATE}{_END}(?!/[0-9])"
 HYPHENATED = rf"{_WORD}(?<![0-9]-)(?:{ISO_DATE}{_TIME}|{SSN}{_END})(?!-[0-9])"
 NUMBER = rf"{_WORD}(?<![0-9][.-]){CARD}{_END}(?!\.[0-9])(?!-[0-9])"
 CANDIDATE = rf"{EMAIL}|{_WORD}{PHONE}(?![0-9])|{SLASHED}|{POINTED}|{HYPHENATED}|{NUMBER}"
+# Numbers in a row with 13 digits or more, up to where something else begins: cards, SSNs and ISO dates are sought in it at
+# every place, see _run. It never gives back, so that long rows need no stack.
+_PART = rf"(?!{EMAIL}|{SLASHED}|{POINTED})[0-9]++(?:(?=[Tt][0-9]{{2}})|(?![0-9A-Za-z]))(?!\.[0-9])"
+RUN = rf"{_WORD}(?<![0-9][.-])(?=(?:[0-9][ -]?){{13}}){_PART}(?:[ -]{_PART})*+"
+FOUND = rf"{EMAIL}|{_WORD}{PHONE}(?![0-9])|{RUN}|{CANDIDATE}"
+# Numbers that a card or a date can be made of.
+MOST_PARTS = 19
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
 FIRST_DAY = "1800-01-01"
 DAYS = (189, 773)
@@ -206,6 +215,65 @@ def _valid_date(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("date").between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date"))
 
 
+def _value_ahead(parts: Column, i: Column) -> Column:
+    """The SSN, ISO date or card that begins at part i of a run, each part with the separator before it, or null."""
+    window = F.slice(parts, i + 1, MOST_PARTS + 1)
+
+    def within(w: Column) -> Column:
+        rest = F.regexp_replace(F.array_join(w, ""), "^[ -]", "")
+        hyphenated = F.regexp_extract(rest, rf"^(?:{ISO_DATE}|{SSN})(?![0-9])(?!-)", 0)
+        alone = (~F.element_at(w, 1).startswith("-")) & (hyphenated != "")
+        ends = F.sequence(F.least(F.size(w), F.lit(MOST_PARTS)), F.lit(1), F.lit(-1))
+        cards = F.transform(ends, lambda n: F.regexp_replace(F.array_join(F.slice(w, F.lit(1), n), ""), "^[ -]", ""))
+        valid = F.filter(cards, lambda c: c.rlike(f"^{CARD}$") & (_luhn_sum(_digits(c), 1) % 10 == 0))
+        return F.when(alone, hyphenated).otherwise(F.get(valid, F.lit(0)))
+
+    return _let(window, within)
+
+
+def _run(text: Column, key: str) -> Column:
+    """A run of numbers with its cards, SSNs and ISO dates replaced: at each place the longest card that is valid."""
+
+    def rewritten(parts: Column) -> Column:
+        # `at` is the place in the text, `done` up to where it has been taken apart: gap, value, gap, value, ...
+        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("done"), F.array().cast("array<string>").alias("pieces"))
+
+        def step(state: Column, i: Column) -> Column:
+            part = F.element_at(parts, i + 1)
+            skipped = F.when(part.rlike("^[ -]"), 1).otherwise(0)
+            after = state["at"] + F.length(part)
+
+            def take(value: Column) -> Column:
+                begin = state["at"] + skipped
+                gap = F.substr(text, state["done"], begin - state["done"])
+                return F.struct(
+                    after.alias("at"),
+                    F.when(value.isNull(), state["done"]).otherwise(begin + F.length(value)).alias("done"),
+                    F.when(value.isNull(), state["pieces"])
+                    .otherwise(F.concat(state["pieces"], F.array(gap, value)))
+                    .alias("pieces"),
+                )
+
+            return _let(F.when(state["at"] >= state["done"], _value_ahead(parts, i)), take)
+
+        def finish(state: Column) -> Column:
+            def piece(p: Column, k: Column) -> Column:
+                return F.when(k % 2 == 1, _pseudonym(p, key)).otherwise(p)
+
+            rest = F.substr(text, state["done"], F.length(text) - state["done"] + 1)
+            return F.concat(F.array_join(F.transform(state["pieces"], piece), ""), rest)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, finish)
+
+    return _let(F.regexp_extract_all(text, F.lit("[ -]?[0-9]+"), F.lit(0)), rewritten)
+
+
+def _replaced(text: Column, key: str) -> Column:
+    """What a match becomes: a run, or one value."""
+    run = text.rlike("^(?=(?:[0-9][ -]?){13})[0-9]+(?:[ -][0-9]+)*+$")
+    return F.when(run, _run(text, key)).otherwise(_pseudonym(text, key))
+
+
 def _pseudonym(text: Column, key: str) -> Column:
     """What a candidate becomes, or the candidate itself if it fails its check."""
     digits = _digits(text)
@@ -228,8 +296,8 @@ def _pseudonym(text: Column, key: str) -> Column:
 
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """The text with all personal data in it replaced."""
-    gaps = F.split(text, CANDIDATE, -1)
-    values = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: _pseudonym(m, key))
+    gaps = F.split(text, FOUND, -1)
+    values = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: _replaced(m, key))
     pieces = F.zip_with(gaps, values, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
     # All but texts without a digit or an at sign go unread.
     return F.when(text.rlike("[0-9@]"), F.array_join(pieces, "")).otherwise(text)
