@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from llm.texts import prose
@@ -85,3 +86,16 @@ def test_too_few_labels(docs, labels, operator, known):
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_empty_tables(docs, labels, operator):
     assert operator(docs([]), labels([(1, 1, 1)])).collect() == []
+
+
+def test_quality_calibrates_on_all_chunks(docs, labels):
+    from tripflow.llm import quality as module
+
+    # Long texts whose style changes at one chunk.
+    rows = [(k, prose(k, 4_000) + (" zxq" * 400 if k % 2 else "") + prose(k + 500, 1_500)) for k in range(60)]
+    sampled = [(k, p[:: -(-len(p) // 8)], k % 2) for k, t in rows if len(p := module.chunks(t.encode())) > 8]
+    assert len(sampled) == 60
+    models = module.fold_models(sampled)
+    data = np.array([(*models[module.fold_of(k)].features(module.chunks(t.encode())), k % 2) for k, t in rows])
+    model = module.train(docs(rows), labels([(k, k % 2, 0) for k, _ in rows]))
+    assert np.allclose(model.weights, module.fit_logistic(data[:, :2], data[:, 2], ridge=1e-3))

@@ -23,7 +23,7 @@ from tripflow.llm.common import FOLDS, fit_logistic, fold_of, held_out, id_texts
 CHUNK_BYTES = 1_500
 LEVEL = 3
 DICT_BYTES = 48_000
-# The fit reads at most so many bad and good texts, and of each at most so many chunks, spread over the text.
+# The fit reads at most so many bad and good texts; dictionaries are built from so many chunks of each, spread over the text.
 TRAIN_TEXTS = (2_500, 2_500)
 TRAIN_CHUNKS = 8
 GOOD_SCORE = 0.7
@@ -96,26 +96,19 @@ def _built(examples: list[tuple[int, list[bytes], int]]) -> QualityModel:
     return QualityModel(_dictionary(parts[0]), _dictionary(parts[1]), np.zeros(3))
 
 
-def fit(examples: list[tuple[int, list[bytes], int]]) -> QualityModel:
-    """A model from (id, chunks, label) of labelled texts.
-
-    Each fold is looked at with dictionaries built from the others, which calibrates the weights; the final
-    dictionaries are built from all.
-    """
-    rows = [(0.0, 0.0, 0)][: not examples]
-    for f in range(FOLDS):
-        model = _built([x for x in examples if fold_of(x[0]) != f])
-        rows += [(*model.features(pieces), label) for i, pieces, label in examples if fold_of(i) == f]
-    data = np.array(rows, dtype=float)
-    model = _built(examples)
-    model.weights = fit_logistic(data[:, :2], data[:, 2], ridge=1e-3)
-    return model
+def fold_models(examples: list[tuple[int, list[bytes], int]]) -> list[QualityModel]:
+    """For each fold the dictionaries built from the others."""
+    return [_built([x for x in examples if fold_of(x[0]) != f]) for f in range(FOLDS)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", keep: Column | None = None) -> QualityModel:
-    """Fit on a sample of at most TRAIN_TEXTS labelled texts, of each TRAIN_CHUNKS chunks at most."""
+    """Fit on a sample of at most TRAIN_TEXTS labelled texts; dictionaries are built from TRAIN_CHUNKS chunks of each at most.
+
+    Each fold is looked at, all chunks of its texts, with dictionaries built from the others, which calibrates the weights;
+    the final dictionaries are built from all.
+    """
     keep = F.lit(True) if keep is None else keep
-    sample = labelled_sample(texts(docs), labels, label_col, keep, TRAIN_TEXTS)
+    sample = labelled_sample(texts(docs), labels, label_col, keep, TRAIN_TEXTS).select("doc_id", "text", "label")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,9 +120,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", keep:
                 [b.column(0), pa.array(cut, pa.list_(pa.binary())), b.column(2)], names=["doc_id", "parts", "label"]
             )
 
-    found = sample.select("doc_id", "text", "label").mapInArrow(spread, "doc_id long, parts array<binary>, label int")
-    examples = [(r.doc_id, [bytes(p) for p in r.parts], r.label) for r in found.collect()]
-    return fit(sorted(examples, key=lambda x: x[0]))
+    found = sample.mapInArrow(spread, "doc_id long, parts array<binary>, label int").collect()
+    examples = sorted([(r.doc_id, [bytes(p) for p in r.parts], r.label) for r in found], key=lambda x: x[0])
+    models = fold_models(examples)
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [models[fold_of(i)].features(chunks(t)) for i, t in id_texts(b)]
+            columns = [pa.array([x[k] for x in pairs], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(2)], names=["doc_id", "whole", "least", "label"])
+
+    seen = sample.mapInArrow(looked_at, "doc_id long, whole double, least double, label int").collect()
+    data = np.array([(r.whole, r.least, r.label) for r in sorted(seen, key=lambda r: r.doc_id)] or [(0.0, 0.0, 0)], dtype=float)
+    model = _built(examples)
+    model.weights = fit_logistic(data[:, :2], data[:, 2], ridge=1e-3)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
