@@ -5,7 +5,7 @@ What has none: op1, op4 and op9 (walks and compressed lengths), op3 (XXH64), op7
 brute force, held-out labels or round trips.
 """
 
-from tripflow.llm import topk, urls
+from tripflow.llm import topk, urls, variants
 
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = "\n        ".join(
@@ -157,9 +157,52 @@ SELECT n AS page_id, visit, url, strftime(make_timestamp(t * 1000000), '%Y-%m-%d
 FROM j
 """
 
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE byte_crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), runs AS (
+    SELECT doc_id, translate(run, '{variants.UPPER}', '{variants.LOWER}') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+    WHERE length(run) >= {variants.MIN_LETTERS} GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(named)),
+            lambda i: ('0x' || substr(hex(encode(named)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS h
+    FROM (SELECT *, doc_id || ':' || run AS named FROM runs), byte_crc
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN h % {variants.DELETE_EVERY} = 0
+            THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word
+        FROM hashed)
+    WHERE length(word) >= {variants.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {variants.MIN_TIMES}
+), cuts AS (
+    SELECT word, n, place, left(word, place - 1) || substr(word, place + 1) AS cut
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words)
+), pairs AS (
+    SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n
+    FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.place = b.place AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, min(struct_pack(minus := -near_n, near := near)) AS best FROM pairs GROUP BY word
+), known AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -best.minus >= {variants.RATIO} * w.n THEN best.near END AS form,
+        CASE WHEN -best.minus >= {variants.RATIO} * w.n THEN -best.minus END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word
+), chains AS (
+    SELECT word, word AS root, 0 AS steps FROM known
+    UNION ALL SELECT c.word, k.form, c.steps + 1 FROM chains c JOIN known k ON c.root = k.word WHERE k.form IS NOT NULL
+)
+SELECT k.word, form, root, k.n, n_near, form_n
+FROM known k JOIN (SELECT word, max_by(root, steps) AS root FROM chains GROUP BY word) c ON k.word = c.word
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": URL_REPUTATION,
     "op5_topk": TOPK,
     "op6_substrings": SUBSTRINGS,
     "op10_revisits": REVISITS,
+    "op13_variants": SPELLING_VARIANTS,
 }

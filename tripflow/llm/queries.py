@@ -15,6 +15,7 @@ from tripflow.llm.substrings import substrings
 from tripflow.llm.topk import nearest
 from tripflow.llm.toxicity import toxicity
 from tripflow.llm.urls import url_verdicts
+from tripflow.llm.variants import variants
 from tripflow.llm.warc import revisits
 
 
@@ -59,6 +60,10 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits(table(spark, sf_dir, "pages"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_reputation": op2_url_reputation,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_revisits": op10_revisits,
+    "op13_variants": op13_variants,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
