@@ -163,7 +163,7 @@ WITH RECURSIVE byte_crc AS (
         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
 ), runs AS (
     SELECT doc_id, translate(run, '{variants.UPPER}', '{variants.LOWER}') AS run, count(*) AS n
-    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
     WHERE length(run) >= {variants.MIN_LETTERS} GROUP BY ALL
 ), hashed AS (
     SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(named)),
