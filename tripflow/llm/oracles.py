@@ -5,7 +5,7 @@ What has none: op1, op4 and op9 (walks and compressed lengths), op3 (XXH64), op7
 brute force, held-out labels or round trips.
 """
 
-from tripflow.llm import topk, urls, variants
+from tripflow.llm import ranked, topk, urls, variants
 
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = "\n        ".join(
@@ -157,6 +157,35 @@ SELECT n AS page_id, visit, url, strftime(make_timestamp(t * 1000000), '%Y-%m-%d
 FROM j
 """
 
+RANKED_SEARCH = rf"""
+WITH terms AS (
+    SELECT row, doc_id, unnest(regexp_extract_all(translate(text, '{variants.UPPER}', '{variants.LOWER}'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS row FROM documents)
+), asked AS (
+    SELECT item_id, term, count(*) AS q FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, '{variants.UPPER}', '{variants.LOWER}'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+    GROUP BY ALL
+), lengths AS (SELECT row, doc_id, count(*) AS n FROM terms GROUP BY ALL
+), whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), tfs AS (SELECT row, term, count(*) AS tf FROM terms GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2.0 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tfs, whole GROUP BY term, n_docs
+), scored AS (
+    SELECT item_id, doc_id, row,
+        sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (row), whole
+    WHERE doc_id IS NOT NULL GROUP BY ALL
+), placed AS (
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT * FROM placed WHERE rank <= {ranked.K}
+"""
+
 SPELLING_VARIANTS = rf"""
 WITH RECURSIVE byte_crc AS (
     SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -204,5 +233,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_topk": TOPK,
     "op6_substrings": SUBSTRINGS,
     "op10_revisits": REVISITS,
+    "op11_ranked": RANKED_SEARCH,
     "op13_variants": SPELLING_VARIANTS,
 }

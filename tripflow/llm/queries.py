@@ -10,6 +10,7 @@ from tripflow.llm.mixing import mix
 from tripflow.llm.oracles import ORACLE_SQL
 from tripflow.llm.pii import pii
 from tripflow.llm.quality import quality
+from tripflow.llm.ranked import ranked
 from tripflow.llm.simhash import simhash
 from tripflow.llm.substrings import substrings
 from tripflow.llm.topk import nearest
@@ -60,6 +61,10 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_revisits": op10_revisits,
+    "op11_ranked": op11_ranked,
     "op13_variants": op13_variants,
 }
 
