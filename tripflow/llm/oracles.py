@@ -5,7 +5,7 @@ What has none: op1, op4 and op9 (walks and compressed lengths), op3 (XXH64), op7
 brute force, held-out labels or round trips.
 """
 
-from tripflow.llm import ranked, topk, urls, variants
+from tripflow.llm import graph, ranked, topk, urls, variants
 
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = "\n        ".join(
@@ -186,6 +186,23 @@ WITH terms AS (
 SELECT * FROM placed WHERE rank <= {ranked.K}
 """
 
+# All pairs; the graph finds nearly all of them, and on tables as small as those of the comparison each.
+NEAR_VECTORS = f"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0 AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {graph.NEAR}
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+JOIN (SELECT e.vec_id, count(b) AS n_links FROM embeddings e LEFT JOIN links ON a = e.vec_id GROUP BY ALL) USING (vec_id)
+"""
+
 SPELLING_VARIANTS = rf"""
 WITH RECURSIVE byte_crc AS (
     SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -234,5 +251,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substrings": SUBSTRINGS,
     "op10_revisits": REVISITS,
     "op11_ranked": RANKED_SEARCH,
+    "op12_near_vectors": NEAR_VECTORS,
     "op13_variants": SPELLING_VARIANTS,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripflow.llm.common import table
 from tripflow.llm.decontam import contaminated
+from tripflow.llm.graph import near_vectors
 from tripflow.llm.mixing import mix
 from tripflow.llm.oracles import ORACLE_SQL
 from tripflow.llm.pii import pii
@@ -65,6 +66,10 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_revisits": op10_revisits,
     "op11_ranked": op11_ranked,
+    "op12_near_vectors": op12_near_vectors,
     "op13_variants": op13_variants,
 }
 
