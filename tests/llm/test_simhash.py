@@ -1,13 +1,12 @@
 import random
 
 import numpy as np
-import pytest
 import xxhash
 from pyspark.sql import functions as F
 from llm.texts import prose
 
 from tripflow.llm.components import connected_components
-from tripflow.llm.simhash import fingerprint, near_copies, one_of_each, simhash
+from tripflow.llm.simhash import fingerprint, one_of_each, simhash
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -99,51 +98,11 @@ def test_one_of_each_group_stays(docs):
     base = [prose(k, 400) for k in range(12)]
     near = [edited(t, k, 0.004) for k, t in enumerate(base)]
     rows = list(enumerate(base)) + [(20 + k, t) for k, t in enumerate(base)] + [(40 + k, t) for k, t in enumerate(near)]
+    assert any(0 < (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() <= 4 for a, b in zip(base, near, strict=True))
     rows += [(3, base[3]), (None, base[4]), (90, ""), (91, None)]
     table = docs(rows).withColumn("component_id", F.lit("kept")).withColumn("fp", F.lit(1))
     kept = one_of_each(table)
     assert kept.columns == table.columns
     found = sorted(str(r.doc_id) for r in kept.collect())
-    assert found == sorted([str(k) for k in range(12)] + ["90", "None"])
-    assert {r.component_id for r in near_copies(docs(rows)).collect()} == {*range(12), 90}
-
-
-@pytest.mark.parametrize("share, least", [(0.005, 1.0), (0.015, 0.9)])
-def test_near_copies_recall(docs, share, least):
-    base = [prose(1_000 + k, 400) for k in range(60)]
-    rows = list(enumerate(base)) + [(100 + k, edited(t, k, share)) for k, t in enumerate(base)]
-    found = {r.doc_id: r.component_id for r in near_copies(docs(rows)).collect()}
-    assert sum(found[100 + k] == k for k in range(60)) >= least * 60
-    assert all(found[k] == k for k in range(60))
-
-
-def similarity(a: str, b: str) -> float:
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
-
-
-def test_near_copies_short_texts(docs):
-    base = [prose(3_000 + k, 8) for k in range(40)]
-    rows = list(enumerate(base)) + [(100 + k, f"{t} more") for k, t in enumerate(base)]
-    rows += [(200 + k, f"{t} more yet") for k, t in enumerate(base)]
-    assert all(similarity(t, f"{t} more") >= 0.8 > similarity(t, f"{t} more yet") for t in base)
-    found = {r.doc_id: r.component_id for r in near_copies(docs(rows)).collect()}
-    # Eight words and two more are at 4/6; they are linked through the text between them, and only so.
-    assert all(found[100 + k] == k and found[200 + k] == k for k in range(40))
-    apart = {r.doc_id: r.component_id for r in near_copies(docs([r for r in rows if not 100 <= r[0] < 200])).collect()}
-    assert all(apart[200 + k] == 200 + k for k in range(40))
-
-
-def test_near_copies_threshold(docs):
-    """Texts whose ends differ, from a similarity of 0.7 to 0.9: linked at 0.8 and above, and not below."""
-    rows, alike = [], {}
-    for k in range(150):
-        own, other = prose(5_000 + k, 400).split(), prose(9_000 + k, 400).split()
-        cut = 325 + k % 6 * 10
-        rows += [(k, " ".join(own)), (1_000 + k, " ".join(own[:cut] + other[cut:]))]
-        alike[k] = similarity(rows[-2][1], rows[-1][1])
-    found = {r.doc_id: r.component_id for r in near_copies(docs(rows)).collect()}
-    linked = {k for k in alike if found[1_000 + k] == k}
-    assert all(alike[k] >= 0.8 for k in linked)
-    over = [k for k in alike if alike[k] >= 0.8]
-    assert len(over) > 40 and len(over) < 110 and len(linked) >= 0.95 * len(over)
+    assert found == sorted([str(k) for k in {*plain_components(rows).values()}] + ["None"])
+    assert len(found) < 30

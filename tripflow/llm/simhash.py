@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.llm.common import checkpointed, id_texts, texts
@@ -33,12 +33,6 @@ MAX_BITS = 4
 BYTES = 8
 # Of 8 bytes, at most MAX_BITS can differ.
 MIN_SHARED = BYTES - MAX_BITS
-# For near copies: texts alike in 0.8 of their shingles of so many words, see near_copies.
-WIDE_SHINGLE_WORDS, WIDE_LONGS, WIDE_LISTS = 5, 4, 160
-WIDE_BITS, WIDE_HEAD_BITS = 60, 36
-# Texts of at most so many shingles are also indexed by shingles.
-FEW = 80
-LEADERS = 8
 # Shingles hashed at a time.
 PIECE = 1 << 15
 
@@ -59,31 +53,18 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype="<u8")
 
 
-def _majority(hashes: Iterable[np.ndarray], longs: int) -> bytes:
-    """The fingerprint's bytes: each bit is set if it is in over half of the hashes. Beyond 64 bits hashes are rehashed."""
-    votes, n = np.zeros(64 * longs, np.int64), 0
+def _majority(hashes: Iterable[np.ndarray]) -> bytes:
+    """The fingerprint's bytes: each bit is set if it is in over half of the hashes."""
+    votes, n = np.zeros(64, np.int64), 0
     for piece in hashes:
         n += len(piece)
-        for k in range(longs):
-            bits = np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.int64)
-            piece = (piece ^ (piece >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            piece ^= piece >> np.uint64(29)
+        votes += np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(votes * 2 > n, bitorder="little").tobytes()
 
 
-def _distinct(text: bytes) -> Iterator[np.ndarray]:
-    """The text's shingle hashes without repeats, in pieces."""
-    hashes = list(shingle_hashes(text, WIDE_SHINGLE_WORDS))
-    if hashes:
-        unique = np.unique(np.concatenate(hashes))
-        for i in range(0, len(unique), PIECE):
-            yield unique[i : i + PIECE]
-
-
 def fingerprint(text: bytes) -> int:
     """SimHash over the 4-word shingles of the text; zero without words."""
-    return int.from_bytes(_majority(shingle_hashes(text, SHINGLE_WORDS), 1), "little", signed=True)
+    return int.from_bytes(_majority(shingle_hashes(text, SHINGLE_WORDS)), "little", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,190 +165,11 @@ def simhash(docs: DataFrame) -> DataFrame:
     )
 
 
-def _wide(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `key` of the text, `fp` of WIDE_LONGS longs, `n` distinct shingles, those of short texts as `few`, and
-    `node`, a hash that names the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, sizes, few, nodes = [], [], [], []
-            for _, t in id_texts(b):
-                pieces = list(_distinct(t))
-                found.append(_majority(pieces, WIDE_LONGS))
-                sizes.append(sum(map(len, pieces)))
-                few.append(pieces[0].view(np.int64) if 0 < sizes[-1] <= FEW else None)
-                whole = xxhash.xxh3_64()
-                for piece in pieces:
-                    whole.update(piece.tobytes())
-                nodes.append(whole.intdigest())
-            columns = [b.column(0), b.column(2), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(few, pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "n", "few", "node"])
-
-    schema = "doc_id long, key long, fp binary, n long, few array<long>, node long"
-    return _keyed(docs).mapInArrow(run, schema)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
-def _wide_lists(fps: DataFrame) -> DataFrame:
-    """The index: for each fingerprint the WIDE_LISTS lists that it is in, its first two longs, and `n`."""
-    draw = np.random.default_rng(SEED)
-    places = np.stack([draw.choice(8 * WIDE_LONGS, 3, replace=False) for _ in range(WIDE_LISTS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
-            picked = raw[:, places].astype(np.int64)
-            keys = np.arange(WIDE_LISTS) << 20 | picked[:, :, 0] << 12 | picked[:, :, 1] << 4 | picked[:, :, 2] & 15
-            rows = pa.array(np.repeat(np.arange(len(b)), WIDE_LISTS))
-            head = np.ascontiguousarray(raw[:, :16]).view("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.ravel()),
-                    b.column(0).take(rows),
-                    pa.array(np.ascontiguousarray(head[:, 0])).take(rows),
-                    pa.array(np.ascontiguousarray(head[:, 1])).take(rows),
-                    b.column(2).take(rows),
-                    b.column(3).take(rows),
-                ],
-                names=["list", "node", "first", "second", "part", "n"],
-            )
-
-    schema = "list long, node long, first long, second long, part long, n long"
-    return fps.select("node", "fp", "part", "n").mapInArrow(run, schema)
-
-
-def _few_lists(fps: DataFrame) -> DataFrame:
-    """The exact index of texts of at most FEW shingles: `list`, `node`, `n`.
-
-    Of n shingles, ordered alike in all texts, two texts alike in 0.8 share one among the first n - ceil(0.8 n) + 1 of
-    each. Rare ones come first; those of one text only need no list.
-    """
-    rows = fps.where("few is not null").select("node", "n", F.explode("few").alias("list"))
-    often = rows.groupBy("list").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "list"))
-    first = rows.join(often, "list").withColumn("place", place).where("place <= n - ceil(n * 4 / 5) + 1 and times > 1")
-    return first.select("list", "node", "n")
-
-
-def _alike(pairs: DataFrame, fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs `a`, `b` of nodes whose sets of shingles have a Jaccard similarity of at least 0.8, compared whole."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [b"".join(p.tobytes() for p in _distinct(t)) for _, t in id_texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(5 * both >= 4 * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(len(b), -1) for i in (2, 3))
-            kept = (np.bitwise_count(x ^ y).sum(1) <= WIDE_BITS) | b.column(4).to_numpy(zero_copy_only=False)
-            yield b.select([0, 1]).filter(pa.array(kept))
-
-    ends = [fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n")) for x in "ab"]
-    rows = pairs.join(ends[0], "a").join(ends[1], "b")
-    # A similarity is at most the smaller size over the larger one.
-    rows = rows.where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
-    few = F.greatest("a_n", "b_n") <= FEW
-    close = checkpointed(rows.select("a", "b", "a_fp", "b_fp", few.alias("few")).mapInArrow(near, "a long, b long"))
-    nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    wanted = fps.select("node", "key").join(nodes, "node")
-    once = _keyed(docs).groupBy("key").agg(F.first("text").alias("text"))
-    sets = checkpointed(once.join(wanted, "key").select("node", "text").mapInArrow(hashed, "node long, shingles binary"))
-    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in "ab"]
-    whole = close.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_shingles", "b_shingles")
-    return whole.mapInArrow(run, "a long, b long")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """`doc_id` and `component_id` for each row, linking texts that are alike in 0.8 of their distinct 5-word shingles.
-
-    Candidates are verified by the Jaccard similarity of their whole sets of shingles, as 64-bit hashes. They come from
-    fingerprints of 256 bits: two texts at 0.8 differ in some 39 bits, give or take 6, unrelated ones in 128, so WIDE_BITS
-    passes all but a few in 10,000. No positional bytes are then sure to agree; the index has WIDE_LISTS lists, keyed by two
-    positional bytes and half of a third. Pairs that meet are kept if their first 128 bits differ in at most WIDE_HEAD_BITS.
-    The bits of texts of few shingles say little, so those also meet in lists of their rarest shingles, which miss none.
-    Groups are contracted first, by linking members of lists to the least ones.
-    """
-    rows = checkpointed(_wide(docs))
-    fps = checkpointed(
-        rows.groupBy("node").agg(
-            F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("few").alias("few"),
-            F.min("doc_id").alias("least_id"),
-        )
-    )
-    index = _wide_lists(fps.withColumn("part", F.col("node"))).drop("part", "n")
-    least = index.groupBy("list").agg(F.min(F.struct("node", "first", "second")).alias("least"), F.count("*").alias("n"))
-    nearest = "struct(bit_count(first ^ least.first) + bit_count(second ^ least.second) AS bits, least.node AS b)"
-    # Of the least members of its lists each fingerprint is held against the LEADERS nearest ones, by their first 128 bits.
-    # This contracts; pairs that it passes over meet below.
-    stars = (
-        index.join(least.where("n > 1"), "list")
-        .select(F.col("node").alias("a"), F.expr(nearest).alias("x"))
-        .where(f"a <> x.b and x.bits <= {WIDE_HEAD_BITS}")
-        .groupBy("a")
-        .agg(F.slice(F.sort_array(F.collect_set("x")), 1, LEADERS).alias("x"))
-        .select("a", F.explode("x").alias("x"))
-        .select("a", F.col("x.b").alias("b"))
-    )
-    few = checkpointed(_few_lists(fps))
-    first = few.groupBy("list").agg(F.min("node").alias("b"))
-    few_stars = few.join(first, "list").where("node <> b").select(F.col("node").alias("a"), "b")
-    near = connected_components(_alike(stars.union(few_stars).distinct(), fps, docs))
-    parts = checkpointed(
-        fps.join(near, "node", "left").select("node", "fp", "n", "least_id", F.coalesce("root", "node").alias("part"))
-    )
-    part_of = parts.select("node", "part")
-    alike_sizes = "5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n)"
-    left, right = _wide_lists(parts).alias("l"), _wide_lists(parts).alias("r")
-    meeting = left.join(
-        right,
-        F.expr(
-            f"l.list = r.list and l.node < r.node and l.part <> r.part and {alike_sizes}"
-            f" and bit_count(l.first ^ r.first) + bit_count(l.second ^ r.second) <= {WIDE_HEAD_BITS}"
-        ),
-    ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    few = checkpointed(few.join(part_of, "node"))
-    few_meeting = (
-        few.alias("l")
-        .join(few.alias("r"), F.expr(f"l.list = r.list and l.node < r.node and l.part <> r.part and {alike_sizes}"))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    )
-    links = _alike(meeting.union(few_meeting).distinct(), fps, docs)
-    edges = (
-        links.join(part_of.select(F.col("node").alias("a"), F.col("part").alias("c")), "a")
-        .join(part_of.select(F.col("node").alias("b"), F.col("part").alias("d")), "b")
-        .select(F.col("c").alias("a"), F.col("d").alias("b"))
-    )
-    joined = connected_components(edges)
-    whole = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select(
-        "node", "least_id", F.coalesce("root", "part").alias("component")
-    )
-    named = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return rows.join(whole.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns as they are, with one row of each group of near copies: that with its smallest id.
+    """`docs`, all columns as they are, with one row of each component of near-duplicates: that with its smallest id.
 
     Rows without an id can't be named, so they all stay. Of rows that share the smallest id, one stays.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     numbered = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return numbered.unionByName(docs.where("doc_id is null"))
