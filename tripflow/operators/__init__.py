@@ -1,5 +1,13 @@
 """DataFrame to DataFrame operators; they work on batch and streaming frames alike."""
 
+from tripflow.operators.event_time import (
+    drop_redelivered,
+    join_announced,
+    session_totals,
+    sliding_totals,
+    trip_identity,
+    tumbling_totals,
+)
 from tripflow.operators.events import (
     EVENT_SCHEMA,
     explode_object_records,
@@ -13,11 +21,17 @@ from tripflow.operators.trips import enrich_trips, with_batch_id, with_day_of_we
 
 __all__ = [
     "EVENT_SCHEMA",
+    "drop_redelivered",
     "enrich_trips",
     "explode_object_records",
+    "join_announced",
     "normalize_object_events",
     "only_csv_objects",
+    "session_totals",
+    "sliding_totals",
     "split_valid_events",
+    "trip_identity",
+    "tumbling_totals",
     "with_batch_id",
     "with_day_of_week",
     "with_landing_path",

@@ -115,6 +115,32 @@ WHERE event_type = 'purchase' OR (event_type = 'view' AND x = '.csv')"""
 _LINE_RIDE = "l_partkey * 13 % 7200"
 _LINE_PICKUP = "l_shipdate + to_seconds((l_orderkey * 37 + l_linenumber * 1009) % 86400)"
 
+# Held-back trips count in the windows that end after the watermark: the last pickup of the others less two days.
+_TIMED = f"""{_TRIPS}, kept AS (SELECT *, {_LENGTH} AS minutes, CAST(round(trip_distance * 100) AS BIGINT) AS cents FROM trips),
+mark AS (SELECT max(pu) - INTERVAL 2 DAY AS horizon FROM trips WHERE event_id % 10 <> 0)"""
+
+
+def _in_windows(starts: str, hours: int) -> str:
+    """Totals of windows; `starts` are the starts of those that hold `pu`."""
+    return f"""{_TIMED}, placed AS (SELECT *, unnest({starts}) AS ws FROM kept),
+counted AS (SELECT *, ws + INTERVAL {hours} HOUR AS we FROM placed)
+SELECT "VendorID", strftime(ws, '{_CSV_TIME}') AS window_start, strftime(we, '{_CSV_TIME}') AS window_end,
+  count(*) AS n, sum(minutes) AS minutes, CAST(sum(cents) AS BIGINT) AS distance_cents
+FROM counted, mark WHERE event_id % 10 <> 0 OR we > horizon GROUP BY "VendorID", ws, we"""
+
+
+_TWO_HOURS = "time_bucket(INTERVAL 2 HOUR, pu, TIMESTAMP '1970-01-01')"
+_SESSIONS = f"""{_TIMED}, opened AS (SELECT *, pu > lag(pu) OVER same + INTERVAL 10 MINUTE AS opens FROM kept
+  WINDOW same AS (PARTITION BY "VendorID", "RateCodeID" ORDER BY pu)),
+numbered AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER
+  (PARTITION BY "VendorID", "RateCodeID" ORDER BY pu) AS session FROM opened)
+SELECT "VendorID", "RateCodeID", strftime(min(pu), '{_CSV_TIME}') AS window_start,
+  strftime(max(pu) + INTERVAL 10 MINUTE, '{_CSV_TIME}') AS window_end,
+  count(*) AS n, sum(minutes) AS minutes, CAST(sum(cents) AS BIGINT) AS distance_cents
+FROM numbered GROUP BY "VendorID", "RateCodeID", session"""
+
+_COME = f"event_id % 7 <> 0 AND {_MINUTES} <= 60"
+
 ORACLE_SQL: dict[str, str] = {
     "trip_length": f"""{_TRIPS} SELECT event_id, {_LENGTH} AS "trip_Length" FROM trips""",
     "trip_length_subsecond": "SELECT event_id, (floor(epoch(ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 60 AS m "
@@ -155,6 +181,14 @@ FROM lineitem GROUP BY ALL""",
     "stream_visibility": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS decoys FROM events",
     "stream_empty_file": "SELECT count(*) AS n, CAST(1 AS INTEGER) AS first_id, CAST(1 AS INTEGER) AS empty_batches "
     "FROM events",
+    "stream_compaction": f"SELECT *, CAST(0 AS INTEGER) AS small_directories FROM ({_by_day()})",
+    "window_tumbling": _in_windows("[date_trunc('hour', pu)]", 1),
+    "window_sliding": _in_windows(f"[{_TWO_HOURS} - to_hours(k) FOR k IN [0, 2, 4]]", 6),
+    "window_session": _SESSIONS,
+    "stream_dedup": f"SELECT *, (SELECT count(*) FROM events) AS state_rows FROM ({_by_day()})",
+    "announced_join": f"SELECT event_id, 'b-' || event_type AS bucket, {_KEY} || '.csv' AS key, "
+    f"CASE WHEN {_COME} THEN 1 ELSE 0 END AS came, CASE WHEN {_COME} THEN {_real('value')} ELSE -1.0::DOUBLE END "
+    f"AS trip_distance FROM events WHERE {_NAMES_OBJECT}",
     "parquet_replace": _by_day('CAST(event_id % 2 AS INTEGER) AS "Id"'),
     "stream_resume_same_ids": "SELECT count(*) AS n, count(*) AS trips, CAST(0 AS INTEGER) AS first_id FROM events",
     "object_empty_file": "SELECT count(*) AS n, CAST(-1 AS INTEGER) AS id, CAST(1 AS INTEGER) AS empty_objects, "

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripflow.plans.queries import events, projections, scans, stored, streams
+from tripflow.plans.queries import event_time, events, projections, scans, stored, streams
 from tripflow.session import pin_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ QUERIES: dict[str, Query] = {
         streams.stream_resume,
         streams.stream_visibility,
         streams.stream_empty_file,
+        streams.stream_compaction,
+        event_time.window_tumbling,
+        event_time.window_sliding,
+        event_time.window_session,
+        event_time.stream_dedup,
+        event_time.announced_join,
         streams.stream_ingest_jdbc,
         streams.stream_replay_jdbc,
         stored.parquet_replace,

@@ -1,6 +1,7 @@
 """Runs of the ingest stream, whole or broken off, and new places to store into."""
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import StreamingQueryException
@@ -71,8 +72,10 @@ class _LostAfterWrite:
         return self.sink.has_batch(spark, batch_id)
 
 
-def crash_and_resume(run: Run, refused_id: int | None = None) -> None:
-    """Lose the second batch between its write and its commit, then start again.
+def crash_and_resume(
+    run: Run, refused_id: int | None = None, between: Callable[[], None] | None = None
+) -> None:
+    """Lose the second batch between its write and its commit, then start again, after `between`.
 
     A start with `refused_id` as the first id must fail before that.
     """
@@ -89,6 +92,8 @@ def crash_and_resume(run: Run, refused_id: int | None = None) -> None:
             pass
         else:
             raise AssertionError("another first id should have been refused")
+    if between:
+        between()
     run.drain()
 
 

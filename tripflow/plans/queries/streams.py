@@ -7,7 +7,7 @@ from tripflow.plans import landing as land
 from tripflow.plans.queries.runs import Run, crash_and_resume, new_parquet, new_table, run_over_events
 from tripflow.plans.queries.shapes import by_day
 from tripflow.schema import BATCH_ID, DROPOFF, PICKUP, TRIP_SCHEMA
-from tripflow.sinks import ParquetSink
+from tripflow.sinks import ParquetSink, compact, vacuum
 from tripflow.sources.files import write_text
 
 
@@ -154,3 +154,32 @@ def stream_replay_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_over_events(spark, sf_dir, new_table(spark))
     crash_and_resume(run)
     return by_day(run.sink.read(spark))
+
+
+class _Dies(RuntimeError):
+    pass
+
+
+def _die(directory: str) -> None:
+    raise _Dies(directory)
+
+
+def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one file each, merged while the stream is down after a crash: one compaction dies before it counts,
+    the next one takes in the batch that the stream then replays, a last one the rest; the small directories go."""
+    landing = land.numbered_landing(spark, sf_dir)
+    run = Run(spark, landing.path, new_parquet(spark), max_files=1)
+
+    def between() -> None:
+        try:
+            compact(run.sink, spark, before_publish=_die)
+        except _Dies:
+            pass
+        compact(run.sink, spark)
+        vacuum(run.sink, spark, older_than_seconds=-60)
+
+    crash_and_resume(run, between=between)
+    compact(run.sink, spark)
+    vacuum(run.sink, spark, older_than_seconds=-60)
+    small = F.lit(len(run.sink.directory_ids(spark))).alias("small_directories")
+    return by_day(run.sink.read(spark)).withColumn("small_directories", small)

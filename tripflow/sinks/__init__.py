@@ -1,13 +1,17 @@
 """Writing stamped micro-batches to a database table or to parquet."""
 
+from tripflow.sinks.compaction import BatchChanged, compact, vacuum
 from tripflow.sinks.jdbc import JdbcSink, write_jdbc_append, write_jdbc_idempotent
 from tripflow.sinks.ownership import ForeignBatch
 from tripflow.sinks.parquet import ParquetSink, write_parquet_idempotent
 
 __all__ = [
+    "BatchChanged",
     "ForeignBatch",
     "JdbcSink",
     "ParquetSink",
+    "compact",
+    "vacuum",
     "write_jdbc_append",
     "write_jdbc_idempotent",
     "write_parquet_idempotent",

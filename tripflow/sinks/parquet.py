@@ -1,15 +1,17 @@
-"""Parquet, one directory per micro-batch."""
+"""Parquet, one directory per micro-batch, and runs into which batches have been merged."""
 
 import logging
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tripflow.schema import BATCH_ID, STORED_SCHEMA
+from tripflow.sinks import manifest as manifests
 from tripflow.sinks.counting import write_counted
 from tripflow.sinks.ownership import NO_STREAM, check_owner
 from tripflow.sources.files import child_names, exists, read_text, write_text
@@ -53,9 +55,14 @@ class ParquetSink:
         """Store the batch for `owner`, unless a marker and the footers say that this is done already.
 
         The marker holds the owner from before the write and, from after it, the number of rows. A replay of a batch
-        that is whole so leaves its files alone; a torn one is written afresh.
+        that is whole so leaves its files alone; a torn one is written afresh. A batch that was merged into a run is
+        whole; replacing it writes its own directory again, which counts once the manifest says so.
         """
-        spark, marker = df.sparkSession, f"{self._markers}/{batch_id}"
+        spark, marker = df.sparkSession, self.marker(batch_id)
+        merged = manifests.load(spark, self.path).run_of(batch_id)
+        if merged and not replace:
+            check_owner(batch_id, merged.owner_of(batch_id), owner)
+            return self.read_parts(spark, [], [merged]).where(F.col(BATCH_ID) == batch_id).count()
         noted = read_text(spark, marker)
         # An empty marker is one whose writer died over it.
         holder, _, rows = (noted or "").partition("\n")
@@ -66,35 +73,73 @@ class ParquetSink:
         else:
             write_text(spark, marker, owner, overwrite=noted is not None)
         written = write_parquet_idempotent(df, batch_id, self.path)
+        if merged:
+            manifests.publish(spark, self.path, manifests.load(spark, self.path).without_batch(batch_id))
         write_text(spark, marker, f"{owner}\n{written}")
         return written
 
     def _found(self, df: DataFrame, batch_id: int) -> int:
         """Rows of a batch by the footers of its files."""
-        if not self.has_batch(df.sparkSession, batch_id):
+        if not exists(df.sparkSession, self.directory(batch_id)):
             return 0
-        directory = f"{self.path}/{BATCH_ID}={batch_id}"
-        return df.sparkSession.read.schema(df.drop(BATCH_ID).schema).parquet(directory).count()
+        return df.sparkSession.read.schema(df.drop(BATCH_ID).schema).parquet(self.directory(batch_id)).count()
+
+    def directory(self, batch_id: int) -> str:
+        return f"{self.path}/{BATCH_ID}={batch_id}"
+
+    # Spark passes over names that begin with an underscore.
+
+    def marker(self, batch_id: int) -> str:
+        return f"{self.path}/_batches/{batch_id}"
 
     @property
-    def _markers(self) -> str:
-        # Spark passes over names that begin with an underscore.
-        return f"{self.path}/_batches"
+    def runs_dir(self) -> str:
+        return f"{self.path}/_runs"
 
-    def batch_ids(self, spark: SparkSession) -> list[int]:
-        """Ids stored so far, from the directory names alone."""
+    def run_dir(self, name: str) -> str:
+        return f"{self.runs_dir}/{name}"
+
+    def directory_ids(self, spark: SparkSession) -> list[int]:
+        """Batches with a directory of their own, from the directory names alone."""
         names = (_BATCH_DIR.fullmatch(name) for name in child_names(spark, self.path))
         return sorted(int(match[1]) for match in names if match)
 
+    def batch_ids(self, spark: SparkSession) -> list[int]:
+        """Ids stored so far, from directory names and the manifest."""
+        merged = (i for run in manifests.load(spark, self.path).runs for i in run.batch_ids())
+        return sorted({*self.directory_ids(spark), *merged})
+
     def last_batch_id(self, spark: SparkSession) -> int | None:
-        taken = (int(name) for name in child_names(spark, self._markers) if _MARKER.fullmatch(name))
-        return max((*taken, *self.batch_ids(spark)), default=None)
+        taken = (int(name) for name in child_names(spark, f"{self.path}/_batches") if _MARKER.fullmatch(name))
+        merged = (run.last_id for run in manifests.load(spark, self.path).runs)
+        return max((*taken, *self.directory_ids(spark), *merged), default=None)
 
     def has_batch(self, spark: SparkSession, batch_id: int) -> bool:
-        return exists(spark, f"{self.path}/{BATCH_ID}={batch_id}")
+        found = exists(spark, self.directory(batch_id))
+        return found or manifests.load(spark, self.path).run_of(batch_id) is not None
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(self.path)
+        """All stored rows. Merged batches are read from their runs, whose files are few."""
+        merged = manifests.load(spark, self.path)
+        if not merged.runs:
+            return spark.read.schema(self.schema).parquet(self.path)
+        own = [i for i in self.directory_ids(spark) if merged.run_of(i) is None]
+        return self.read_parts(spark, own, list(merged.runs))
+
+    def read_parts(self, spark: SparkSession, batch_ids: Sequence[int], runs: Sequence["manifests.MergedRun"]) -> DataFrame:
+        """The rows of batches that have their own directories, and of runs."""
+        reader = spark.read.schema(self.schema)
+        parts = []
+        if batch_ids:
+            parts.append(reader.option("basePath", self.path).parquet(*map(self.directory, batch_ids)))
+        whole = [self.run_dir(run.name) for run in runs if not run.dropped]
+        if whole:
+            parts.append(spark.read.schema(self.schema).parquet(*whole))
+        for run in runs:
+            if run.dropped:
+                rows = spark.read.schema(self.schema).parquet(self.run_dir(run.name))
+                parts.append(rows.where(~F.col(BATCH_ID).isin(*run.dropped)))
+        return reduce(DataFrame.unionByName, parts)
 
     def count(self, spark: SparkSession) -> DataFrame:
         """One row, `n`: answered from the parquet footers."""

@@ -1,5 +1,6 @@
 """Directories through Hadoop's file system API, so that any URI Spark accepts works."""
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -55,3 +56,35 @@ def write_text(spark: SparkSession, path: str, text: str, *, overwrite: bool = T
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new small file; False if there is one of that name already."""
+    fs, hadoop_path = _resolve(spark, path)
+    if fs.exists(hadoop_path):
+        return False
+    try:
+        write_text(spark, path, text, overwrite=False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()) or fs.exists(hadoop_path):
+            return False
+        raise
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or a directory with all that is in it; nothing there is no error."""
+    fs, hadoop_path = _resolve(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files at or below `path`."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
+def modified_at(spark: SparkSession, path: str) -> float:
+    """Seconds since the epoch."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.getFileStatus(hadoop_path).getModificationTime() / 1000

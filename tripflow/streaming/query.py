@@ -20,18 +20,20 @@ def start_ingest(
     trigger: str | None = None,
     output_mode: str = "append",
     first_batch_id: int = 0,
+    stateful: bool = False,
     on_batch: Callable[[BatchReport], None] | None = None,
 ) -> StreamingQuery:
     """Write the stream `trips` to `sink`, resuming from the checkpoint.
 
     `trigger` is a processing-time interval such as `30 seconds`; without one, everything that is
-    waiting is taken, in admitted batches, and the query ends.
+    waiting is taken, in admitted batches, and the query ends. `stateful` tells that the stream windows, joins or
+    deduplicates.
     """
     started = exists(trips.sparkSession, f"{checkpoint_path}/offsets")
     if not started:
         _refuse_reused_ids(trips.sparkSession, sink, checkpoint_path, first_batch_id)
     _bind_first_id(trips.sparkSession, checkpoint_path, first_batch_id, started)
-    writer = make_batch_writer(sink, first_batch_id=first_batch_id, on_batch=on_batch)
+    writer = make_batch_writer(sink, first_batch_id=first_batch_id, stateful=stateful, on_batch=on_batch)
     stream = trips.writeStream.foreachBatch(writer).outputMode(output_mode)
     stream = stream.option("checkpointLocation", checkpoint_path)
     stream = stream.trigger(processingTime=trigger) if trigger else stream.trigger(availableNow=True)

@@ -54,10 +54,16 @@ def store_batch(
 
 
 def make_batch_writer(
-    sink: Sink, *, first_batch_id: int = 0, on_batch: Callable[[BatchReport], None] | None = None
+    sink: Sink,
+    *,
+    first_batch_id: int = 0,
+    stateful: bool = False,
+    on_batch: Callable[[BatchReport], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: skip empty batches, stamp, write, report.
 
+    The rows of a `stateful` plan are kept while they are tested and written, so that its state is gone through once.
+
     Rows are stamped `first_batch_id` + batch id. Any failure is logged and raised, which stops the
     stream. Only a batch that does not directly follow one this writer has finished can have left
     rows behind, so only then is the sink asked to look for them.
@@ -68,11 +74,16 @@ def make_batch_writer(
         nonlocal finished
         replay, finished = finished is None or batch_id != finished + 1, None
         stream = df.sparkSession.sparkContext.getLocalProperty(_STREAM) or NO_STREAM
+        if stateful:
+            df = df.persist()
         try:
             report = store_batch(df, sink, batch_id, first_batch_id + batch_id, owner=stream, replay=replay)
         except Exception:
             log.exception("batch %s failed; the stream stops", batch_id)
             raise
+        finally:
+            if stateful:
+                df.unpersist()
         finished = batch_id
         log.info("%s", report)
         if on_batch:
