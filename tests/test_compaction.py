@@ -1,0 +1,164 @@
+from pathlib import Path
+
+import pytest
+from conftest import land, trip
+
+from tripflow import PipelineConfig, start_stream
+from tripflow.operators import enrich_trips, with_batch_id
+from tripflow.sinks import BatchChanged, ForeignBatch, ParquetSink, compact, vacuum
+from tripflow.sinks import manifest as mf
+from tripflow.sinks.compaction import _packs, _Unit
+from tripflow.sources import read_trips_batch
+
+NOW = -60  # everything counts as old
+
+
+@pytest.fixture
+def batch(spark, tmp_path):
+    def make(batch_id, rows):
+        path = land(tmp_path / "in" / f"{batch_id}-{rows}.csv", *[trip(passenger_count=str(k)) for k in range(rows)])
+        return with_batch_id(enrich_trips(read_trips_batch(spark, path)), batch_id)
+
+    return make
+
+
+@pytest.fixture
+def sink(spark, tmp_path, batch):
+    """Batches 0 to 4 of stream `s`, of 1 to 5 rows."""
+    found = ParquetSink(str(tmp_path / "sink"))
+    for i in range(5):
+        found.write(batch(i, i + 1), i, owner="s")
+    return found
+
+
+def rows(sink, spark):
+    return sorted((r.Id, r.passenger_count) for r in sink.read(spark).collect())
+
+
+EXPECTED = sorted((i, k) for i in range(5) for k in range(i + 1))
+
+
+def test_merged_rows_stay(spark, sink, batch):
+    assert [(r.rows, r.owners) for r in compact(sink, spark)] == [(15, {"s": [[0, 4]]})]
+    assert rows(sink, spark) == EXPECTED and sink.count(spark).first().n == 15
+    assert sink.read(spark).schema == sink.schema
+    assert vacuum(sink, spark, older_than_seconds=3600) == 0 and sink.directory_ids(spark) == [0, 1, 2, 3, 4]
+    assert vacuum(sink, spark, older_than_seconds=NOW) == 5
+    assert sink.directory_ids(spark) == [] and not list(Path(sink.path, "_batches").glob("[0-9]*"))
+    assert rows(sink, spark) == EXPECTED
+    assert sink.batch_ids(spark) == [0, 1, 2, 3, 4] and sink.last_batch_id(spark) == 4
+    assert len(list(Path(sink.path, "_runs").glob("*/*.parquet"))) == 1
+    assert compact(sink, spark) == []
+    # The stream goes on beside the run.
+    sink.write(batch(5, 2), 5, owner="s")
+    assert rows(sink, spark) == [*EXPECTED, (5, 0), (5, 1)] and sink.last_batch_id(spark) == 5
+
+
+def test_replay_of_a_merged_batch(spark, sink, batch):
+    compact(sink, spark)
+    vacuum(sink, spark, older_than_seconds=NOW)
+    assert sink.has_batch(spark, 2) and not sink.has_batch(spark, 9)
+    assert sink.write(batch(2, 3), 2, owner="s") == 3
+    assert sink.directory_ids(spark) == [] and rows(sink, spark) == EXPECTED
+    with pytest.raises(ForeignBatch):
+        sink.write(batch(2, 3), 2, owner="another")
+
+
+def test_replacing_a_merged_batch(spark, sink, batch):
+    compact(sink, spark)
+    sink.write(batch(2, 7), 2, owner="t", replace=True)
+    expected = sorted([r for r in EXPECTED if r[0] != 2] + [(2, k) for k in range(7)])
+    assert rows(sink, spark) == expected
+    vacuum(sink, spark, older_than_seconds=NOW)
+    assert sink.directory_ids(spark) == [2] and rows(sink, spark) == expected
+    assert sink.batch_ids(spark) == [0, 1, 2, 3, 4]
+    for i in (5, 6):
+        sink.write(batch(i, 1), i, owner="t")
+    assert [r.owners for r in compact(sink, spark)] == [{"t": [[2, 2], [5, 6]]}]
+    assert rows(sink, spark) == [*expected, (5, 0), (6, 0)]
+
+
+class Died(RuntimeError):
+    pass
+
+
+def test_death_before_publishing(spark, sink):
+    def die(_):
+        raise Died
+
+    with pytest.raises(Died):
+        compact(sink, spark, before_publish=die)
+    assert len(list(Path(sink.path, "_runs").iterdir())) == 1
+    assert rows(sink, spark) == EXPECTED and mf.load(spark, sink.path).runs == ()
+    compact(sink, spark)
+    assert vacuum(sink, spark, older_than_seconds=NOW) == 6
+    assert len(list(Path(sink.path, "_runs").iterdir())) == 1 and rows(sink, spark) == EXPECTED
+
+
+def test_batch_replaced_meanwhile(spark, sink, batch):
+    with pytest.raises(BatchChanged):
+        compact(sink, spark, before_publish=lambda _: sink.write(batch(1, 9), 1, owner="s", replace=True))
+    assert len(rows(sink, spark)) == 15 - 2 + 9
+    compact(sink, spark)
+    assert len(rows(sink, spark)) == 15 - 2 + 9
+
+
+def test_two_compactions_at_once(spark, sink):
+    with pytest.raises(mf.StaleManifest):
+        compact(sink, spark, before_publish=lambda _: compact(sink, spark))
+    assert rows(sink, spark) == EXPECTED
+
+
+def test_torn_and_unfinished(spark, sink, batch):
+    marker = Path(sink.path, "_batches", "3")
+    marker.write_text("s")
+    Path(sink.path, "_batches", ".3.crc").unlink(missing_ok=True)
+    folder = Path(sink.path, "_manifest")
+    folder.mkdir()
+    (folder / "4").write_text('{"name": "half')
+    assert [r.owners for r in compact(sink, spark)] == [{"s": [[0, 2], [4, 4]]}]
+    assert mf.versions(spark, sink.path) == [4, 5] and rows(sink, spark) == EXPECTED
+    assert sink.write(batch(3, 4), 3, owner="s") == 4
+    assert rows(sink, spark) == EXPECTED
+
+
+def unit(i, size):
+    return _Unit(i, size, 1, batch_id=i)
+
+
+def test_packs():
+    sizes = lambda packs: [[u.size for u in p] for p in packs]
+    assert sizes(_packs([unit(i, 4) for i in range(7)], 10)) == [[4, 4], [4, 4], [4, 4]]
+    # A large run takes in small ones only when they are as large together.
+    assert sizes(_packs([unit(0, 50), unit(1, 10), unit(2, 10)], 100)) == []
+    assert sizes(_packs([unit(0, 30), unit(1, 15), unit(2, 15)], 100)) == [[30, 15, 15]]
+    assert _packs([], 100) == []
+
+
+def test_runs_merge_again(spark, sink, batch):
+    compact(sink, spark)
+    for i in range(5, 12):
+        sink.write(batch(i, 30), i, owner="s")
+    [run] = compact(sink, spark)
+    assert run.owners == {"s": [[0, 11]]} and run.rows == 15 + 210
+    assert len(mf.load(spark, sink.path).runs) == 1 and len(rows(sink, spark)) == 225
+    vacuum(sink, spark, older_than_seconds=NOW)
+    assert len(list(Path(sink.path, "_runs").iterdir())) == 1 and len(rows(sink, spark)) == 225
+
+
+def test_files_of_a_run(spark, sink):
+    [run] = compact(sink, spark, file_bytes=sum(f.stat().st_size for f in Path(sink.path).glob("Id=*/*.parquet")) // 2)
+    assert len(list(Path(sink.run_dir(run.name)).glob("*.parquet"))) in (2, 3)
+
+
+def test_new_checkpoint_is_refused_after_vacuum(spark, sink, tmp_path):
+    compact(sink, spark)
+    vacuum(sink, spark, older_than_seconds=NOW)
+    config = PipelineConfig(str(tmp_path / "in"), str(tmp_path / "checkpoint"))
+    with pytest.raises(ValueError, match="holds batches up to 4"):
+        start_stream(spark, config, sink)
+
+
+def test_empty_sink(spark, tmp_path):
+    sink = ParquetSink(str(tmp_path / "none"))
+    assert compact(sink, spark) == [] and vacuum(sink, spark, older_than_seconds=NOW) == 0
