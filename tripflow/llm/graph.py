@@ -35,6 +35,8 @@ from tripflow.llm.common import written
 from tripflow.llm.components import connected_components
 
 NEAR = 0.95
+# Two nodes within range of a third are at least so near: the cosine of twice the angle.
+BRIDGE = 2 * NEAR**2 - 1
 # Centres: one for so many nodes, no two of them as near as SEPARATION, fitted on a sample in so many rounds.
 CENTRE_ROWS, MAX_CENTRES, SEPARATION, ROUNDS = 512, 65_536, 0.9, 3
 SAMPLE_BYTES = 32 << 20
@@ -150,9 +152,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _build(table: pa.Table) -> pa.Table:
     """The nodes of a piece to their adjacency lists."""
     table = table.sort_by("node")
-    ids = table["node"].to_numpy()
-    lists = [ids[near] for near in robust_prune(_matrix(table["vector"]))]
-    return pa.table({"node": pa.array(ids), "near": pa.array(lists, pa.list_(pa.int64()))})
+    ids, x = table["node"].to_numpy(), _matrix(table["vector"])
+    lists = robust_prune(x)
+    close = [near[x[near] @ x[i] >= BRIDGE] for i, near in enumerate(lists)]
+    ints = pa.list_(pa.int64())
+    columns = {name: pa.array([ids[v] for v in found], ints) for name, found in (("near", lists), ("close", close))}
+    return pa.table({"node": pa.array(ids), **columns})
 
 
 class Graph:
@@ -260,12 +265,12 @@ def _linked(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     )
     own_piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     members = dealt.join(sizes, "shard").withColumn("piece", own_piece)
-    lists = members.select("shard", "piece", "node", "vector").groupBy("shard", "piece").applyInArrow(_build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    lists = members.select("shard", "piece", "node", "vector").groupBy("shard", "piece").applyInArrow(_build, "node long, near array<long>, close array<long>")
+    united = lists.groupBy("node").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")))
     united = written(united, "adjacency")
     held = members.select("shard", "node", "vector", "copies").join(united, "node")
-    # What the lists of a shard name in other shards.
-    named = held.select("shard", F.explode("near").alias("node")).distinct()
+    # What the lists of a shard name in other shards, as far as it may lie within range of what lies within range.
+    named = held.select("shard", F.explode("close").alias("node")).distinct()
     others = named.join(dealt.select("shard", "node"), ["shard", "node"], "left_anti")
     others = others.join(nodes.select("node", "vector", "copies"), "node").join(united, "node")
     columns = ["shard", "node", "vector", "copies", "near"]
