@@ -52,6 +52,17 @@ def test_entry(spark):
     )
 
 
+def test_files_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(landing, "FILE_ROWS", 100)
+    events = landing.table(spark, SF_DIR, "events")
+    made = landing.new_landing(spark, events, "many")
+    assert (made.files, made.rows) == (-(-events.count() // 100), 100)
+    trips = landing.numbered_trips(events, made)
+    assert trips.rdd.getNumPartitions() == made.files
+    landing.write_csv(trips, made.path, made.rows, by="f")
+    assert spark.read.csv(made.path, header=True).groupBy("f").count().where("count <> 100").count() <= 1
+
+
 def test_deleted_landing_is_made_again(spark):
     first = landing.event_landing(spark, SF_DIR)
     assert landing.event_landing(spark, SF_DIR) == first

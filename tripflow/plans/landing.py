@@ -19,7 +19,8 @@ from tripflow.sinks import JdbcSink, ParquetSink
 from tripflow.sources import JdbcTable
 from tripflow.sources.files import child_names, exists
 
-# Files of a landing, whatever the size of the table; fewer only where it has fewer rows.
+# Rows of a landed file, some 200 MB; a small table is cut into LANDING_FILES all the same, so that there are several.
+FILE_ROWS = 1_000_000
 LANDING_FILES = 4
 
 CSV_TIME = "yyyy-MM-dd HH:mm:ss"
@@ -45,7 +46,7 @@ def new_landing(spark: SparkSession, source: DataFrame, name: str) -> Landing:
     """An empty directory for trips made from `source`."""
     # A bare count is answered from the parquet footers.
     count = source.count()
-    rows = max(1, -(-count // LANDING_FILES))
+    rows = max(1, min(FILE_ROWS, -(-count // LANDING_FILES)))
     return Landing(shared_dir(spark, name), -(-count // rows), rows)
 
 

@@ -104,7 +104,7 @@ SELECT {f"{keys}, " if keys else ""}strftime(ts, '%a') AS day_of_week, count(*)
 FROM events GROUP BY ALL"""
 
 
-_FILE_ROWS = "(SELECT greatest((count(*) + 3) // 4, 1) FROM events)"
+_FILE_ROWS = "(SELECT least(greatest((count(*) + 3) // 4, 1), 1000000) FROM events)"
 _PER_FILE = f"SELECT event_id // {_FILE_ROWS} AS f, count(*) AS n, CAST(1 AS BIGINT) AS batches FROM events GROUP BY 1"
 
 _NAMES_OBJECT = "event_type IN ('click', 'purchase', 'view')"
