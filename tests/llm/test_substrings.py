@@ -55,6 +55,57 @@ def test_other_windows(docs, window, seed):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == plain(rows, window)
 
 
+def test_factors_rebuild_the_text(docs):
+    """Each factor's words are those of its source; factors do not overlap, and with the literals they make the text."""
+    rows = [(i, t) for i, t in rows_with_passages() if i is not None]
+    words = {i: (t or "").encode().split() for i, t in rows}
+    found = module.factors(docs(rows)).collect()
+    parsed = {}
+    for r in found:
+        assert (r.doc_id, r.start) != (r.source_id, r.source_start) or r.doc_id == 5  # a repeated row
+        assert words[r.doc_id][r.start : r.start + r.n] == words[r.source_id][r.source_start : r.source_start + r.n]
+        parsed.setdefault(r.doc_id, set()).add((r.start, r.n))
+    for i, spans in parsed.items():
+        rebuilt, at = [], 0
+        for start, n in sorted(spans):
+            assert start >= at
+            rebuilt += words[i][at:start]
+            rebuilt += next(
+                words[r.source_id][r.source_start : r.source_start + n] for r in found if (r.doc_id, r.start) == (i, start)
+            )
+            at = start + n
+        assert rebuilt + words[i][at:] == words[i]
+    assert max(r.n for r in found) >= 200 and {100, 101} <= {r.doc_id for r in found} | {r.source_id for r in found}
+
+
+def test_greedy_parse():
+    m = lambda start, end: module.Match(start, end, b"s", start + 100)
+    outer = module.outermost([m(0, 20), m(2, 18), m(5, 40), m(30, 45), m(44, 50), m(60, 90)])
+    assert outer == [m(0, 20), m(5, 40), m(30, 45), m(44, 50), m(60, 90)]
+    parsed = [(f.start, f.end, f.source_start) for f in module.parse(100, outer, 5)]
+    assert parsed == [(0, 20, 100), (20, 40, 120), (40, 45, 140), (45, 50, 145), (60, 90, 160)]
+    # Too short ones are literals, but the next match may reach back over them.
+    assert [(f.start, f.end) for f in module.parse(100, outer, 6)] == [(0, 20), (20, 40), (44, 50), (60, 90)]
+
+
+def test_random_windows(docs):
+    """Few different words, so that windows are equal at many places, in many ways."""
+    for seed in range(3):
+        draw = random.Random(seed)
+        pool = [prose(k, 25, vocabulary=12) for k in range(6)]
+        rows = [(i, " ".join(draw.choice(pool) for _ in range(draw.randint(1, 9)))) for i in range(40)]
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings(docs(rows)).collect())
+        assert got == plain(rows)
+
+
+def test_long_documents(docs):
+    """Passages across the ends of reference blocks."""
+    text = prose(1, 3_000).split()
+    rows = [(0, " ".join(text))] + [(k, " ".join([prose(k, 10), *text[90 * k : 90 * k + 400]])) for k in range(1, 25)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings(docs(rows)).collect())
+    assert got == plain(rows)
+
+
 def test_frequent_passage(docs):
     passage = prose(1, 60)
     rows = [(k, f"{prose(k + 10, 20)} {passage} {prose(k + 900, 9)}") for k in range(300)]

@@ -1,21 +1,28 @@
 """Substring removal by relative Lempel-Ziv parsing: words of passages that also occur elsewhere.
 
-Every document is a reference block, indexed by seeds: runs of SEED_WORDS words, chosen by winnowing so that each
-window of WINDOW_WORDS words holds at least one and equal windows choose alike. A document is parsed against all
-blocks at once: a seed that the index has twice starts a factor, which is grown greedily over every window that holds
-such a seed, up to the next boundary, where no seed is repeated. Inside the factor each window is then checked, the
-ones across its boundaries included, by its 96-bit fingerprint against the windows of all other factors; windows
-that occur twice are duplicates, and the words they cover become spans. A window that occurs twice holds a seed that
-does, so none is missed.
-
-Words are what stands between ASCII white space, unchanged. A null or empty text has no words, nothing removed and
-the digest of the empty string. A repeated row is another place where its windows start, so both copies go. Rows
-with a null id are documents like any other. An empty table gives an empty result; only id and text are looked at.
-Frequent passages cost one row for each place they stand at: counts are aggregated before they are shuffled, and the
-places join the repeated fingerprints, one row each, so that a very frequent one can be split over tasks.
+Every document is reference text, cut into blocks of BLOCK_WORDS words and indexed by seeds: runs of SEED_WORDS words,
+chosen by winnowing so that each window of WINDOW_WORDS words holds at least one and equal windows choose alike. The
+index keeps the first and the last place of each seed that it has twice. A document is factored against the blocks of all
+its seeds: at each seed the match with its first place (the first place itself: with the last one) is extended in both
+directions, word by word, and the parse greedily takes what reaches furthest. A factor has a source, a start there and
+a length; what no factor covers are literal words.
+
+A match of a window or more is a duplicate span, here and at its source. Windows across the boundaries of factors, those
+whose least seed is repeated but whose match does not hold them whole, may occur a second time at a place that is neither
+first nor last; they are checked by 96-bit fingerprints against each other. None is missed: of two equal windows, whose least
+seeds are equal, one holds that seed's first place, and the other's match with it covers both; or both are compared with that
+place, and either both are within the match or both are checked.
+
+Words are what stands between ASCII white space, unchanged; they are compared by 64-bit hashes. A null or empty text has
+no words, nothing removed and the digest of the empty string. A repeated row is another place where its windows start,
+so both copies go. Rows with a null id are documents like any other. An empty table gives an empty result; only id and
+text are looked at. A copy of a whole text is one factor, found by its digest, and only the first of the copies is parsed
+and indexed. Frequent passages cost one row for each place they stand at: what they refer to is aggregated before it is
+shuffled, and the places join what is unique, one row each, so that a very frequent one can be split over tasks.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,8 @@ from tripflow.llm.common import checkpointed, id_texts, texts, written
 
 WINDOW_WORDS = 35
 SEED_WORDS = 12
+# Words of a reference block; it also holds as many of its neighbours' as make it hold each window around its seeds.
+BLOCK_WORDS = 256
 # Hashes of so many words are remembered by a task.
 CACHE_WORDS = 200_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -95,6 +104,89 @@ def seeds(hashes: np.ndarray, window: int = WINDOW_WORDS, seed: int = SEED_WORDS
     return at, values[at]
 
 
+@dataclass(frozen=True)
+class Match:
+    """Words `start` to `end` of a document are those of `source` from `source_start` on; all of the greatest extent."""
+
+    start: int
+    end: int
+    source: bytes
+    source_start: int
+
+
+def matches(words: np.ndarray, at: np.ndarray, sources: list[bytes], source_at: np.ndarray, blocks: dict) -> list[Match]:
+    """The match around each seed.
+
+    The seed at `at[i]` also stands at `source_at[i]` of `sources[i]`; `blocks` has the first word and the word hashes of
+    each block (source, number).
+    """
+    groups: dict[tuple, list[int]] = {}
+    for i, (a, source, b) in enumerate(zip(at.tolist(), sources, source_at.tolist(), strict=True)):
+        groups.setdefault((source, b // BLOCK_WORDS, a - b), []).append(i)
+    found: list[Match | None] = [None] * len(at)
+    for (source, number, shift), members in groups.items():
+        first, block = blocks[source, number]
+        low, high = max(0, first + shift), min(len(words), first + len(block) + shift)
+        differ = low + np.flatnonzero(words[low:high] != block[low - shift - first : high - shift - first])
+        ends = np.concatenate([[low - 1], differ, [high]])
+        for i, k in zip(members, np.searchsorted(ends, at[members], side="right").tolist(), strict=True):
+            start = int(ends[k - 1]) + 1
+            found[i] = Match(start, int(ends[k]), source, start - shift)
+    return found
+
+
+def outermost(found: list[Match]) -> list[Match]:
+    """Those that lie in no other one, by ascending start, and so end."""
+    kept: list[Match] = []
+    for m in sorted(set(found), key=lambda m: (m.start, -m.end, m.source, m.source_start)):
+        if not kept or m.end > kept[-1].end:
+            kept.append(m)
+    return kept
+
+
+def parse(n_words: int, found: list[Match], least: int = SEED_WORDS) -> list[Match]:
+    """The greedy parse by outermost matches: at each word what reaches furthest, of at least `least` words, or a literal."""
+    factors, i, k = [], 0, 0
+    while i < n_words and k < len(found):
+        while k + 1 < len(found) and found[k + 1].start <= i:
+            k += 1
+        m = found[k]
+        if m.start <= i and m.end - i >= least:
+            factors.append(Match(i, m.end, m.source, m.source_start + i - m.start))
+            i = m.end
+        elif m.start > i:
+            i = m.start
+        else:
+            k += 1
+    return factors
+
+
+def chosen(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """For each window the place of its least seed, the first of equal ones: it depends on the window's words alone."""
+    values, span = runs(hashes, seed, _ODD[0]), window - seed + 1
+    n = len(values) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def less(a, b):
+        return np.where(values[b] < values[a], b, a)
+
+    return _sliding(np.arange(len(values)), span, less)
+
+
+def unresolved(words: np.ndarray, at: np.ndarray, found: list[Match], window: int, seed: int) -> np.ndarray:
+    """Starts of the windows whose chosen seed is one of `at`, but whose words are not all in its match.
+
+    The match of another seed may hold them all; an equal window need not have that seed, so it does not count here.
+    """
+    first = chosen(words, window, seed)
+    place = np.full(len(words), -1)
+    place[at] = np.arange(len(at))
+    starts = np.flatnonzero(place[first] >= 0)
+    own = place[first[starts]]
+    low, high = np.array([m.start for m in found]), np.array([m.end for m in found])
+    return starts[(low[own] > starts) | (high[own] < starts + window)]
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
@@ -113,8 +205,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(ids: pa.Array, raw: list[bytes]) -> pa.Array:
     """Rows alike in id and text are interchangeable, so a hash of both names a row."""
-    digest = xxhash.xxh3_64_intdigest
-    return _signed(np.array([digest(t, (-1 if i is None else i) & 0xFFFFFFFFFFFFFFFF) for i, t in zip(ids.to_pylist(), raw, strict=True)], np.uint64))
+    digest = xxhash.xxh3_128_digest
+    return pa.array([digest(f"{i} ".encode() + t) for i, t in zip(ids.to_pylist(), raw, strict=True)], pa.binary())
 
 
 def _unpacked(column: pa.Array) -> Iterator[list[bytes]]:
@@ -142,43 +234,77 @@ def _find_seeds(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> It
         )
 
 
-def _find_windows(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """The windows of each factor: all that hold a repeated seed, with their fingerprints."""
+def _cut_blocks(batches: Iterator[pa.RecordBatch], margin: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The blocks that are referred to, with their margins, as word hashes."""
     hashes = WordHashes()
     for b in batches:
-        for doc, tokens, at in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2), strict=True):
+        for doc, tokens, numbers in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
             words = hashes(tokens)
-            n = len(words) - window + 1
-            hits = np.asarray(at.values, np.int64)
-            # A seed at p is in the windows that start at p - (window - seed) .. p.
-            edges = np.zeros(n + 1, np.int64)
-            np.add.at(edges, np.clip(hits - (window - seed), 0, n), 1)
-            np.add.at(edges, np.clip(hits + 1, 0, n), -1)
-            starts = np.flatnonzero(np.cumsum(edges[:n]) > 0)
-            p, q = (runs(words, window, odd)[starts] for odd in _ODD)
+            firsts = [max(0, k * BLOCK_WORDS - margin) for k in numbers]
+            cut = [words[f : (k + 1) * BLOCK_WORDS + seed + margin].tobytes() for k, f in zip(numbers, firsts, strict=True)]
+            columns = ([doc] * len(numbers), numbers, firsts, cut)
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["source", "number", "first", "words"]
+            )
+
+
+FACTORS = "doc binary, start int, n int, source binary, source_start int, factor boolean, p long, q int"
+
+
+def _factor(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Documents to their factors, their matches of a window or more, and the windows left to be checked."""
+    hashes = WordHashes()
+    for b in batches:
+        for doc, tokens, marks, held in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2), b.column(3), strict=True):
+            words = hashes(tokens)
+            marks, held = marks.values, held.values
+            at, source_at = (np.asarray(marks.field(k), np.int64) for k in (0, 2))
+            blocks = {
+                (source, number): (first, np.frombuffer(raw, np.uint64))
+                for source, number, first, raw in zip(*[held.field(k).to_pylist() for k in range(4)], strict=True)
+            }
+            found = matches(words, at, marks.field(1).to_pylist(), source_at, blocks)
+            # A match within another one still tells of its own source.
+            both = [(m, True) for m in parse(len(words), outermost(found), seed)]
+            both += [(m, False) for m in set(found) if m.end - m.start >= window]
+            rows = [(doc, m.start, m.end - m.start, m.source, m.source_start, factor) for m, factor in both]
+            starts = unresolved(words, at, found, window, seed)
+            p, q = (runs(words, window, odd)[starts] if len(starts) else np.zeros(0, np.uint64) for odd in _ODD)
+            kinds = [f.type for f in _ARROW_FACTORS]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(starts), doc, np.int64)),
-                    pa.array(starts.astype(np.int32)),
-                    _signed(p),
-                    pa.array((q >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array([*columns[0], *[doc] * len(starts)], kinds[0]),
+                    pa.array(np.concatenate([np.array(columns[1], np.int32), starts.astype(np.int32)])),
+                    *[pa.array([*columns[k], *[None] * len(starts)], kinds[k]) for k in (2, 3, 4, 5)],
+                    pa.array([None] * len(rows) + p.view(np.int64).tolist(), kinds[6]),
+                    pa.array([None] * len(rows) + (q >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist(), kinds[7]),
                 ],
-                names=["doc", "start", "p", "q"],
+                schema=_ARROW_FACTORS,
             )
 
 
+_ARROW_FACTORS = pa.schema(
+    [
+        ("doc", pa.binary()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.binary()), ("source_start", pa.int32()),
+        ("factor", pa.bool_()), ("p", pa.int64()), ("q", pa.int32()),
+    ]
+)
+
+
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_words, n_removed, kept_texts = [], [], []
         marks = zip(_unpacked(b.column(1)), b.column(2), b.column(3).to_pylist(), strict=True)
-        for words, starts, copied in marks:
+        for words, spans, copied in marks:
             gone = np.zeros(len(words) + 1, np.int64)
             if copied and len(words) >= window:
                 gone[0] = 1
-            elif starts.is_valid:
-                at = np.asarray(starts.values, np.int64)
+            elif spans.is_valid:
+                at, n = (np.asarray(spans.values.field(k), np.int64) for k in (0, 1))
                 np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
+                np.add.at(gone, at + n, -1)
             gone = np.cumsum(gone)[:-1] > 0
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
@@ -194,51 +320,84 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         )
 
 
-def remove_repeated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, seed: int = SEED_WORDS
-) -> DataFrame:
-    """`doc_id`, `n_words`, `n_removed` and `kept_text`, the words left joined by one space, for each row."""
-    rows = texts(docs, id_col, text_col)
+def _factored(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packed documents, copies of whole texts (`doc`, `first`), and what the parse found (FACTORS)."""
     found = written(
         rows.mapInArrow(
-            lambda b: _find_seeds(b, window, seed), "doc long, copy_of binary, at array<int>, seed array<long>"
+            lambda b: _find_seeds(b, window, seed), "doc binary, copy_of binary, at array<int>, seed array<long>"
         ),
         "seeds",
     )
-    # Copies of a whole text need no windows: all their words go, and one of them stands for the others' windows.
     copies = found.groupBy("copy_of").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
     copied = found.select("doc", "copy_of").distinct().join(copies, "copy_of")
-    copied = checkpointed(copied.select("doc", (F.col("doc") == F.col("first")).alias("first")))
+    copied = checkpointed(copied.select("doc", "first", (F.col("doc") == F.col("first")).alias("is_first")))
+    once = found.join(copied.where("not is_first"), "doc", "left_anti").dropDuplicates(["doc"])
+    places = once.select("doc", F.explode(F.arrays_zip("at", "seed")).alias("x")).select("doc", "x.at", "x.seed")
+    place = F.struct("doc", "at")
+    ends = places.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # Written down, so that the join below has plain shuffles on both sides, of which Spark splits large partitions.
-    seen = found.select(F.explode("seed").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
-    repeated = written(seen.where("n > 1").select("seed"), "repeated-seeds")
-    factors = (
-        found.join(copied.where("not first"), "doc", "left_anti")
-        .select("doc", F.explode(F.arrays_zip("at", "seed")).alias("x"))
-        .select("doc", "x.at", "x.seed")
-        .join(repeated, "seed")
-        .groupBy("doc")
-        .agg(F.collect_set("at").alias("at"))
-    )
-    packed = rows.mapInArrow(_packed, "doc_id long, doc long, packed binary")
-    windows = written(
-        packed.select("doc", "packed")
-        .join(factors, "doc")
-        .select("doc", "packed", "at")
-        .mapInArrow(lambda b: _find_windows(b, window, seed), "doc long, start int, p long, q int"),
-        "windows",
-    )
-    counted = windows.groupBy("p", "q").agg(F.count("*").alias("n"))
-    twice = written(counted.where("n > 1").select("p", "q"), "repeated-windows")
-    spans = windows.join(twice, ["p", "q"]).groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    index = written(ends.where("first <> last"), "repeated-seeds")
+    source = F.when(place == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    used = places.join(index, "seed").select("doc", "at", source.alias("source"))
+    used = written(used.select("doc", "at", F.col("source.doc").alias("source"), F.col("source.at").alias("source_at")), "matched-seeds")
+    packed = rows.mapInArrow(_packed, "doc_id long, doc binary, packed binary")
+    once_packed = packed.select("doc", "packed").dropDuplicates(["doc"])
+    number = F.floor(F.col("source_at") / BLOCK_WORDS).cast("int").alias("number")
+    wanted = used.select("source", number).distinct().groupBy("source").agg(F.collect_list("number").alias("numbers"))
+    blocks = written(
+        once_packed.withColumnRenamed("doc", "source").join(wanted, "source").select("source", "packed", "numbers")
+        .mapInArrow(lambda b: _cut_blocks(b, window - seed, seed), "source binary, number int, first int, words binary"),
+        "reference-blocks",
+    )
+    marks = used.groupBy("doc").agg(F.collect_list(F.struct("at", "source", "source_at")).alias("marks"))
+    held = used.select("doc", "source", number).distinct().join(blocks, ["source", "number"])
+    held = held.groupBy("doc").agg(F.collect_list(F.struct("source", "number", "first", "words")).alias("held"))
+    parsed = once_packed.join(marks, "doc").join(held, "doc").select("doc", "packed", "marks", "held")
+    return packed, copied, written(parsed.mapInArrow(lambda b: _factor(b, window, seed), FACTORS), "factors")
+
+
+def remove_repeated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, seed: int = SEED_WORDS
+) -> DataFrame:
+    """`doc_id`, `n_words`, `n_removed` and `kept_text`, the words left joined by one space, for each row."""
+    packed, copied, found = _factored(texts(docs, id_col, text_col), window, seed)
+    matched = found.where("not factor")
+    own = matched.select("doc", "start", "n")
+    theirs = matched.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n").distinct()
+    windows = found.where("p is not null").select("doc", "start", "p", "q")
+    twice = written(windows.groupBy("p", "q").agg(F.count("*").alias("times")).where("times > 1").select("p", "q"), "repeated-windows")
+    checked = windows.join(twice, ["p", "q"]).select("doc", "start", F.lit(window).alias("n"))
+    spans = own.unionByName(theirs).unionByName(checked).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return (
         packed.join(spans, "doc", "left")
         .join(copied.select("doc", F.lit(True).alias("copied")), "doc", "left")
-        .select("doc_id", "packed", "starts", "copied")
+        .select("doc_id", "packed", "spans", "copied")
         .mapInArrow(lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept_text string")
     )
 
 
+def factors(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, seed: int = SEED_WORDS
+) -> DataFrame:
+    """The parse: `doc_id`, `start`, `n` words, `source_id`, `source_start`, a row for each factor; words count from 0.
+
+    A copy of a whole text has one factor. Words between factors are literals.
+    """
+    packed, copied, found = _factored(texts(docs, id_col, text_col), window, seed)
+    ids = packed.select("doc", "doc_id").distinct()
+    sources = ids.select(F.col("doc").alias("source"), F.col("doc_id").alias("source_id"))
+    parsed = found.where("factor").join(ids, "doc").join(sources, "source").select("doc_id", "start", "n", "source_id", "source_start")
+
+    def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(t) for t in _unpacked(b.column(1))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, b.column(2)], names=["doc_id", "n", "source"])
+
+    whole = packed.join(copied.where("not is_first"), "doc").select("doc_id", "packed", F.col("first").alias("source")).distinct()
+    whole = whole.mapInArrow(length, "doc_id long, n int, source binary").where("n > 0").join(sources, "source")
+    return parsed.unionByName(whole.select("doc_id", F.lit(0).alias("start"), "n", "source_id", F.lit(0).alias("source_start")))
+
+
 def substrings(docs: DataFrame) -> DataFrame:
     """`doc_id`, `n_words`, `n_removed`, `kept_sha256`: a row for each row."""
     return remove_repeated(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
