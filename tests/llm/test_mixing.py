@@ -1,11 +1,14 @@
+import random
 from fractions import Fraction
+from math import gcd
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tripflow.llm.mixing import deviation, mix, mixed, period, target_weights
+from tripflow.llm import mixing
+from tripflow.llm.mixing import deviation, layout, mix, mixed, period, target_weights
 
 
 @settings(max_examples=60, deadline=None)
@@ -17,6 +20,75 @@ def test_less_than_one_block_off(weights):
     assert all(Fraction(slots.count(s), len(slots)) == Fraction(w, total) for s, w in weights.items())
 
 
+def scanned(weights):
+    """The same schedule, by looking at every source for every slot."""
+    total, done, slots = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for slot in range(total):
+        due = [(-(-(done[s] + 1) * total // w), -w, s) for s, w in weights.items() if done[s] * total // w <= slot]
+        slots.append(min(due)[2])
+        done[slots[-1]] += 1
+    return slots
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdefgh", max_size=3), st.integers(1, 40), min_size=1, max_size=9))
+def test_heap_equals_scan(weights):
+    shared = gcd(*weights.values())
+    assert period(weights) == scanned({s: w // shared for s, w in weights.items()})
+
+
+def off_by(slots, weights):
+    """Of each source the furthest from its share: it is so just before or just after a block."""
+    total, done, worst = sum(weights.values()), dict.fromkeys(weights, 0), dict.fromkeys(weights, 0.0)
+    for n, s in enumerate(slots):
+        share = weights[s] / total
+        worst[s] = max(worst[s], n * share - done[s])
+        done[s] += 1
+        worst[s] = max(worst[s], done[s] - (n + 1) * share)
+    return worst
+
+
+def unfolded(spark, weights):
+    """The sources of the slots of one period of the groups, by the layout of the table; and its length."""
+    plan, length = layout(spark.createDataFrame(list(weights.items()), "s string, w long"))
+    slots = {}
+    for r in plan.collect():
+        k = 0
+        while (place := k // len(r.inner) * r.inner_length + r.inner[k % len(r.inner)]) < len(r.places):
+            slots[r.places[place]] = r.s
+            k += 1
+    assert sorted(slots) == list(range(length))
+    return [slots[k] for k in range(length)]
+
+
+@pytest.mark.parametrize("n", [1_500, 20_000])
+def test_many_sources(spark, n):
+    draw = random.Random(n)
+    weights = {f"s{k}": draw.randint(1, 12) for k in range(n)} | {"hot": 3 * n}
+    slots = unfolded(spark, weights)
+    assert len(slots) == sum(weights.values()) and max(off_by(slots, weights).values()) < 1
+
+
+def test_groups_of_sources(spark, monkeypatch):
+    """More sources than groups: the heavy ones keep to one block, the others to two, and each has its blocks."""
+    monkeypatch.setattr(mixing, "GROUPS", 20)
+    draw = random.Random(1)
+    weights = {f"s{k}": draw.randint(1, 6) for k in range(70)} | {"hot": 60, "warm": 30}
+    slots = unfolded(spark, weights)
+    assert set(slots) == set(weights)
+    assert max(off_by(slots, weights).values()) < 2.2 and off_by(slots, weights)["hot"] < 1.2
+
+
+def test_many_sources_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(k, f"text {k}", f"s{k % 1_500}") for k in range(3_500)]
+    found = mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_rows=1).collect()
+    assert len(found) == 3_500 and len({r.mix_slot for r in found}) == 3_500
+    assert len({r.source for r in found if r.in_mix}) == 1_500
+    weights = {r.s: r.w for r in target_weights(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(weights) == 1_500 and 13 <= min(weights.values()) and max(weights.values()) <= 20
+
+
 def test_deadlines_are_met():
     weights = {"a": 5, "b": 3, "c": 1}
     done = dict.fromkeys(weights, 0)
@@ -63,7 +135,7 @@ def test_against_simulation(docs, weights):
 
 def test_one_weight_for_each_source(docs):
     table = docs([f"t {k}" for k in range(90)])
-    assert target_weights(table) == {"src0": 333, "src1": 333, "src2": 333}
+    assert {r.s: r.w for r in target_weights(table).collect()} == {"src0": 333, "src1": 333, "src2": 333}
     rows = mix(table).collect()
     assert len(rows) == 90 and all(r.in_mix for r in rows)
 
