@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import hmac
 import random
 import re
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripflow.llm import pii as module
-from tripflow.llm.pii import KEY, pii, pseudonymise
+from tripflow.llm.pii import SAMPLE_KEY as KEY
+from tripflow.llm.pii import pii, pii_key, pseudonymise
 
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
@@ -15,7 +17,8 @@ LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
 def feistel(kind, size, high, low, radix):
     for n in range(10):
         other, own = (low, high) if n % 2 == 0 else (high, low)
-        text = "|".join(map(str, (KEY, kind, size, n, other)))
+        own_key = hmac.new(KEY.encode(), kind.encode(), "sha256").hexdigest()
+        text = "|".join(map(str, (own_key, kind, size, n, other)))
         below = radix[n % 2]
         moved = (own + int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % below) % below
         high, low = (moved, low) if n % 2 == 0 else (high, moved)
@@ -47,8 +50,18 @@ def one(m):
             for value, n in zip(halves, (a, len(g) - a), strict=True):
                 out += "".join(LETTERS[value // 36 ** (n - i) % 36] for i in range(1, n + 1))
         return put_back(local, out, LETTERS) + "@" + domain
-    if m.startswith("+1"):
-        return "+1" + put_back(m[2:], digits_of("phone", re.sub("[^0-9]", "", m[2:])))
+    if m.startswith(("+1", "(")) or re.fullmatch(r"\d{3}([.-])\d{3}\1\d{4}", m):
+        prefix, bare = ("+1", m[2:]) if m.startswith("+1") else ("", m)
+        d = re.sub("[^0-9]", "", bare)
+        if d[0] in "01":
+            d = d[0] + digits_of("phone area", d[1:])
+        elif d[3] in "01":
+            h, x = feistel("phone exchange", 10, int(d[:3]) - 200, int(d[4:]), (800, 10**6))
+            d = f"{h + 200}{d[3]}{x:06d}"
+        else:
+            h, x = feistel("phone", 10, int(d[:3]) - 200, (int(d[3:6]) - 200) * 10_000 + int(d[6:]), (800, 8 * 10**6))
+            d = f"{h + 200}{x + 2_000_000}"
+        return prefix + put_back(bare, d)
     for shape, form in ((r"\d{4}-\d\d-\d\d", "%Y-%m-%d"), (r"\d\d/\d\d/\d{4}", "%m/%d/%Y"), (r"\d\d\.\d\d\.\d{4}", "%d.%m.%Y")):
         if re.fullmatch(shape, m):
             try:
@@ -112,16 +125,48 @@ def texts():
 def test_against_plain(docs):
     rows = list(enumerate(texts())) + [(None, "4111111111111111"), (3, "4111111111111111"), (3, "4111111111111111")]
     table = docs(rows).withColumns({"h": F.lit(1), "l": F.lit("x")})
-    got = sorted((str(r.doc_id), str(r.text)) for r in pii(table).collect())
+    got = sorted((str(r.doc_id), str(r.text)) for r in pii(table, KEY).collect())
     assert got == sorted((str(i), str(plain(t))) for i, t in rows)
 
 
 def test_other_columns_stay(docs):
     table = docs(["4111111111111111"]).withColumn("pair", F.lit("x"))
-    assert pseudonymise(table).columns == table.columns
-    assert pseudonymise(table).drop("text").collect() == table.drop("text").collect()
-    assert pseudonymise(table, "other").first().text != pseudonymise(table).first().text
-    assert pii(docs([])).collect() == []
+    assert pseudonymise(table, KEY).columns == table.columns
+    assert pseudonymise(table, KEY).drop("text").collect() == table.drop("text").collect()
+    assert pseudonymise(table, "other").first().text != pseudonymise(table, KEY).first().text
+    assert pii(docs([]), KEY).collect() == []
+
+
+def test_key_from_outside(spark, docs, monkeypatch):
+    monkeypatch.delenv(module.KEY_VARIABLE, raising=False)
+    with pytest.raises(RuntimeError, match="secret key"):
+        pii_key(spark)
+    assert pii_key(spark, "sample") == "sample"
+    monkeypatch.setenv(module.KEY_VARIABLE, "from the environment")
+    assert pii_key(spark, "sample") == "from the environment"
+    spark.conf.set(module.KEY_SETTING, "from the session")
+    try:
+        assert pii_key(spark) == "from the session"
+    finally:
+        spark.conf.unset(module.KEY_SETTING)
+    plan = pii(docs(["x"]), "top-secret-key")._jdf.queryExecution().toString()
+    assert "top-secret-key" not in plan
+
+
+def test_phones(docs):
+    texts = ["+1 (415) 555-0100", "(415) 555-0100", "415-555-0100", "415.555.0100", "call 415-555-0100, 4111111111111111", "415-555-0100 4111111111111111"]
+    got = rewritten(docs, texts)
+    digits = [re.sub("[^0-9]", "", t) for t in got]
+    # One number in every form, linked.
+    assert digits[0][1:] == digits[1] == digits[2] == digits[3] == digits[4][:10] == digits[5][:10] != "4155550100"
+    assert got[1][0] == "(" and got[3].count(".") == 2 and "4111111111111111" not in got[4] + got[5]
+    draw = random.Random(3)
+    valid = [f"+1 {draw.randrange(200, 1000)} {draw.randrange(200, 1000)} {draw.randrange(10_000):04d}" for _ in range(300)]
+    assert all(re.fullmatch(r"\+1 [2-9]\d\d [2-9]\d\d \d{4}", t) for t in rewritten(docs, valid))
+    odd = ["+1 (017) 555-7713", "+1 415 155 0100"]
+    assert all(a != b for a, b in zip(rewritten(docs, odd), odd, strict=True))
+    stay = ["1415-555-0100", "415-555-0100-1", "415.555.0100.1", "115-555-0100", "x(415) 555-0100"]
+    assert rewritten(docs, stay) == stay
 
 
 @pytest.mark.parametrize("kind, size, radix", [("a", 5, (7, 11)), ("b", 9, (10, 100)), ("date", 1, (189, 773)), ("c", 1, (1, 36))])
@@ -135,13 +180,13 @@ def test_permutes(spark, kind, size, radix):
 
 
 def test_no_python_in_the_plan(docs):
-    plan = pii(docs(["x"]))._jdf.queryExecution().toString()
+    plan = pii(docs(["x"]), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
 def rewritten(docs, texts):
     """The pseudonymised texts, in order."""
-    return [r.text for r in sorted(pii(docs(texts)).collect(), key=lambda r: r.doc_id)]
+    return [r.text for r in sorted(pii(docs(texts), KEY).collect(), key=lambda r: r.doc_id)]
 
 
 def test_cards_beside_numbers(docs):

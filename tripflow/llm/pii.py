@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations; DataFrame functions only.
 
 Found and validated: payment card numbers of 13 to 19 digits with a correct Luhn digit, US social security numbers
-with an area, group and serial that are issued, phone numbers +1 (aaa) eee-nnnn and alike, IPv4 addresses, calendar
+with an area, group and serial that are issued, phone numbers +1 (aaa) eee-nnnn and alike, the same without +1, IPv4 addresses, calendar
 dates (yyyy-mm-dd, mm/dd/yyyy, dd.mm.yyyy, years 1800 to 2199) and e-mail addresses. What looks alike but fails its
 check is left alone. In a row of numbers parted by single blanks or hyphens, a card may begin and end at any of them: the
 leftmost valid one is taken, of several that begin there the longest, so one row of numbers in ten or more that are none
@@ -11,26 +11,38 @@ Each value is an element of a finite set of two digits in mixed radix (high, low
 rounds, whose round function is SHA-256 over key, kind, size, round and the other half, adds to one half modulo its
 radix, so it permutes that set: equal values get equal pseudonyms in every document, different values different
 ones, and a pseudonym is valid in the same format: card numbers get a new Luhn digit, dates stay calendar dates (the
-400 years from 1800 are 146097 = 189 * 773 days, a set by itself), separators and lengths stay. Of e-mail addresses the
+400 years from 1800 are 146097 = 189 * 773 days, a set by itself), phone numbers whose area and exchange may exist keep such,
+separators and lengths stay. Of e-mail addresses the
 letters and digits of the local part are permuted in groups of eight and the domain stays.
 
+The key comes from the caller, who takes it from the session's settings or the environment; there is no default. The
+plan holds keys derived from it, by which pseudonyms could be undone as well: keep plans and event logs as close as the key.
+
 Null texts stay null, empty ones empty. Texts are rewritten whole, in place; repeated rows alike; rows with a null
 id like any other; all columns but the text stay as they are, whatever their names; empty tables stay empty.
 """
 
+import hashlib
+import hmac
+import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-# For tests and samples; a production run passes its own.
-KEY = "not-a-secret"
+# Where a key is looked for. The sample key is for invented tables only: whoever knows a key can undo the pseudonyms.
+KEY_SETTING, KEY_VARIABLE = "spark.tripflow.pii.key", "TRIPFLOW_PII_KEY"
+SAMPLE_KEY = "not-a-secret"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 ISO_DATE, US_DATE, DOT_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+# Without a country code: (aaa) eee-nnnn, aaa-eee-nnnn and aaa.eee.nnnn.
+_LOCAL = r"[2-9][0-9]{2}%s[2-9][0-9]{2}%s[0-9]{4}"
+LOCAL_HYPHEN, LOCAL_POINT = _LOCAL % ("-", "-"), _LOCAL % (r"\.", r"\.")
+LOCAL_PAREN = r"\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 # A value must not be part of a longer one of its own kind: numbers with points end before no further `.digit`, hyphenated ones
@@ -38,16 +50,17 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 # commas of CSV, the prefix length of an IPv4 network, the slash of a range, or the time after an ISO date.
 _WORD, _END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 _TIME = r"(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z]))"
-POINTED = rf"{_WORD}(?<![0-9]\.)(?:{DOT_DATE}|{IPV4}){_END}(?!\.[0-9])"
+POINTED = rf"{_WORD}(?<![0-9]\.)(?:{DOT_DATE}|{IPV4}|{LOCAL_POINT}){_END}(?!\.[0-9])"
 SLASHED = rf"{_WORD}(?<![0-9]/){US_DATE}{_END}(?!/[0-9])"
-HYPHENATED = rf"{_WORD}(?<![0-9]-)(?:{ISO_DATE}{_TIME}|{SSN}{_END})(?!-[0-9])"
+HYPHENATED = rf"{_WORD}(?<![0-9]-)(?:{ISO_DATE}{_TIME}|{SSN}{_END}|{LOCAL_HYPHEN}{_END})(?!-[0-9])"
 NUMBER = rf"{_WORD}(?<![0-9][.-]){CARD}{_END}(?!\.[0-9])(?!-[0-9])"
-CANDIDATE = rf"{EMAIL}|{_WORD}{PHONE}(?![0-9])|{SLASHED}|{POINTED}|{HYPHENATED}|{NUMBER}"
+PHONES = rf"{_WORD}(?:{PHONE}(?![0-9])|{LOCAL_PAREN}{_END}(?!-[0-9]))"
+CANDIDATE = rf"{EMAIL}|{PHONES}|{SLASHED}|{POINTED}|{HYPHENATED}|{NUMBER}"
 # Numbers in a row with 13 digits or more, up to where something else begins: cards, SSNs and ISO dates are sought in it at
 # every place, see _run. It never gives back, so that long rows need no stack.
 _PART = rf"(?!{EMAIL}|{SLASHED}|{POINTED})[0-9]++(?:(?=[Tt][0-9]{{2}})|(?![0-9A-Za-z]))(?!\.[0-9])"
 RUN = rf"{_WORD}(?<![0-9][.-])(?=(?:[0-9][ -]?){{13}}){_PART}(?:[ -]{_PART})*+"
-FOUND = rf"{EMAIL}|{_WORD}{PHONE}(?![0-9])|{RUN}|{CANDIDATE}"
+FOUND = rf"{EMAIL}|{PHONES}|{RUN}|{CANDIDATE}"
 # Numbers that a card or a date can be made of.
 MOST_PARTS = 19
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -55,12 +68,25 @@ FIRST_DAY = "1800-01-01"
 DAYS = (189, 773)
 
 
+def pii_key(spark: SparkSession, sample: str | None = None) -> str:
+    """The key from the session's setting or the environment; without either `sample`, or an error where there is none."""
+    key = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or sample
+    if not key:
+        raise RuntimeError(f"pseudonyms need a secret key: set {KEY_SETTING} or {KEY_VARIABLE}")
+    return key
+
+
+def _own_key(key: str, kind: str) -> str:
+    """A key for one kind of value, from which the given one cannot be told: only this one stands in the plan."""
+    return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+
+
 def _feistel(kind: str, size: Column, high: Column, low: Column, radix: tuple[Column, Column], key: str) -> Column:
     """The pair (high, low) after the permutation of the pairs below `radix`, as a struct; one for each key, kind, size."""
     start = F.struct(high.cast("long").alias("h"), low.cast("long").alias("l"))
 
     def draw(n: Column, other: Column, below: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), size.cast("string"), n.cast("string"), other.cast("string"))
+        text = F.concat_ws("|", F.lit(_own_key(key, kind)), F.lit(kind), size.cast("string"), n.cast("string"), other.cast("string"))
         return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), below)
 
     def turn(pair: Column, n: Column) -> Column:
@@ -138,7 +164,24 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    return F.concat(F.lit("+1"), _put_back(F.substr(text, F.lit(3)), _permute_digits("phone", _digits(F.substr(text, F.lit(3))), key)))
+    """Area and exchange from 200 on stay so; of other numbers the digit that is not stays, and the others are permuted."""
+
+    def renumber(d: Column) -> Column:
+        area, exchange, line = (F.substr(d, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
+        whole = _feistel("phone", F.lit(10), area - 200, (exchange - 200) * 10_000 + line, (F.lit(800), F.lit(8_000_000)), key)
+        rest = F.substr(d, F.lit(5), F.lit(6)).cast("int")
+        part = _feistel("phone exchange", F.lit(10), area - 200, rest, (F.lit(800), F.lit(1_000_000)), key)
+        return (
+            F.when(area < 200, F.concat(F.left(d, F.lit(1)), _permute_digits("phone area", F.substr(d, F.lit(2), F.lit(9)), key)))
+            .when(
+                exchange < 200,
+                _let(part, lambda p: F.concat((p["h"] + 200).cast("string"), F.substr(d, F.lit(4), F.lit(1)), F.lpad(p["l"].cast("string"), 6, "0"))),
+            )
+            .otherwise(_let(whole, lambda p: F.concat((p["h"] + 200).cast("string"), (p["l"] + 2_000_000).cast("string"))))
+        )
+
+    bare = F.regexp_replace(text, r"^\+1", "")
+    return F.concat(F.when(text.startswith("+1"), "+1").otherwise(""), _put_back(bare, _let(_digits(bare), renumber)))
 
 
 def _ssn(text: Column, key: str) -> Column:
@@ -221,7 +264,7 @@ def _value_ahead(parts: Column, i: Column) -> Column:
 
     def within(w: Column) -> Column:
         rest = F.regexp_replace(F.array_join(w, ""), "^[ -]", "")
-        hyphenated = F.regexp_extract(rest, rf"^(?:{ISO_DATE}|{SSN})(?![0-9])(?!-)", 0)
+        hyphenated = F.regexp_extract(rest, rf"^(?:{ISO_DATE}|{SSN}|{LOCAL_HYPHEN})(?![0-9])(?!-)", 0)
         alone = (~F.element_at(w, 1).startswith("-")) & (hyphenated != "")
         ends = F.sequence(F.least(F.size(w), F.lit(MOST_PARTS)), F.lit(1), F.lit(-1))
         cards = F.transform(ends, lambda n: F.regexp_replace(F.array_join(F.slice(w, F.lit(1), n), ""), "^[ -]", ""))
@@ -280,7 +323,7 @@ def _pseudonym(text: Column, key: str) -> Column:
     octets = F.transform(F.split(text, r"\."), lambda o: (F.length(o) == 1) | (~o.startswith("0") & (o.cast("int") <= 255)))
     cases = [
         (text.contains("@"), _email(text, key)),
-        (text.startswith("+1"), _phone(text, key)),
+        (text.rlike(rf"^(?:\+1|{LOCAL_PAREN}$|{LOCAL_HYPHEN}$|{LOCAL_POINT}$)"), _phone(text, key)),
         (text.rlike(f"^{ISO_DATE}$"), F.when(_valid_date(text, "yyyy-MM-dd"), _date(text, "yyyy-MM-dd", key))),
         (text.rlike(f"^{US_DATE}$"), F.when(_valid_date(text, "MM/dd/yyyy"), _date(text, "MM/dd/yyyy", key))),
         (text.rlike(f"^{DOT_DATE}$"), F.when(_valid_date(text, "dd.MM.yyyy"), _date(text, "dd.MM.yyyy", key))),
@@ -294,7 +337,7 @@ def _pseudonym(text: Column, key: str) -> Column:
     return F.coalesce(new, text)
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """The text with all personal data in it replaced."""
     gaps = F.split(text, FOUND, -1)
     values = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: _replaced(m, key))
@@ -303,12 +346,12 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), F.array_join(pieces, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the text rewritten and all other columns as they are."""
     return docs.withColumn(text_col, pseudonymised(F.col(text_col).cast("string"), key))
 
 
-def pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pii(docs: DataFrame, key: str) -> DataFrame:
     """`doc_id` and the rewritten `text`: a row for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return pseudonymise(rows, key)

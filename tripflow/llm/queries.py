@@ -9,7 +9,7 @@ from tripflow.llm.decontam import contaminated
 from tripflow.llm.graph import near_vectors
 from tripflow.llm.mixing import mix
 from tripflow.llm.oracles import ORACLE_SQL
-from tripflow.llm.pii import pii
+from tripflow.llm.pii import SAMPLE_KEY, pii, pii_key
 from tripflow.llm.quality import quality
 from tripflow.llm.ranked import ranked
 from tripflow.llm.simhash import simhash
@@ -51,7 +51,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii(table(spark, sf_dir, "documents"))
+    return pii(table(spark, sf_dir, "documents"), pii_key(spark, SAMPLE_KEY))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
