@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tripflow.llm.common import table, written
 from tripflow.llm.decontam import drop_contaminated
 from tripflow.llm.mixing import mixed
-from tripflow.llm.pii import pseudonymise
+from tripflow.llm.pii import SAMPLE_KEY, pii_key, pseudonymise
 from tripflow.llm.simhash import one_of_each
 from tripflow.llm.toxicity import drop_toxic
 
@@ -36,8 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbers, dates and addresses in the texts become pseudonyms; every document stays."""
-    return pseudonymise(docs)
+    """Numbers, dates and addresses in the texts become pseudonyms; every document stays.
+
+    The key is that of the session or the environment; the sample key stands in where these invented tables have none.
+    """
+    return pseudonymise(docs, pii_key(spark, SAMPLE_KEY))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
