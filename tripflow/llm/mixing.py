@@ -38,8 +38,8 @@ TEMPERATURE = 0.5
 RESOLUTION, SHARE = 1_000, 16
 # What the driver lays out: so many sources or groups of them, and a period of at most SHARE slots for each.
 GROUPS = 32_768
-# Rows that one task numbers, about.
-BUCKET_ROWS = 100_000
+# Rows of a source that one task numbers, about; a source is cut into some parts in any case.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 
 
 def period(weights: Mapping[str, int]) -> list[str]:
@@ -172,7 +172,7 @@ def mixed(
 
     name = _name(F.col(source_col))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     # The row travels as one column, so that its names can't clash with those used here.
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
