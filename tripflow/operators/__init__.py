@@ -17,6 +17,9 @@ from tripflow.operators.events import (
     with_landing_path,
     with_object_uri,
 )
+from tripflow.operators.intervals import join_overlapping
+from tripflow.operators.ordering import with_global_number, with_running_total
+from tripflow.operators.reconcile import reconcile
 from tripflow.operators.trips import enrich_trips, with_batch_id, with_day_of_week, with_trip_length
 
 __all__ = [
@@ -25,8 +28,10 @@ __all__ = [
     "enrich_trips",
     "explode_object_records",
     "join_announced",
+    "join_overlapping",
     "normalize_object_events",
     "only_csv_objects",
+    "reconcile",
     "session_totals",
     "sliding_totals",
     "split_valid_events",
@@ -34,7 +39,9 @@ __all__ = [
     "tumbling_totals",
     "with_batch_id",
     "with_day_of_week",
+    "with_global_number",
     "with_landing_path",
     "with_object_uri",
+    "with_running_total",
     "with_trip_length",
 ]

@@ -189,6 +189,16 @@ FROM lineitem GROUP BY ALL""",
     "announced_join": f"SELECT event_id, 'b-' || event_type AS bucket, {_KEY} || '.csv' AS key, "
     f"CASE WHEN {_COME} THEN 1 ELSE 0 END AS came, CASE WHEN {_COME} THEN {_real('value')} ELSE -1.0::DOUBLE END "
     f"AS trip_distance FROM events WHERE {_NAMES_OBJECT}",
+    "trip_overlaps": f"""{_TRIPS} SELECT a.event_id AS a, b.event_id AS b,
+  CAST(epoch(least(a.dof, b.dof)) - epoch(greatest(a.pu, b.pu)) AS BIGINT) AS seconds FROM trips a JOIN trips b
+ON a.event_id < b.event_id AND a."VendorID" = b."VendorID" AND a."RateCodeID" = b."RateCodeID"
+  AND a.payment_type = b.payment_type AND a.pu < b.dof AND b.pu < a.dof AND a.pu < a.dof AND b.pu < b.dof""",
+    "trip_numbers": f"""{_TRIPS} SELECT event_id, row_number() OVER (ORDER BY {_LENGTH} DESC, event_id) AS number FROM trips""",
+    "running_distance": f"""{_TRIPS} SELECT "VendorID", event_id, CAST(sum(CAST(round(trip_distance * 100) AS BIGINT))
+  OVER (PARTITION BY "VendorID" ORDER BY pu, event_id) AS BIGINT) AS distance_cents FROM trips""",
+    "reconciliation": "SELECT event_id, CAST(1 AS BIGINT) AS landed, CAST(CASE WHEN event_id % 97 = 5 THEN 0 ELSE 1 END + "
+    "CASE WHEN event_id % 89 = 7 THEN 1 ELSE 0 END AS BIGINT) AS stored FROM events "
+    "WHERE (event_id % 97 = 5) <> (event_id % 89 = 7)",
     "parquet_replace": _by_day('CAST(event_id % 2 AS INTEGER) AS "Id"'),
     "stream_resume_same_ids": "SELECT count(*) AS n, count(*) AS trips, CAST(0 AS INTEGER) AS first_id FROM events",
     "object_empty_file": "SELECT count(*) AS n, CAST(-1 AS INTEGER) AS id, CAST(1 AS INTEGER) AS empty_objects, "

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripflow.plans.queries import event_time, events, projections, scans, stored, streams
+from tripflow.plans.queries import event_time, events, projections, scans, stored, streams, whole
 from tripflow.session import pin_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ QUERIES: dict[str, Query] = {
         stored.row_count,
         stored.preview10,
         stored.parquet_readback,
+        whole.trip_overlaps,
+        whole.trip_numbers,
+        whole.running_distance,
+        whole.reconciliation,
         stored.jdbc_append,
         stored.sink_readback,
         stored.jdbc_row_count,
