@@ -182,6 +182,8 @@ FROM lineitem GROUP BY ALL""",
     "stream_empty_file": "SELECT count(*) AS n, CAST(1 AS INTEGER) AS first_id, CAST(1 AS INTEGER) AS empty_batches "
     "FROM events",
     "stream_compaction": f"SELECT *, CAST(0 AS INTEGER) AS small_directories FROM ({_by_day()})",
+    "stream_sketches": "SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(1 AS INTEGER) AS users_within, "
+    "CAST(1 AS INTEGER) AS quantiles_within FROM events",
     "window_tumbling": _in_windows("[date_trunc('hour', pu)]", 1),
     "window_sliding": _in_windows(f"[{_TWO_HOURS} - to_hours(k) FOR k IN [0, 2, 4]]", 6),
     "window_session": _SESSIONS,

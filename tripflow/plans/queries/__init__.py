@@ -46,6 +46,7 @@ QUERIES: dict[str, Query] = {
         streams.stream_visibility,
         streams.stream_empty_file,
         streams.stream_compaction,
+        streams.stream_sketches,
         event_time.window_tumbling,
         event_time.window_sliding,
         event_time.window_session,

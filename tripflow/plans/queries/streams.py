@@ -1,13 +1,16 @@
 """CSV files read as a stream."""
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.plans import landing as land
 from tripflow.plans.queries.runs import Run, crash_and_resume, new_parquet, new_table, run_over_events
 from tripflow.plans.queries.shapes import by_day
-from tripflow.schema import BATCH_ID, DROPOFF, PICKUP, TRIP_SCHEMA
-from tripflow.sinks import ParquetSink, compact, vacuum
+from tripflow.schema import BATCH_ID, DROPOFF, PICKUP, TRIP_LENGTH, TRIP_SCHEMA
+from tripflow.sinks import ParquetSink, compact, estimates, sketch_batches, vacuum
+from tripflow.sinks.sketches import DISTINCT_ERROR, RANK_ERROR
 from tripflow.sources.files import write_text
 
 
@@ -183,3 +186,30 @@ def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     vacuum(run.sink, spark, older_than_seconds=-60)
     small = F.lit(len(run.sink.directory_ids(spark))).alias("small_directories")
     return by_day(run.sink.read(spark)).withColumn("small_directories", small)
+
+
+def stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each batch, merged: distinct users and quantiles of the trip length, held against the exact ones."""
+    landing = land.numbered_landing(spark, sf_dir)
+    run = Run(spark, landing.path, new_parquet(spark), max_files=1)
+    run.drain()
+    columns = {"distinct": ["pickup_latitude"], "quantiles": [TRIP_LENGTH]}
+    sketch_batches(run.sink, spark, **columns)
+    ranks = [0.1, 0.5, 0.9]
+    found = estimates(run.sink, spark, distinct=columns["distinct"], quantiles={TRIP_LENGTH: ranks})
+    stored = run.sink.read(spark)
+    found = found.select("rows", F.col("distinct pickup_latitude").alias("users"), F.col(f"quantile {TRIP_LENGTH}").alias("q"))
+    # The share of rows below a quantile, and of those not above it: its rank lies between, within the error.
+    bounds = []
+    for k, rank in enumerate(ranks):
+        low = F.avg((F.col(TRIP_LENGTH) < F.col("q")[k]).cast("double"))
+        high = F.avg((F.col(TRIP_LENGTH) <= F.col("q")[k]).cast("double"))
+        bounds.append((low <= rank + RANK_ERROR) & (high >= rank - RANK_ERROR))
+    exact = stored.join(F.broadcast(found)).agg(
+        F.first("rows").alias("n"),
+        F.count_distinct("pickup_latitude").alias("users"),
+        F.first("users").alias("estimated"),
+        reduce(Column.__and__, bounds).cast("int").alias("quantiles_within"),
+    )
+    off = F.abs(F.col("estimated") - F.col("users")) <= 3 * DISTINCT_ERROR * F.col("users")
+    return exact.select("n", "users", off.cast("int").alias("users_within"), "quantiles_within")
