@@ -170,13 +170,18 @@ def test_object_uri(spark):
         ("/x.csv", "/mnt/efs/incoming/x.csv"),
         ("./x.csv", "/mnt/efs/incoming/x.csv"),
         (".x./y.csv", "/mnt/efs/incoming/.x./y.csv"),
+        ("a..b/..c/d...csv", "/mnt/efs/incoming/a..b/..c/d...csv"),
+        ("../x.csv", None),
+        ("x/../../y.csv", None),
+        ("x/..", None),
+        ("..", None),
     ],
 )
 def test_landing_path(spark, key, path):
     df = spark.createDataFrame([(key,)], "key string")
     for mount in ("/mnt/efs", "/mnt/efs/"):
         row = op.with_landing_path(df, mount, "incoming").first()
-        assert (row.path, row.partial_path) == (path, f"{path}.part")
+        assert (row.path, row.partial_path) == (path, path and f"{path}.part")
 
 
 def test_operators_work_on_a_stream_of_events(spark, tmp_path):

@@ -102,11 +102,59 @@ def test_parquet_times_can_be_filtered_by_statistics(spark, tmp_path):
     assert "GreaterThan(tpep_pickup_datetime" in plan and late.count() == 0
 
 
-def test_count_that_does_not_arrive_is_taken_again(spark, monkeypatch):
+def test_count_that_does_not_arrive(spark, monkeypatch):
     monkeypatch.setattr(counting, "WAIT_SECONDS", 0.2)
     df = batch(spark, range(5), 0)
     # Writing something else leaves the observation waiting.
-    assert counting.write_counted(df, lambda _: spark.range(3).write.format("noop").mode("append").save()) == 5
+    assert counting.write_counted(df, lambda _: spark.range(3).write.format("noop").mode("append").save()) is None
+
+
+def test_parquet_count_that_was_lost(spark, tmp_path, monkeypatch):
+    """The footers give it, unless the files show that more than one write left them."""
+    real, strays = counting.write_counted, [False, True, False]
+
+    def lost(df, action):
+        real(df, action)
+        if strays.pop(0):
+            df.write.mode("append").parquet(str(tmp_path / "Id=1"))
+
+    monkeypatch.setattr(parquet, "write_counted", lost)
+    sink = ParquetSink(str(tmp_path))
+    assert sink.write(batch(spark, range(5), 0).repartition(3), 0) == 5
+    assert sink.write(batch(spark, range(4), 1), 1) == 4
+    assert strays == []
+    assert contents(sink.read(spark)) == [(0, k) for k in range(5)] + [(1, k) for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    "names, one",
+    [
+        ([], True),
+        (["_SUCCESS", ".part-00000-x.crc"], True),
+        ([f"part-0000{k}-{'a' * 36}-c000.zstd.parquet" for k in range(3)], True),
+        ([f"part-00000-{'a' * 36}-c00{k}.zstd.parquet" for k in range(3)], True),
+        ([f"part-00000-{x * 36}-c000.zstd.parquet" for x in "ab"], False),
+        ([f"part-00000-{'a' * 36}-c000.{x}.parquet" for x in ("zstd", "snappy")], False),
+        (["data.parquet"], False),
+    ],
+)
+def test_files_of_one_write(names, one):
+    assert parquet._from_one_write(names) == one
+
+
+def test_database_count_that_was_lost(spark, table, monkeypatch):
+    real, counts = counting.write_counted, []
+
+    def lost(df, action):
+        counts.append(real(df, action))
+        return None if len(counts) == 1 else counts[-1]
+
+    monkeypatch.setattr(jdbc, "write_counted", lost)
+    assert write_jdbc_idempotent(batch(spark, [1, 2], 0), 0, table) == 2
+    assert counts == [2, 2]
+    assert contents(read_sink_table(spark, table)) == [(0, 1), (0, 2)]
+    counts.clear()
+    assert write_jdbc_append(batch(spark, [3], 1), table) == 1
 
 
 def test_batch_of_another_owner(spark, sink):

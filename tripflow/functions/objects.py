@@ -15,9 +15,11 @@ def object_uri(bucket: Column, key: Column) -> Column:
 
 def landing_path(key: Column, mount: str, prefix: str) -> Column:
     """Where `key` lands below `mount`/`prefix`. Keys are used as given, not URL-decoded; repeated
-    slashes and `./` steps in them collapse as they do in a file path."""
+    slashes and `./` steps in them collapse as they do in a file path. A key with a `../` step could
+    lead out of the landing directory and has no landing path: NULL."""
     base = "/".join(filter(None, (mount.rstrip("/"), prefix.strip("/"))))
-    return F.concat(F.lit(f"{base}/"), F.regexp_replace(key, r"(^|/)(\.?/)+", "$1"))
+    path = F.concat(F.lit(f"{base}/"), F.regexp_replace(key, r"(^|/)(\.?/)+", "$1"))
+    return F.when(~key.rlike(r"(^|/)\.\.(/|$)"), path)
 
 
 def is_csv_key(key: Column) -> Column:

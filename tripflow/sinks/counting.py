@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 WAIT_SECONDS = 60
 
 
-def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
-    """Run `write` over `df` and return how many rows went through.
+def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int | None:
+    """Run `write` over `df` and return how many rows went through, None where that count was lost.
 
     The plans written here have no shuffle, so every task is a result task and Spark counts each
-    partition once, however often it is retried.
+    partition once, however often it is retried. A lost count is for the caller to replace: a second
+    scan of `df` would cost as much as the write, and might see a source that has changed since.
     """
     observation = Observation()
     write(df.observe(observation, F.count(F.lit(1)).alias("rows")))
-    rows = _arrived(observation)
-    return df.count() if rows is None else rows
+    return _arrived(observation)
 
 
 def _arrived(observation: Observation) -> int | None:

@@ -54,7 +54,10 @@ def write_jdbc_append(df: DataFrame, target: JdbcTable) -> int:
     Each task commits on its own, so a task that is run again after its commit, or a batch that is
     run again, adds its rows a second time. `write_jdbc_idempotent` is the safe form.
     """
-    return write_counted(_rows_for(df, target), lambda out: _write(out, target, target.table, "append"))
+    rows = _rows_for(df, target)
+    written = write_counted(rows, lambda out: _write(out, target, target.table, "append"))
+    # Appended rows cannot be told from those of an earlier run, so a lost count is taken from the source.
+    return rows.count() if written is None else written
 
 
 def write_jdbc_idempotent(
@@ -72,7 +75,8 @@ def write_jdbc_idempotent(
     the batch in the table `<table>_batches`, whose key admits it once. So readers see a batch whole
     or not at all, a replayed batch is found there and left alone, and of two drivers that overlap
     only one gets its batch in. A task that committed twice shows as a surplus in the number of rows
-    moved: the transaction is rolled back and the batch staged afresh.
+    moved: the transaction is rolled back and the batch staged afresh. So is one whose count was lost on
+    its way to the driver, since nothing then tells a surplus.
 
     `replay` also removes rows of the batch that a plain append left, `replace` what is stored. A
     batch of the same id that another `owner` stored is an error.
@@ -90,7 +94,9 @@ def write_jdbc_idempotent(
     try:
         for attempt in range(1, STAGE_ATTEMPTS + 1):
             staged = write_counted(rows, lambda out: _write(out, target, stage, "overwrite"))
-            if _publish(spark, target, stage, rows.columns, batch_id, staged, owner, replay, replace):
+            if staged is not None and _publish(
+                spark, target, stage, rows.columns, batch_id, staged, owner, replay, replace
+            ):
                 _drop_all(spark, target, stages)
                 return staged
             log.warning("batch %s: staged rows were not %s, attempt %s", batch_id, staged, attempt)

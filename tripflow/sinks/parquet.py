@@ -22,6 +22,8 @@ WRITE_ATTEMPTS = 3
 
 _BATCH_DIR = re.compile(rf"{BATCH_ID}=(-?\d+)")
 _MARKER = re.compile(r"-?\d+")
+# How Spark names a data file: the task's partition, the write's unique id, the number of the file in its task.
+_DATA_FILE = re.compile(r"part-(\d+)-([0-9a-f-]{36})[.-]c(\d+)\..*")
 
 
 def write_parquet_idempotent(df: DataFrame, batch_id: int, path: str) -> int:
@@ -30,18 +32,28 @@ def write_parquet_idempotent(df: DataFrame, batch_id: int, path: str) -> int:
     The batch owns the directory `Id=<batch_id>`, so writing it again leaves one copy, and no
     other batch is touched. Files that do not belong there, left by a lost task under a committer
     that moves files early or by a driver that was still at work, show as a surplus in the row
-    counts of the footers; the batch is then written afresh.
+    counts of the footers; the batch is then written afresh. Where the count of rows written was lost
+    on its way to the driver, the names of the files tell whether one write made them all, and the
+    footers give the count.
     """
     rows, directory = df.drop(BATCH_ID), f"{path}/{BATCH_ID}={batch_id}"
     for attempt in range(1, WRITE_ATTEMPTS + 1):
         written = write_counted(rows, lambda out: out.write.mode("overwrite").parquet(directory))
         found = df.sparkSession.read.schema(rows.schema).parquet(directory).count()
-        if found == written:
-            return written
+        if found == written or (written is None and _from_one_write(child_names(df.sparkSession, directory))):
+            return found
         log.warning("batch %s: %s rows written, %s found, attempt %s", batch_id, written, found, attempt)
     raise RuntimeError(f"batch {batch_id}: the rows found keep differing from those written")
 
 
+def _from_one_write(names: Sequence[str]) -> bool:
+    """Whether data files all come from one write, and no two from the same place in it; other names are no evidence."""
+    files = [_DATA_FILE.fullmatch(name) for name in names if not name.startswith(("_", "."))]
+    if not all(files) or len({file[2] for file in files}) > 1:
+        return False
+    return len({(int(file[1]), int(file[3])) for file in files}) == len(files)
+
+
 @dataclass(frozen=True)
 class ParquetSink:
     path: str
