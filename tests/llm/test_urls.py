@@ -47,16 +47,68 @@ def test_hosts_paths_and_rules(spark, labels):
         assert (r.rule, r.verdict) == (name, verdict or "allow"), url
 
 
+def plain_name(host):
+    host = host.rsplit("@", 1)[-1]
+    head, colon, port = host.rpartition(":")
+    return (head if colon and not port.strip("0123456789") else host).rstrip(".")
+
+
+def is_address(name):
+    return name.startswith("[") or (name != "" and all(x.isdigit() for x in name.split(".")))
+
+
+def plain_suffix(name):
+    if is_address(name):
+        return urls.ADDRESSES
+    last = ".".join(name.split(".")[-2:])
+    return last if last in urls.SUFFIXES else name.split(".")[-1]
+
+
+def plain_domain(name):
+    return name if is_address(name) else ".".join(name.split(".")[-2 - plain_suffix(name).count(".") :])
+
+
+HOSTS = {
+    "": ("", "", ""),
+    "com": ("com", "com", "com"),
+    "a.b.com": ("a.b.com", "b.com", "com"),
+    "a.co.uk": ("a.co.uk", "a.co.uk", "co.uk"),
+    "x.b.co.uk:8080": ("x.b.co.uk", "b.co.uk", "co.uk"),
+    "co.uk": ("co.uk", "co.uk", "co.uk"),
+    "notco.uk": ("notco.uk", "notco.uk", "uk"),
+    "user:pw@m.a.org:": ("m.a.org", "a.org", "org"),
+    "u@v@a.org.": ("a.org", "a.org", "org"),
+    "a.org.:80": ("a.org", "a.org", "org"),
+    "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", urls.ADDRESSES),
+    "[::1]:80": ("[::1]", "[::1]", urls.ADDRESSES),
+    "[2001:db8::7]": ("[2001:db8::7]", "[2001:db8::7]", urls.ADDRESSES),
+    "1.com": ("1.com", "1.com", "com"),
+}
+
+
+def test_names_domains_and_suffixes(spark):
+    host = F.col("host")
+    domain, suffix = urls.domain_and_suffix(F.col("name"), urls.SUFFIXES)
+    table = spark.createDataFrame([(h,) for h in HOSTS], "host string").withColumn("name", urls.name_of(host))
+    got = {r.host: tuple(r)[1:] for r in table.select(host, "name", domain, suffix).collect()}
+    assert got == HOSTS
+    assert {h: (n, plain_domain(n), plain_suffix(n)) for h in HOSTS for n in [plain_name(h)]} == HOSTS
+    # The table of suffixes is a parameter, with suffixes of any length.
+    domain, suffix = urls.domain_and_suffix(F.lit("w.v.k12.ca.us"), ["k12.ca.us", "ca.us"])
+    assert tuple(table.select(domain, suffix).first()) == ("v.k12.ca.us", "k12.ca.us")
+
+
 def expected(pages, known):
     """Posterior mean and upper bound of every host, step by step."""
     seen = {}
     for page, url in pages:
         host, path = parts(url)
+        host = plain_name(host)
         number = path.rstrip("/").removesuffix(".html").rsplit("/", 1)[-1]
         if number.isdigit() and int(number) in known:
             seen.setdefault(host, set()).add((page, known[int(number)]))
     hosts = {h: (len(s), sum(g for _, g in s)) for h, s in seen.items()}
-    domain_of, suffix_of = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    domain_of, suffix_of = plain_domain, plain_suffix
 
     def add(counts, name):
         out = {}
@@ -80,17 +132,23 @@ def expected(pages, known):
     s = shrink(suffixes, lambda k: top[0])
     d = shrink(domains, lambda k: s[suffix_of(k)][0])
     h = shrink(hosts, lambda k: d[domain_of(k)][0])
-    return lambda host: h.get(host) or d.get(domain_of(host)) or s.get(suffix_of(host)) or top
+
+    def estimate(host):
+        name = plain_name(host)
+        return h.get(name) or d.get(domain_of(name)) or s.get(suffix_of(name)) or top
+
+    return estimate
 
 
 def test_reputation(spark, labels):
     pages, known = [], []
     for k in range(900):
-        host = ["good.site.org", "bad.site.org", "www.other.com", "bad.worse.info", "one.more.info"][k % 5]
+        host = ["good.site.org", "bad.site.org", "www.other.com", "bad.worse.info", "one.more.info", "bad.co.uk", "fair.co.uk:80"][k % 7]
         pages.append((k, f"http://{host}/en/{k}{['', '/', '.html'][k % 3]}"))
         if k % 2:
             known.append((k, int(k % 97 > 5 if "bad" not in host else k // 10 % 10 < 3), 0))
     pages += [(1_000, "http://new.site.org/"), (1_001, "http://x.y.info/"), (1_002, "http://x.y.zz/"), (1_003, None), (5, pages[5][1])]
+    pages += [(1_004, "http://u@bad.site.org:81/"), (1_005, "http://m.fair.co.uk/"), (1_006, "http://10.0.0.1/7"), (1_007, "http://[::1]/")]
     table = spark.createDataFrame([(i, u, "") for i, u in pages], PAGES)
     got = url_verdicts(table, labels(known + [(None, 1, 1), (1, None, 0), known[0], (3, 7, 0)])).collect()
     assert len(got) == len(pages)
@@ -104,6 +162,8 @@ def test_reputation(spark, labels):
     verdicts = {r.host: r.verdict for r in got if r.rule is None}
     assert verdicts["bad.site.org"] == verdicts["bad.worse.info"] == "block"
     assert verdicts["good.site.org"] == verdicts["www.other.com"] == "allow"
+    assert verdicts["u@bad.site.org:81"] == verdicts["bad.co.uk"] == "block"
+    assert verdicts["fair.co.uk:80"] == verdicts["m.fair.co.uk"] == "allow"
 
 
 def test_empty_tables(spark, labels):

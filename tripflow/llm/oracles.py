@@ -15,6 +15,11 @@ _FITS = "\n        ".join(
 _RULED = " ".join(f"WHEN '{host}{path}' THEN '{verdict}'" for host, path, verdict in _RULES)
 
 
+# The last labels of a name that make a registered domain and its suffix.
+_KNOWN = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
+_LABELS = f"CASE WHEN array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') IN ({_KNOWN}) THEN 2 ELSE 1 END"
+
+
 def _shrunk(groups: str, above: str, join: str, columns: str) -> str:
     """Posterior of each group by the prior of the level above; the same steps as in urls.py."""
     return f"""
@@ -36,14 +41,21 @@ WITH parsed AS (
 ), judged AS (
     SELECT *, CASE {_FITS} END AS rule,
         try_cast(nullif(regexp_extract(path, '.*/([0-9]{{1,18}})(?:[.]html)?/?$', 1), '') AS BIGINT) AS number,
-        array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-        string_split(host, '.')[-1] AS suffix
+        regexp_replace(host, '^[^/]*@|:[0-9]*\z|[.]+(:[0-9]*)?\z', '', 'g') AS name
     FROM parsed
+), placed AS (
+    SELECT *, regexp_matches(name, '^([0-9]+([.][0-9]+)*|\[[^/]*)\z') AS address, {_LABELS} AS labels
+    FROM judged
+), leveled AS (
+    SELECT * EXCLUDE (labels),
+        CASE WHEN address THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -labels - 1, -1), '.') END AS domain,
+        CASE WHEN address THEN '{urls.ADDRESSES}' ELSE array_to_string(list_slice(string_split(name, '.'), -labels, -1), '.') END AS suffix
+    FROM placed
 ), known AS (
     SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id
 ), hosts AS (
-    SELECT host, domain, suffix, count(*) AS n, sum(good) AS good
-    FROM (SELECT DISTINCT page_id, host, domain, suffix, number FROM judged) j JOIN known ON number = doc_id
+    SELECT name, domain, suffix, count(*) AS n, sum(good) AS good
+    FROM (SELECT DISTINCT page_id, name, domain, suffix, number FROM leveled) j JOIN known ON number = doc_id
     GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL
@@ -53,12 +65,12 @@ WITH parsed AS (
     FROM suffixes
 ), s AS ({_shrunk("suffixes", "whole", "true", "g.suffix")}
 ), d AS ({_shrunk("domains", "s", "g.suffix = a.suffix", "g.domain")}
-), h AS ({_shrunk("hosts", "d", "g.domain = a.domain", "g.host")}
+), h AS ({_shrunk("hosts", "d", "g.domain = a.domain", "g.name")}
 ), estimated AS (
     SELECT j.*, coalesce(h.mean, d.mean, s.mean, w.mean)::DOUBLE AS mean,
         coalesce(h.weight, d.weight, s.weight, w.weight)::DOUBLE AS weight
-    FROM judged j CROSS JOIN whole w
-    LEFT JOIN h ON h.host = j.host LEFT JOIN d ON d.domain = j.domain LEFT JOIN s ON s.suffix = j.suffix
+    FROM leveled j CROSS JOIN whole w
+    LEFT JOIN h ON h.name = j.name LEFT JOIN d ON d.domain = j.domain LEFT JOIN s ON s.suffix = j.suffix
 )
 SELECT page_id, host, path, rule, coalesce(CASE rule {_RULED} END,
     CASE WHEN mean + {urls.BOUND_SD} * sqrt(mean * (1 - mean) / (weight + 1)) < {urls.LEAST_GOOD}
