@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -121,3 +122,47 @@ def test_edit_distances():
     draw = np.random.default_rng(1)
     a, b = draw.integers(0, 4, (60, 12)), draw.integers(0, 4, (60, 12))
     assert edits(a, b).tolist() == [plain_edits(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_edit_distances_in_a_band():
+    draw = np.random.default_rng(2)
+    for n in (1, 2, 7, 12):
+        a, b = draw.integers(0, 3, (80, n)), draw.integers(0, 3, (80, n))
+        # Shifted rows, whose best path leaves the diagonal.
+        b[:40] = np.roll(a[:40], draw.integers(0, 3), axis=1)
+        true = np.array([plain_edits(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        for most in range(n + 1):
+            got = edits(a, b, most)
+            assert (np.where(true <= most, got == true, got > most)).all()
+
+
+def test_least_edits_is_a_lower_bound():
+    items, _ = items_and_texts()
+    index = ItemIndex([(i, t.encode()) for i, t in items])
+    draw = np.random.default_rng(3)
+    for n, members in index.by_size.items():
+        members = np.repeat(members, 20)
+        windows = np.stack([draw.permutation(index.codes[m]) for m in members])
+        windows[draw.random(windows.shape) < 0.2] = 0
+        bound = index._least_edits(windows, members)
+        true = edits(windows, np.stack([index.codes[m] for m in members]))
+        assert (bound <= true).all()
+        for w, m, k in zip(windows.tolist(), members, bound.tolist(), strict=True):
+            mine, theirs = Counter(w), Counter(index.codes[m].tolist())
+            assert k == n - (mine & theirs).total()
+
+
+def test_very_long_items_and_documents(docs, spark):
+    """Long items, whose shifted windows are hits by the hundred, whole and edited, in long documents."""
+    draw = random.Random(9)
+    items = [(1, prose(1, 1_500)), (2, prose(2, 900))]
+    edited = " ".join(changed(items[0][1].split(), 60, draw))
+    rows = [(1, f"{prose(3, 3_000)} {items[0][1]} {prose(4, 3_000)} {items[1][1]}"), (2, edited), (3, prose(6, 20_000))]
+    rows += [(4, f"{items[1][1]} {items[1][1]}"), (5, " ".join(items[1][1].split()[:-100]))]
+    got = contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): (r.start_word, r.edits) for r in got}
+    assert len(got) == len(found) == 5
+    words = [words_of(t.encode()) for _, t in items]
+    assert found[1, 1] == (3_000, 0) and found[1, 2] == (6_000 + len(words[0]), 0)
+    assert found[4, 2] == (0, 0) and found[5, 2] == (0, 100)
+    assert found[2, 1][1] <= 75

@@ -9,7 +9,10 @@ drawn from step and word, tells whether it moves on. Two sequences walk by the s
 again after an edit. Each of WALKS walks is sampled SAMPLES times at PLACES steps; the sampled words are a key, and a
 window is a candidate for each item of its size with which it shares a key. With half of the steps disagreeing a hit
 is missed with probability (1 - 2^-PLACES)^(WALKS*SAMPLES), which is below 0.001. Candidates are verified by their
-edit distance, so no false hit remains.
+edit distance, so no false hit remains. Beside a long hit each shifted window is a candidate too; as one edit takes at
+most one word out of the words that two windows share, a candidate that shares too few to do better than the best
+window so far of its document and item needs no distance. What is left is compared along a band of the diagonal as
+wide as the edits allowed.
 
 Ahead of it stands a filter that loses nothing: k word edits destroy at most 3k of the n-2 word triples of an item,
 so a window with fewer than n-2-3k triples that any item has cannot be a hit.
@@ -111,7 +114,7 @@ class ItemIndex:
         first, place = first[there], place[there]
         place, there = _places(self.triples, place * self.base + codes[first + 2])
         first, place = first[there], place[there]
-        found, sizes = [], []
+        found, sizes, best = [], [], {}
         for n, has in self.has.items():
             k = allowed_edits(n)
             starts = _windows_with(first[has[place]], max(1, n - 2 - 3 * k), n - 2)
@@ -123,9 +126,12 @@ class ItemIndex:
         starts, sizes = np.concatenate(found), np.concatenate(sizes)
         step = max(16, (1 << 22) // (2 * WALKS * max(self.by_size)))
         for i in range(0, len(starts), step):
-            yield from self._verified(codes, ends, starts[i : i + step], sizes[i : i + step])
+            self._verified(codes, ends, starts[i : i + step], sizes[i : i + step], best)
+        for (_, item), (distance, start) in best.items():
+            yield start, self.items[item][0], len(self.codes[item]), distance
 
-    def _verified(self, codes, ends, starts, sizes):
+    def _verified(self, codes, ends, starts, sizes, best):
+        """Keeps in `best` the edits and the start of the best window for each end of a document and item."""
         width = int(sizes.max())
         at = starts[:, None] + np.arange(width)
         inside = (at < ends[starts][:, None]) & (np.arange(width) < sizes[:, None])
@@ -138,11 +144,36 @@ class ItemIndex:
                 for row in np.flatnonzero(high > low).tolist():
                     candidates.update((row, m) for m in members[low[row] : high[row]].tolist())
             pairs = np.array(sorted(candidates), np.int64).reshape(-1, 2)
-            for i in range(0, len(pairs), 4096):
-                row, item = own[pairs[i : i + 4096, 0]], pairs[i : i + 4096, 1]
-                distance = edits(windows[row, :n], np.stack([self.codes[x] for x in item]))
-                for x in np.flatnonzero(distance <= allowed_edits(n)):
-                    yield int(starts[row[x]]), self.items[item[x]][0], n, int(distance[x])
+            most, together = allowed_edits(n), max(1, (1 << 21) // n)
+            least = np.concatenate(
+                [self._least_edits(windows[own[p[:, 0]], :n], p[:, 1]) for p in _cut(pairs, together)] + [np.zeros(0, np.int64)]
+            )
+            # Those that may need the fewest edits first, and so the likely best window of each document and item.
+            order = np.argsort(least, kind="stable")
+            order = order[least[order] <= most]
+            _, first = np.unique(np.column_stack([ends[starts[own[pairs[order, 0]]]], pairs[order, 1]]), axis=0, return_index=True)
+            later = np.delete(order, first)
+            for part in [*_cut(order[first], together), *_cut(later, together)]:
+                keys = [(int(ends[starts[own[r]]]), int(m)) for r, m in pairs[part]]
+                open_ = [x for x, k in zip(part.tolist(), keys, strict=True) if k not in best or least[x] <= best[k][0]]
+                if not open_:
+                    continue
+                row, item = own[pairs[open_, 0]], pairs[open_, 1]
+                distance = edits(windows[row, :n], np.stack([self.codes[x] for x in item]), most)
+                for x in np.flatnonzero(distance <= most).tolist():
+                    start = int(starts[row[x]])
+                    key, value = (int(ends[start]), int(item[x])), (int(distance[x]), start)
+                    best[key] = min(best.get(key, value), value)
+
+    def _least_edits(self, windows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """A lower bound of the edits between each window and its item, both of n words: n less the words they share."""
+        n = windows.shape[1]
+        item_words = np.sort(np.stack([self.codes[m] for m in members]), axis=1)
+        # Rows apart by a multiple of the vocabulary, and equal words of a row numbered, so that places match one to one.
+        lift = np.arange(len(windows), dtype=np.int64)[:, None] * self.base
+        ours, theirs = (_numbered(np.sort(x, axis=1) + lift) for x in (windows, item_words))
+        shared = np.isin(ours, theirs, assume_unique=True).reshape(-1, n).sum(axis=1)
+        return n - shared
 
 
 def _places(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +193,18 @@ def _windows_with(places: np.ndarray, least: int, size: int) -> np.ndarray:
     return np.unique(np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
 
 
+def _cut(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
+def _numbered(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows as one list in which equal values, told apart by their number, are distinct."""
+    flat, n = rows.ravel(), rows.shape[1]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
+    return flat * n + (np.arange(len(flat)) - begin)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(33))
@@ -174,17 +217,29 @@ def _bits(words: np.ndarray, step: int) -> np.ndarray:
     return (mixed >> np.uint64(40)).astype(np.int64) & 1
 
 
-def edits(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Edit distance of each window to the item in the same row, both of one size, in words."""
-    n = windows.shape[1]
-    ramp = np.arange(n + 1)
-    row = np.tile(ramp, (len(windows), 1))
-    for i in range(n):
-        change = row[:, :-1] + (items[:, i : i + 1] != windows)
-        best = np.concatenate([row[:, :1] + 1, np.minimum(change, row[:, 1:] + 1)], axis=1)
+def edits(windows: np.ndarray, items: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Edit distance of each window to the item in the same row, both of one size, in words.
+
+    Distances above `most` come out as some number above it: a path of k edits between rows of one size strays at most
+    k/2 from the diagonal, so only a band of that width is gone through.
+    """
+    rows, n = windows.shape
+    half = n if most is None else min(n, most // 2)
+    far = 2 * n + 1
+    # Column c of the band stands for the first i + c - half words of the window, at step i.
+    ramp = np.arange(2 * half + 1)
+    padded = np.pad(windows, ((0, 0), (half, half)), constant_values=-1)
+    band = np.tile(np.where(ramp >= half, ramp - half, far), (rows, 1))
+    for i in range(1, n + 1):
+        place = i + ramp - half
+        change = band + (items[:, i - 1 : i] != padded[:, i - 1 : i + 2 * half])
+        dropped = np.concatenate([band[:, 1:] + 1, np.full((rows, 1), far)], axis=1)
+        best = np.minimum(change, dropped)
+        best[:, (place < 0) | (place > n)] = far
+        best[:, place == 0] = i
         # An insertion costs one more than the cell to the left: a running minimum along the row.
-        row = np.minimum.accumulate(best - ramp, axis=1) + ramp
-    return row[:, -1]
+        band = np.minimum.accumulate(best - ramp, axis=1) + ramp
+    return band[:, half]
 
 
 def _scan(index: ItemIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
