@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from llm.texts import prose
 
+from tripflow.llm.common import labelled_sample
 from tripflow.llm.quality import quality
 from tripflow.llm.toxicity import drop_toxic, toxicity
 
@@ -99,3 +100,12 @@ def test_quality_calibrates_on_all_chunks(docs, labels):
     data = np.array([(*models[module.fold_of(k)].features(module.chunks(t.encode())), k % 2) for k, t in rows])
     model = module.train(docs(rows), labels([(k, k % 2, 0) for k, _ in rows]))
     assert np.allclose(model.weights, module.fit_logistic(data[:, :2], data[:, 2], ridge=1e-3))
+
+
+def test_sample_of_an_id_with_several_texts(spark, labels):
+    rows = [(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (3, None), (None, "x"), (4, "unlabelled")]
+    known = labels([(1, 0, 0), (1, 1, 0), (2, 0, 0), (3, 0, 1), (None, 1, 1), (9, 1, 1)])
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = labelled_sample(table, known, "quality", F.lit(True), (5, 5)).collect()
+        assert sorted((r.doc_id, r.text or "", r.label) for r in got) == [(1, "a", 1), (2, "c", 0), (3, "", 0)]

@@ -102,6 +102,31 @@ def test_frequent_url(spark):
     assert sorted((r.record_id, r.outcome, str(r.refers_to)) for r in got) == plain(rows)
 
 
+def test_records_that_share_an_id(spark):
+    u, v = "http://a.org/p", "http://b.org/p"
+    rows = [
+        response("r", u, 1, body="old", etag='"1"'),
+        response("r", u, 2, body="b2", etag='"2"'),
+        response("r", u, 2, body="b1", etag='"2"', x="1"),
+        response("r", u, 2, body="b1", etag='"2"', x="2"),
+        response("s", v, 1, body="s", etag='"3"'),
+        revisit("w", u, 5, etag='"2"'),
+        revisit("w", v, 5, etag='"3"'),
+        revisit("w", v, 0, etag='"3"'),
+        revisit("w", "http://c.org/", 5, etag='"2"'),
+    ]
+    seen = set()
+    for n in (1, 2, 5):
+        table = spark.createDataFrame(rows[::-1] if n == 2 else rows, SCHEMA).repartition(n)
+        got = resolved_revisits(table).collect()
+        seen.add(tuple(sorted((r.uri, str(r.date), r.outcome, str(r.refers_to), str(r.body), str(r.headers)) for r in got)))
+        assert sorted((r.uri, r.outcome, r.refers_to) for r in got if r.refers_to) == [(u, "resolved", "r"), (v, "resolved", "s")]
+        assert sorted(r.outcome for r in got) == ["missing", "missing", "resolved", "resolved"]
+    assert len(seen) == 1
+    (body,) = {r.body for r in got if r.uri == u}
+    assert body == "b1"
+
+
 def test_parsed(spark):
     raw = [
         "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Target-URI: http://a.org/?x=a:b\r\n"
@@ -114,6 +139,7 @@ def test_parsed(spark):
     got = parsed(spark.createDataFrame([(r,) for r in raw], "raw string")).collect()
     assert len(got) == 5
     assert (got[0].record_id, got[0].uri, got[0].status, got[0].body) == ("7", "http://a.org/?x=a:b", 200, "body\r\n\r\nmore")
+    assert got[4].headers == {} and got[2].record_id in (None, "")
     assert got[0].headers == {"etag": '"q:1"', "a": "2"} and got[0].date == datetime.datetime(2024, 1, 2, 3, 4, 5)
     assert (got[1].warc_type, got[1].date, got[1].status) == ("revisit", None, None)
 

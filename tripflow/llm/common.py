@@ -65,7 +65,8 @@ def labelled_sample(
 ) -> DataFrame:
     """At most `per_class[k]` documents with label k, chosen by a hash of the id: `doc_id`, `text`, `label`.
 
-    A document labelled twice counts with its larger label; `keep` tells by `doc_id` which may be learned from.
+    A document labelled twice counts with its larger label, one with several texts by the least of them; `keep` tells by
+    `doc_id` which may be learned from.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -80,7 +81,7 @@ def labelled_sample(
     ]
     # At most sum(per_class) ids, so the broadcast is bounded.
     ids = F.broadcast(checkpointed(chosen[0].unionByName(chosen[1])))
-    return docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    return docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 FOLDS = 3

@@ -16,8 +16,10 @@ url's day a window carries the last response forward, and only the last response
 the url's days. Bodies never take part: records are joined by their ids afterwards.
 
 Records without a parseable date, without a target uri or without an id can't be placed: as revisits they are missing,
-as responses they are never found. Of responses with the same url and date the greatest id is the latest. Repeated
-records come back repeated. An empty table gives an empty result; columns other than those named are not looked at.
+as responses they are never found. Of responses with the same url and date the greatest id is the latest; of responses
+that share an id too, which no archive should hold, the one of the latest date, then of the least body and headers.
+Revisits that share an id are placed each by its own url and date. Repeated records come back repeated. Pages without an
+id or url give `crawl` no record. An empty table gives an empty result; columns other than those named are not looked at.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,7 +71,7 @@ def parsed(records: DataFrame, raw_col: str = "raw") -> DataFrame:
         F.try_to_timestamp(field("warc-date"), F.lit(DATE)).alias("date"),
         field("warc-profile").alias("profile"),
         F.expr("try_cast(nullif(regexp_extract(h[0], '^HTTP/[0-9.]+ ([0-9]{3})', 1), '') as int)").alias("status"),
-        _fields(F.slice("h", 2, 1_000_000)).alias("headers"),
+        _fields(F.slice("h", F.lit(2), F.size("h"))).alias("headers"),
         "body",
     )
 
@@ -129,14 +131,15 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
         narrow.withColumn("same_day", F.last(mark, ignorenulls=True).over(here))
         .where("not full")
         .join(days, ["url", "day"])
-        .select("record_id", F.coalesce("same_day", "earlier").alias("found"))
-        .select("record_id", F.col("found.record_id").alias("refers_to"))
+        .select("record_id", "url", "date", F.coalesce("same_day", "earlier").alias("found"))
+        .select("record_id", "url", "date", F.col("found.record_id").alias("refers_to"))
         .where("refers_to is not null")
-        .dropDuplicates(["record_id"])
+        .dropDuplicates(["record_id", "url", "date"])
     )
-    revisits = records.where("kind = 'revisit'").select("record_id", "uri", "date", F.col("headers").alias("own"))
-    # Numbered in the order that the join needs anyway.
-    copies = Window.partitionBy("refers_to").orderBy("refers_to")
+    revisits = records.where("kind = 'revisit'").select("record_id", "uri", "url", "date", F.col("headers").alias("own"))
+    # By content in the end, so that a lost task's second run chooses the same.
+    sorted_headers = F.array_sort(F.map_entries("stored")).cast("string")
+    copies = Window.partitionBy("refers_to").orderBy(F.desc("refers_to_date"), F.md5("_body"), sorted_headers)
     responses = (
         records.where(placed & (F.col("kind") == "full"))
         .select(
@@ -151,7 +154,7 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
     # A revisit without a response joins by a key of its own, so that these don't meet in one task.
     alone = F.concat(F.lit("\x00"), F.coalesce("record_id", F.lit("")))
     both = (
-        revisits.join(found, "record_id", "left")
+        revisits.join(found, ["record_id", "url", "date"], "left")
         .withColumn("refers_to", F.coalesce("refers_to", alone))
         .join(responses, "refers_to", "left")
     )
