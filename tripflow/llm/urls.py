@@ -182,6 +182,8 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, suffixes: Sequence[str] =
             (F.col("r.mean") + BOUND_SD * F.expr("sqrt(r.mean * (1 - r.mean) / (r.weight + 1))")).alias("good_upper"),
         )
     )
+    # Written down, so that the join below has plain shuffles on both sides, of which Spark can split a frequent host's.
+    named = written(named, "url-estimates")
     rule = rule_of(F.col("_host"), F.col("_path"))
     ruled = F.lit(None).cast("string")
     for rule_host, rule_path, verdict in RULES:
