@@ -67,6 +67,26 @@ def test_overlaps_of_empty_tables(spark):
     assert pairs(spark, [], []) == [] == pairs(spark, [(1, 1, None, None)], [(1, 1, 1.0, 2.0)])
 
 
+@pytest.mark.parametrize("part_rows, shuffles, joins", [(10_000, 1, 1), (3, 3, 1)])
+def test_rows_are_shuffled_once(spark, tmp_path, part_rows, shuffles, joins):
+    """Full cells are looked up where the rows are; a table joined with itself is shuffled for one side."""
+    rows = drawn(6, 200)
+    spans(spark, rows).write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = op.join_overlapping(table, table, on=["k"], start="s", end="e", part_rows=part_rows)
+        found = found.select("l.id", F.col("r.id").alias("other"))
+        assert sorted(map(tuple, found.collect())) == brute(rows, rows)
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(dealt) == shuffles and plan.count("SortMergeJoin") == joins
+    # Of the times only those of the struct go with a row.
+    assert not any(name in plan for name in ("__from", "__to"))
+
+
 @pytest.mark.parametrize("partitions", [None, 1, 7])
 def test_numbers(spark, partitions):
     draw = random.Random(4)
