@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from tripflow import operators as op
 from tripflow.operators.event_time import TOTALS
+from tripflow.plans.queries import QUERIES
 from tripflow.schema import STORED_SCHEMA
 from tripflow.sinks import ParquetSink
 from tripflow.sources import read_trips_batch, read_trips_stream
@@ -89,6 +90,30 @@ def test_stream_equals_table(spark, tmp_path, make, expected):
     assert shown(stream.rows()) == expected
 
 
+def test_a_session_that_is_still_open(spark, tmp_path):
+    """Trips without a gap: nothing is final, so nothing is stored, and the sink reads as empty."""
+    stream = windows(spark, tmp_path, lambda t: op.session_totals(t, "20 minutes", delay="0 seconds"))
+    land(tmp_path / "in" / "a.csv", at("10:05:00"), at("10:20:00"))
+    stream.drain()
+    assert stream.sink.read(spark).collect() == [] and stream.sink.read(spark).schema == stream.sink.schema
+    assert stream.sink.count(spark).first().n == 0
+    land(tmp_path / "in" / "b.csv", at("20:00:00"))
+    stream.drain()
+    assert shown(stream.sink.read(spark)) == [("10:05", "10:40", 2, 300)]
+
+
+def test_sessions_of_dense_trips(spark, tmp_path):
+    """The query, where no session ends before the end of time."""
+    events = spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id DIV 12) AS ts", "id % 12 AS user_id",
+        "'click' AS event_type", "1.5D AS value",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = QUERIES["window_session"](spark, str(tmp_path)).collect()
+    assert sorted((r.window_start[11:], r.window_end[11:]) for r in rows) == [("00:00:00", "00:59:00")] * len(rows)
+    assert sum(r.n for r in rows) == 600 and len(rows) == 6
+
+
 def dedup(spark, tmp_path, within):
     return Stream(spark, tmp_path, lambda t: op.enrich_trips(op.drop_redelivered(t, within)), STORED_SCHEMA)
 
